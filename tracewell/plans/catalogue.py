@@ -1,4 +1,742 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL for DuckDB, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.functions import exprs as X
+from tracewell.functions import rules as R
+from tracewell.operators import dedupe, lifecycle, metrics, retrieval
+from tracewell.operators import evidence as ev
+from tracewell.plans import fixtures as fx
+from tracewell.sources import log, workspace
+from tracewell.streaming import capture
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Thresholds that the synthetic vectors reach.
+POLICY = R.Policy(review=2500, strong=3500)
+SINCE, NOW = "2024-01-15", "2024-02-01"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cos(a: str, b: str) -> str:
+    return fx.COSINE_SQL.format(a=a, b=b)
+
+
+def _query_vector(spark: SparkSession, sf_dir: str, vec: int) -> DataFrame:
+    return fx.habits(spark, sf_dir).filter(F.col("id") == vec).select(F.col("condition").alias("query_vector"))
+
+
+# --- retrieval --------------------------------------------------------------
+
+_SCORED = f"""scored as (select h.id, h.confidence_bp, {_cos("h.condition", "q.condition")} as similarity_bp
+  from habits h, (select condition from habits where id = {{vec}}) q where h.status = 'active' and h.law_hash = 'law' and h.confidence_bp >= 2000 and h.staleness <= 0.9)"""
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.habits(spark, sf_dir).filter("status = 'active'").filter(R.law_fresh("law") & R.eligible(2000, 0.9))
+
+
+@query(f"with {fx.HABITS_SQL}, {_SCORED.format(vec=0)} select id, confidence_bp, similarity_bp from scored where similarity_bp >= 1500 order by similarity_bp desc, confidence_bp desc, id limit 12")
+def topk_retrieval(spark, sf_dir):
+    """F1, J3, T3"""
+    found = retrieval.scored(_active(spark, sf_dir), _query_vector(spark, sf_dir, 0), "condition")
+    return retrieval.top_k(found).select("id", "confidence_bp", "similarity_bp")
+
+
+@query(f"with {fx.HABITS_SQL} select id, confidence_bp, staleness from habits where status = 'active' and confidence_bp >= 5000 and staleness <= 0.8 order by confidence_bp desc, id limit 100")
+def eligible_top100(spark, sf_dir):
+    """F1, T1"""
+    return retrieval.eligible_top(fx.habits(spark, sf_dir).filter("status = 'active'"), 5000, 0.8).select("id", "confidence_bp", "staleness")
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, ok as (select * from habits where status = 'active' and confidence_bp >= 1000 and staleness <= 0.9),
+    fresh as (select id, 0 as tier, confidence_bp from ok where law_hash = 'law' order by confidence_bp desc, id limit 100),
+    fill as (select id, 1 as tier, confidence_bp from ok order by confidence_bp desc, id limit 500)
+    select id, min(tier) as tier, any_value(confidence_bp) as confidence_bp from (select * from fresh union all select * from fill) group by id order by 2, 3 desc, 1 limit 500"""
+)
+def preparation_superset(spark, sf_dir):
+    """T2, U1"""
+    return retrieval.preparation(fx.habits(spark, sf_dir).filter("status = 'active'"), 1000, 0.9, "law")
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, {_SCORED.format(vec=0)}, a as (select *, 0 as source from scored where similarity_bp >= 1500 order by similarity_bp desc, confidence_bp desc, id limit 12),
+    {_SCORED.format(vec=1).replace("scored as", "scored2 as")}, b as (select *, 1 as source from scored2 where similarity_bp >= 1500 order by similarity_bp desc, confidence_bp desc, id limit 12),
+    u as (select *, row_number() over (partition by id order by source, similarity_bp desc) as nth from (select * from a union all select * from b))
+    select id, confidence_bp, similarity_bp, source from u where nth = 1 order by source, similarity_bp desc, confidence_bp desc, id limit 12"""
+)
+def context_union_topk(spark, sf_dir):
+    """Two query vectors"""
+    tops = [retrieval.top_k(retrieval.scored(_active(spark, sf_dir), _query_vector(spark, sf_dir, v), "condition")).select("id", "confidence_bp", "similarity_bp") for v in (0, 1)]
+    return retrieval.union_first(*tops, [F.desc("similarity_bp"), F.desc("confidence_bp"), F.col("id")])
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, q as (select condition, behavior from habits where id = 2),
+    s as (select h.id, greatest({_cos("h.condition", "q.condition")}, {_cos("h.behavior", "q.behavior")}) as similarity_bp from habits h, q where h.status = 'active'),
+    u as (select id, 0 as tier, cast(10000 as bigint) as similarity_bp from habits where status = 'active' and confidence_bp >= 9900 union all select id, 1, similarity_bp from s where similarity_bp >= 1500)
+    select id, min(tier) as tier, max(similarity_bp) as similarity_bp from u group by id order by 2, 3 desc, 1 limit 8"""
+)
+def typed_retrieval_tiered(spark, sf_dir):
+    """F4, T4, T5, X16"""
+    h = fx.habits(spark, sf_dir).filter("status = 'active'")
+    q = fx.habits(spark, sf_dir).filter("id = 2").select(F.col("condition").alias("qc"), F.col("behavior").alias("qb"))
+    best = X.field_max(X.basis_points(X.cosine(F.col("condition"), F.col("qc"))), X.basis_points(X.cosine(F.col("behavior"), F.col("qb"))))
+    similar = h.crossJoin(F.broadcast(q.limit(1))).withColumn("similarity_bp", best)
+    return retrieval.tiered(h.filter("confidence_bp >= 9900"), similar)
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, e as (select id, id % 11 as sum from habits where status = 'active'), c as (select id, case when id % 13 = 0 then -1 else id % 11 end as sum from habits where id % 3 <> 0)
+    select e.id, case when c.sum is null then 'missing' when c.sum <> e.sum then 'invalid' else 'valid' end as state from e left join c using (id)"""
+)
+def embedding_cache_states(spark, sf_dir):
+    """S19, S20, J4"""
+    h = fx.habits(spark, sf_dir)
+    want = h.filter("status = 'active'").select("id", (F.col("id") % 11).alias("checksum"))
+    have = h.filter("id % 3 != 0").select("id", F.when(F.col("id") % 13 == 0, -1).otherwise(F.col("id") % 11).alias("checksum"), F.col("condition").alias("vector"))
+    return retrieval.cached(want, have, ["id"]).select("id", "state")
+
+
+@query(
+    """with d as (select doc_id, coalesce(source, '') as source, length(coalesce(text, '')) + 1 as len from documents),
+    r as (select *, cast(sum(len) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used from d)
+    select source, doc_id, used from r where used <= 6000"""
+)
+def context_pack_budget(spark, sf_dir):
+    """W3"""
+    d = fx.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("bigint").alias("len"))
+    return retrieval.packed(d, "source", [F.col("doc_id")], F.col("len"), 6000).select("source", "doc_id", "used")
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, r as (select id, 'c' || row_number() over (partition by user_id order by confidence_bp desc, id) as alias, user_id from habits where status = 'active'),
+    j as (select *, id % 2 = 0 as applicable, cast((id * 37) % 10001 as bigint) as confidence_bp from r), b as (select user_id, count(*) filter (where applicable and confidence_bp >= 8000) as n from j group by user_id)
+    select j.user_id, alias, id, confidence_bp from j join b using (user_id) where n <= 6 and applicable and confidence_bp >= 8000"""
+)
+def judge_output_selection(spark, sf_dir):
+    """F22, J14, W5"""
+    asked = retrieval.aliased(fx.habits(spark, sf_dir).filter("status = 'active'"), [F.desc("confidence_bp"), F.col("id")], batch="user_id").select("user_id", "alias", "id")
+    applicable = F.col("id") % 2 == 0
+    said = asked.select("user_id", "alias", applicable.alias("applicable"), ((F.col("id") * 37) % 10001).cast("bigint").alias("confidence_bp"), F.when(applicable, "current_applicability").otherwise("not_applicable").alias("reason"))
+    return R.judged(asked, said, 6, 8000, "user_id").join(asked, ["user_id", "alias"]).select("user_id", "alias", "id", "confidence_bp")
+
+
+@query(
+    f"""with {fx.HITS_SQL}, c as (select user_id, habit_id, action, cast(selected as int) as selected, reason, cast(least(greatest(coalesce(confidence_bp, 0), 0), 10000) as bigint) as confidence_bp, cast(latency_ms as bigint) as latency_ms from hits),
+    p as (select *, concat_ws('|', cast(user_id as varchar), cast(habit_id as varchar), action, cast(selected as varchar), reason, cast(confidence_bp as varchar), cast(latency_ms as varchar)) as parts from c)
+    select user_id, habit_id, action, selected, reason, confidence_bp, latency_ms, sha256(parts) as checksum, 'selector-hit-' || substr(sha256(parts || '|' || sha256(parts)), 1, 40) as id from p"""
+)
+def hit_log_rows(spark, sf_dir):
+    """S22, X6, X7"""
+    return retrieval.hit_log(fx.hits(spark, sf_dir))
+
+
+# --- duplicates -------------------------------------------------------------
+
+_PAIRS = f"""pairs as (select a.user_id, a.id as id_a, b.id as id_b, a.status as status_a, b.status as status_b, a.created_at as created_at_a, b.created_at as created_at_b,
+    least({_cos("a.condition", "b.condition")}, {_cos("a.behavior", "b.behavior")}) as similarity_bp
+  from habits a join habits b on a.user_id = b.user_id and a.polarity = b.polarity and a.id < b.id where not (a.status = 'candidate' and b.status = 'candidate')),
+  near as (select *, case when similarity_bp >= 3500 then 'strong' else 'review' end as class from pairs where similarity_bp >= 2500)"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.score(dedupe.pairs(fx.habits(spark, sf_dir)), POLICY)
+
+
+@query(f"with {fx.HABITS_SQL}, {_PAIRS} select user_id, id_a, id_b, similarity_bp, class from near")
+def duplicate_pairs_scored(spark, sf_dir):
+    """J6, X13, X14, X16, X17, D20"""
+    return _near(spark, sf_dir).select("user_id", "id_a", "id_b", "similarity_bp", "class")
+
+
+@query(f"with {fx.HABITS_SQL}, {_PAIRS} select user_id, id_a, id_b, similarity_bp, class, case when created_at_a < created_at_b then id_a when created_at_b < created_at_a then id_b else least(id_a, id_b) end as canonical_id from near")
+def duplicate_canonical(spark, sf_dir):
+    """T7, D18, X10"""
+    return dedupe.relations(_near(spark, sf_dir), "m1").select("user_id", "id_a", "id_b", "similarity_bp", "class", "canonical_id")
+
+
+@query(f"with {fx.HABITS_SQL}, {_PAIRS} select id_a, id_b, similarity_bp from near where not ((id_a + id_b) % 3 = 0 and id_a % 2 = 0)")
+def kept_separate_antijoin(spark, sf_dir):
+    """Decisions for odd ids have other wording"""
+    near = _near(spark, sf_dir).withColumns({"wording_a": F.lit("w"), "wording_b": F.lit("w")})
+    kept = near.filter("(id_a + id_b) % 3 = 0").select("id_a", "id_b", F.when(F.col("id_a") % 2 == 0, "w").otherwise("changed").alias("wording_a"), "wording_b")
+    return dedupe.not_kept_separate(near, kept).select("id_a", "id_b", "similarity_bp")
+
+
+@query(f"""with {fx.HABITS_SQL}, t as (select * from habits where id = 0) select h.id as id_b, least({_cos("t.condition", "h.condition")}, {_cos("t.behavior", "h.behavior")}) as similarity_bp from habits h, t
+    where h.user_id = t.user_id and h.polarity = t.polarity and h.id <> t.id and least({_cos("t.condition", "h.condition")}, {_cos("t.behavior", "h.behavior")}) >= 500""")
+def target_matches(spark, sf_dir):
+    """J7, J21, T6"""
+    h = fx.habits(spark, sf_dir)
+    return dedupe.matches(h.filter("id = 0"), h, R.Policy(review=500)).select("id_b", "similarity_bp")
+
+
+_RECONCILE = f"""with {fx.HABITS_SQL}, {_PAIRS}, r as (select n.*, case when id_a % 5 = 1 then 'm0' else 'm1' end as method, case when id_b % 2 = 0 then 2500 else 2400 end as threshold_bp from near n),
+    s as (select r.id_a, r.id_b, r.threshold_bp, case when method <> 'm1' then 'obsolete_scoring_method' when status_a = 'archived' or status_b = 'archived' then 'ineligible_habit_status'
+      when id_a % 7 = 0 then 'habit_wording_changed' when similarity_bp < 2800 then 'below_current_review_threshold' end as reason from r)
+    select id_a, id_b, reason, case when reason is not null then 'dismissed' when threshold_bp <> 2800 then 'refreshed' else 'unchanged' end as outcome from s"""
+
+
+@query(_RECONCILE)
+def threshold_reconcile(spark, sf_dir):
+    """D21, F23, J19, J20"""
+    relations = _near(spark, sf_dir).select(
+        "id_a", "id_b", "similarity_bp", F.when(F.col("id_a") % 5 == 1, "m0").otherwise("m1").alias("method"), F.when(F.col("id_b") % 2 == 0, 2500).otherwise(2400).alias("threshold_bp"), F.when(F.col("id_a") % 7 == 0, "old").otherwise("w").alias("stored_a"), F.lit("w").alias("stored_b")
+    )
+    habits = fx.habits(spark, sf_dir).withColumn("wording", F.lit("w"))
+    return dedupe.reconcile(relations, habits, "m1", R.Policy(review=2800)).select("id_a", "id_b", "reason", "outcome")
+
+
+@query(f"with {fx.HABITS_SQL}, {_PAIRS}, e as (select id_a as id from near union all select id_b from near) select id, count(*) as pending from e group by id")
+def pending_relation_counts(spark, sf_dir):
+    """A23, U9, D19"""
+    return dedupe.pending_counts(dedupe.relations(_near(spark, sf_dir), "m1"))
+
+
+_TOKENS_SQL = rf"""{fx.TEXTS_SQL},
+  tok as (select distinct id, t as token from (select id, unnest(regexp_split_to_array({fx.norm_sql("text")}, '[^a-z0-9]+')) as t from texts) where length(t) > 1),
+  keyed as (select id, string_agg(token, ' ' order by token) as key, count(*) as n from tok group by id), cls as (select key, min(id) as class, any_value(n) as n from keyed group by key),
+  ct as (select c.class, c.n, t.token from cls c join tok t on t.id = c.class),
+  shared as (select a.class as class_a, b.class as class_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as s from ct a join ct b on a.token = b.token and a.class < b.class group by 1, 2),
+  near as (select class_a, class_b, s / (na + nb - s)::double as jaccard from shared where s / (na + nb - s)::double >= 0.72)"""
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return dedupe.token_classes(fx.texts(spark, sf_dir).select("id", "text"))
+
+
+@query(f"with {_TOKENS_SQL} select class_a, class_b, round(jaccard, 9) as jaccard from near")
+def near_duplicate_texts(spark, sf_dir):
+    """X11, X12, J10"""
+    return dedupe.overlapping(_classes(spark, sf_dir)[0]).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query(f"with {_TOKENS_SQL} select class_a as anchor, count(*) as n_near, min(class_b) as first_near, max(class_b) as last_near from near group by 1")
+def near_duplicate_groups(spark, sf_dir):
+    """Anchors, not closed transitively"""
+    return dedupe.anchor_groups(dedupe.overlapping(_classes(spark, sf_dir)[0]))
+
+
+@query(f"with {_TOKENS_SQL} select k.id, c.class from keyed k join cls c using (key)")
+def token_set_classes(spark, sf_dir):
+    """X11: members of the classes that J10 pairs"""
+    return _classes(spark, sf_dir)[1]
+
+
+@query(f"with {fx.TEXTS_SQL} select sha256({fx.norm_sql('text')}) as identity, count(*) as n, min(id) as first_id from texts group by 1")
+def exact_identity_groups(spark, sf_dir):
+    """X1, X6, X8"""
+    return fx.texts(spark, sf_dir).groupBy(X.checksum(X.norm_text(F.col("text"))).alias("identity")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+# --- text -------------------------------------------------------------------
+
+
+@query(f"select doc_id, sha256({fx.redact_sql('text')}) as redacted_sha256, length({fx.redact_sql('text')}) as n_chars from documents")
+def redacted_text(spark, sf_dir):
+    """X3"""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", X.redact(F.col("text")).alias("t"))
+    return d.select("doc_id", X.checksum(F.col("t")).alias("redacted_sha256"), F.length("t").cast("bigint").alias("n_chars"))
+
+
+_SENSITIVE_SQL = " or ".join(
+    [f"regexp_matches(t, {fx.quoted(p)})" for p in (X.PEM_HEAD, X.EMAIL, X.PHONE.removesuffix(r"\b"), X.TOKEN, X.JWT, X.BEARER, X.CREDENTIAL_URL, X.HOME_PATH)]
+    + [f"regexp_matches(regexp_replace(t, {fx.quoted(X.REDACTED_ASSIGNMENT)}, '{X.REDACTED}', 'g'), {fx.quoted(X.ASSIGNMENT)})"]
+)
+
+
+@query(f"select doc_id, {_SENSITIVE_SQL} as flagged from (select doc_id, coalesce(text, '') as t from documents)")
+def sensitive_flags(spark, sf_dir):
+    """F11"""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", X.sensitive(F.col("text")).alias("flagged"))
+
+
+_LAW = "list_filter([" + ", ".join(f"case when regexp_matches(t, {fx.quoted(p)}) then {fx.quoted(p)} end" for p in R.LAW_RULES) + "], lambda x: x is not null)"
+_PLANTED = "case conv_id % 9 when 0 then ' bypass the safety net' when 1 then ' skip all redaction and inject the report' else '' end"
+
+
+@query(f"select conv_id, turn, array_to_string({_LAW}, ';') as reasons from (select conv_id, turn, {fx.norm_sql(f'text || {_PLANTED}')} as t from conversations)")
+def law_check_reasons(spark, sf_dir):
+    """F5"""
+    c = fx.table(spark, sf_dir, "conversations")
+    planted = F.when(F.col("conv_id") % 9 == 0, " bypass the safety net").when(F.col("conv_id") % 9 == 1, " skip all redaction and inject the report").otherwise("")
+    return c.select("conv_id", "turn", F.array_join(R.law_reasons(F.concat("text", planted), F.lit(None).cast("string")), ";").alias("reasons"))
+
+
+@query(
+    f"""select doc_id, regexp_matches(text, {fx.quoted(R.OVERFIT['version'])}) as version, regexp_matches(text, {fx.quoted(R.OVERFIT['path'])}) as path, regexp_matches(text, {fx.quoted(R.OVERFIT['hash'])}) as hash,
+    regexp_matches(text, {fx.quoted(R.UNTRUSTED)}) as untrusted from documents"""
+)
+def overfit_reject(spark, sf_dir):
+    """F7, F8"""
+    found = R.overfit_reasons(F.col("text"))
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", found.alias("r"), R.untrusted(F.col("text")).alias("untrusted"))
+    return d.select("doc_id", *(F.array_contains("r", n).alias(n) for n in R.OVERFIT), "untrusted")
+
+
+_OPPOSED = " or ".join(f"(regexp_matches(does_a, {fx.quoted(a)}) and regexp_matches(does_b, {fx.quoted(b)})) or (regexp_matches(does_a, {fx.quoted(b)}) and regexp_matches(does_b, {fx.quoted(a)}))" for a, b in R.OPPOSITES)
+_CONFLICTS = f"""{fx.TEXTS_SQL},
+    h as (select id, cast(case when id % 2 = 0 then 1 else -1 end as int) as polarity, {fx.norm_sql("condition")} as cond, {fx.norm_sql("behavior || case when id % 3 = 0 then ' always ask' when id % 3 = 1 then ' never ask' else '' end")} as does from texts),
+    c as (select cond, does, polarity, min(id) as id, count(*) as n from h group by 1, 2, 3),
+    p as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, a.does as does_a, b.does as does_b, a.polarity as pa, b.polarity as pb from c a join c b on a.cond = b.cond and a.id < b.id)"""
+
+
+def _wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.texts(spark, sf_dir)
+    more = F.when(F.col("id") % 3 == 0, " always ask").when(F.col("id") % 3 == 1, " never ask").otherwise("")
+    return t.select(F.lit(0).alias("user_id"), "id", F.lit("active").alias("status"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("polarity"), "condition", F.concat("behavior", more).alias("behavior"))
+
+
+@query(f"with {_CONFLICTS} select id_a, id_b, n_a, n_b, case when does_a = does_b then 'opposite_polarity' when {_OPPOSED} then 'opposed_behavior' else 'same_condition_divergent_behavior' end as reason from p where does_a <> does_b or pa = -pb")
+def conflict_join(spark, sf_dir):
+    """J9, F6"""
+    return lifecycle.conflicts(_wordings(spark, sf_dir)).drop("user_id")
+
+
+@query(
+    r"""with l as (select page_id, unnest(string_split(html, chr(10))) as text, generate_subscripts(string_split(html, chr(10)), 1) as line from pages),
+    m as (select page_id, line from l where regexp_matches(text, '<script'))
+    select l.page_id, cast(l.line as int) as line, sha256(l.text) as text_sha256, bool_or(m.line = l.line) as is_match from l join m on l.page_id = m.page_id and abs(l.line - m.line) <= 1 group by 1, 2, 3"""
+)
+def workspace_grep(spark, sf_dir):
+    """S34"""
+    found = workspace.grep(fx.table(spark, sf_dir, "pages"), "<script", "html", "page_id", context=1)
+    return found.select("page_id", "line", X.checksum(F.col("text")).alias("text_sha256"), "is_match")
+
+
+# --- log and conversations --------------------------------------------------
+
+
+@query(f"with {fx.PAIRS_SQL} select conv_id, turn, length(user_text) as user_chars, length(assistant_text) as assistant_chars, sha256(user_text || chr(10) || assistant_text) as checksum from pairs")
+def capture_pairs(spark, sf_dir):
+    """R3, R4, W6"""
+    return _pair_columns(fx.pairs(spark, sf_dir))
+
+
+def _pair_columns(p: DataFrame) -> DataFrame:
+    return p.select(
+        "conv_id", "turn", F.length("user_text").cast("bigint").alias("user_chars"), F.length("assistant_text").cast("bigint").alias("assistant_chars"), X.checksum(F.concat("user_text", F.lit("\n"), "assistant_text")).alias("checksum")
+    )
+
+
+@query(ORACLE_SQL["capture_pairs"])
+def stream_capture_pairs(spark, sf_dir):
+    """The state machine over a file stream; same pairs as ``capture_pairs``"""
+    stream = capture.pair_stream(capture.settled(capture.stream_of(spark, sf_dir, "conversations")))
+    return _pair_columns(capture.run_available(stream, _folder(spark)))
+
+
+def _folder(spark: SparkSession) -> str:
+    import tempfile
+
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="tracewell-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+@query(
+    """with c as (select *, max(turn) filter (where role = 'user') over (partition by conv_id) as cur from conversations),
+    s as (select *, row_number() over (partition by conv_id order by turn desc) as back from c where turn < cur and role in ('user', 'assistant')),
+    t as (select *, substr(text, 1, 300) as cut from s where back <= 4), u as (select *, sum(length(cut)) over (partition by conv_id) as total from t)
+    select conv_id, turn, role, cut as text, cast(back as int) as back from u where total <= 1200"""
+)
+def context_tail4(spark, sf_dir):
+    """F24, W4"""
+    return R.context_turns(fx.table(spark, sf_dir, "conversations"))
+
+
+@query(f"with {fx.LOG_SQL} select user_id, conv_id, turn, seq, checksum, prev_pair_ref from log")
+def log_chain(spark, sf_dir):
+    """S1, W1, X6"""
+    return fx.observations(spark, sf_dir).select("user_id", "conv_id", "turn", "seq", "checksum", "prev_pair_ref")
+
+
+@query(f"with {fx.LOG_SQL} select user_id, seq, 'reference' as reason from log where seq % 10 = 4")
+def chain_breaks(spark, sf_dir):
+    """Planted bad references are found, and nothing else"""
+    bad = F.when(F.col("seq") % 10 == 4, F.concat("prev_pair_ref", F.lit("x"))).otherwise(F.col("prev_pair_ref"))
+    return log.chain_errors(fx.observations(spark, sf_dir).withColumn("prev_pair_ref", bad), ["user_id"]).select("user_id", "seq", "reason")
+
+
+@query(
+    f"""with {fx.LOG_SQL}, r as (select user_id, seq, cast(sum(nbytes) over (partition by user_id order by seq rows unbounded preceding) as bigint) as used, row_number() over (partition by user_id order by seq) as nth from log where seq > 3 and seq <= 400)
+    select user_id, seq, used from r where used <= 20000 and nth <= 200"""
+)
+def bounded_range_read(spark, sf_dir):
+    """S3, W2"""
+    return log.bounded(fx.observations(spark, sf_dir), ["user_id"], F.lit(3), F.lit(400), 200, 20_000).select("user_id", "seq", "used")
+
+
+@query(
+    f"""with {fx.LOG_SQL}, r as (select user_id, conv_id, min(seq) as seq_start, max(seq) as seq_end from log where conv_id % 5 <> 2 group by 1, 2),
+    p as (select *, coalesce(max(seq_end) over (partition by user_id order by seq_start, seq_end rows between unbounded preceding and 1 preceding), 0) as prev from r)
+    select user_id, seq_start, seq_end, case when seq_start > prev + 1 then 'gap' when seq_end <= prev then 'no_op' else 'advance' end as state from p"""
+)
+def read_watermark_progress(spark, sf_dir):
+    """R2, A17"""
+    reads = fx.observations(spark, sf_dir).filter("conv_id % 5 != 2").groupBy("user_id", "conv_id").agg(F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"))
+    return log.coverage(reads).select("user_id", "seq_start", "seq_end", "state")
+
+
+@query(
+    """with u as (select o_custkey as user_id, o_orderkey as at, cast(o_orderkey % 97 as bigint) as seq, o_orderstatus as checksum from orders),
+    w as (select *, max(seq) over p as top from u window p as (partition by user_id order by at, seq rows between unbounded preceding and 1 preceding)),
+    x as (select w.*, (select max(v.checksum) from u v where v.user_id = w.user_id and v.at < w.at and v.seq = w.top) as sum from w)
+    select user_id, at, case when top is null then 'advance' when seq < top then 'backward' when seq = top and checksum <> sum then 'collision' when seq = top then 'no_op' else 'advance' end as state from x"""
+)
+def monotone_watermarks(spark, sf_dir):
+    """R1, S39"""
+    u = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("at"), (F.col("o_orderkey") % 97).alias("seq"), F.col("o_orderstatus").alias("checksum"))
+    return log.watermarks(u).select("user_id", "at", "state")
+
+
+_GENERATIONS = """g as (select year(o_orderdate) as file_generation, count(*) as seq, max(o_orderdate) as last_at from orders group by 1),
+    m as (select file_generation, case when file_generation % 2 = 0 then seq else seq - 1 end as seq from g)"""
+
+
+@query(f"with {_GENERATIONS} select cast(g.file_generation as int) as file_generation, g.seq, cast(g.last_at + interval 14 day as timestamp) as expires_at, g.last_at + interval 14 day <= timestamp '1998-01-01' as expired from g join m using (file_generation, seq)")
+def rotation_and_expiry(spark, sf_dir):
+    """S7, S8"""
+    tails = fx.table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("file_generation")).agg(F.count("*").alias("seq"), F.max("o_orderdate").alias("last_at"))
+    marks = tails.select("file_generation", F.when(F.col("file_generation") % 2 == 0, F.col("seq")).otherwise(F.col("seq") - 1).alias("seq"))
+    done = log.rotated(tails, marks, F.col("last_at"), 14)
+    return done.select("file_generation", "seq", "expires_at", (F.col("expires_at") <= F.lit("1998-01-01").cast("timestamp_ntz")).alias("expired"))
+
+
+# --- evidence ---------------------------------------------------------------
+
+_CONTRA = f"""{fx.EVIDENCE_SQL},
+    strong as (select habit_id, max(observed_at) filter (where polarity = 1 and confidence_bp >= 7500) as last_strong, max(observed_at) filter (where polarity = 1) as last_affirmed from evidence group by 1),
+    days as (select e.habit_id, count(distinct cast(e.observed_at as date)) as n from evidence e join strong s using (habit_id) where e.polarity = -1 and (s.last_strong is null or e.observed_at > s.last_strong) group by 1),
+    contra as (select s.*, coalesce(d.n, 0) as contradiction_days from strong s left join days d using (habit_id))"""
+
+
+@query(f"with {_CONTRA} select habit_id, last_strong, contradiction_days from contra")
+def contradiction_days(spark, sf_dir):
+    """A1, W7, X20"""
+    return ev.contradiction_days(fx.evidence(spark, sf_dir)).select("habit_id", "last_strong", "contradiction_days")
+
+
+@query(
+    f"""with {_CONTRA} select habit_id, contradiction_days, round(least(greatest(1 - pow(0.95, greatest(0, coalesce(date_diff('day', cast(last_affirmed as date), date '{NOW}'), 0))) / (1 + contradiction_days), 0), 1 - 2.220446049250313e-16), 9) as staleness from contra"""
+)
+def staleness_by_key(spark, sf_dir):
+    """X19, A1"""
+    return ev.staleness(fx.evidence(spark, sf_dir), F.lit(NOW).cast("date")).select("habit_id", "contradiction_days", F.round("staleness", 9).alias("staleness"))
+
+
+@query(f"with {fx.EVIDENCE_SQL} select habit_id, count(*) as n, count(distinct cast(observed_at as date)) as days, count(*) >= 3 and count(distinct cast(observed_at as date)) >= 2 as eligible from evidence group by 1")
+def repetition_eligibility(spark, sf_dir):
+    """A2, A3"""
+    return ev.repetition(fx.evidence(spark, sf_dir))
+
+
+_UNSEEN = f"""{fx.EVIDENCE_SQL}, seen as (select distinct habit_id, fingerprint from evidence where advisor and observed_at < timestamp '{SINCE}'),
+    rows as (select habit_id, cast(observed_at as date) as day from evidence where not advisor union all
+      select habit_id, cast(min(observed_at) as date) from evidence where advisor and (habit_id, fingerprint) not in (select (habit_id, fingerprint) from seen) group by habit_id, fingerprint)"""
+
+
+@query(f"with {_UNSEEN} select habit_id, count(*) as n, count(*) >= 3 and count(distinct day) >= 2 as eligible from rows group by 1")
+def repeated_evidence(spark, sf_dir):
+    """A4, U5, U8"""
+    e = fx.evidence(spark, sf_dir)
+    first = e.filter("advisor").groupBy("habit_id", "fingerprint").agg(F.min("observed_at").alias("observed_at")).withColumn("advisor", F.lit(True))
+    rows = e.filter("not advisor").select("habit_id", "fingerprint", "observed_at", "advisor").unionByName(first)
+    seen = e.filter(F.col("advisor") & (F.col("observed_at") < F.lit(SINCE).cast("timestamp_ntz"))).select("habit_id", "fingerprint").distinct()
+    return ev.repeated_evidence(rows, seen).select("habit_id", "n", "eligible")
+
+
+@query(
+    f"""with {fx.EVIDENCE_SQL}, a as (select habit_id, count(*) as advisor_events, min(seq) as first_seq from (select habit_id, fingerprint, arg_min(seq, (observed_at, seq)) as seq from evidence where advisor group by 1, 2) group by 1),
+    d as (select habit_id, string_agg(distinct cast(cast(observed_at as date) as varchar), ',' order by cast(cast(observed_at as date) as varchar)) as dates from evidence where not advisor group by 1)
+    select coalesce(a.habit_id, d.habit_id) as habit_id, dates, advisor_events, first_seq from a full join d on a.habit_id = d.habit_id"""
+)
+def evidence_metadata(spark, sf_dir):
+    """A5, U6"""
+    return ev.split_metadata(fx.evidence(spark, sf_dir)).withColumn("dates", F.array_join("dates", ","))
+
+
+@query(
+    f"""with {fx.EVIDENCE_SQL}, d as (select habit_id, cast(observed_at as date) as day, count(*) filter (where not advisor) as own, count(*) filter (where advisor) as adv, max(observed_at) as last_at from evidence group by 1, 2)
+    select habit_id, cast(sum(own) as bigint) as refs, cast(sum(adv) as bigint) as advisor_events, max(last_at) as updated_at, array_to_string(list_sort(list(cast(day as varchar)))[-30:], ',') as days from d group by 1 order by 4 desc, 1 limit 60"""
+)
+def compact_context(spark, sf_dir):
+    """A10, T9"""
+    return ev.compact_context(fx.evidence(spark, sf_dir)).withColumn("days", F.array_join(F.transform("days", lambda d: d.cast("string")), ","))
+
+
+@query(
+    f"""with {fx.EVIDENCE_SQL}, o as (select habit_id as id, max(confidence_bp) as c, max(observed_at) as t, list(distinct fingerprint) as r from evidence where observed_at < timestamp '{SINCE}' group by 1),
+    n as (select habit_id as id, max(confidence_bp) as c, max(observed_at) as t, list(distinct fingerprint) as r from evidence where observed_at >= timestamp '{SINCE}' group by 1)
+    select coalesce(o.id, n.id) as id, greatest(o.c, n.c) as confidence_bp, greatest(o.t, n.t) as last_confirmed, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.r, []), coalesce(n.r, []))))[1:64], ',') as refs,
+      case when n.id is null then 'kept' when o.id is null then 'inserted' else 'merged' end as action from o full join n on o.id = n.id"""
+)
+def merge_support(spark, sf_dir):
+    """A18, A19, A20, D2, U4"""
+    e = fx.evidence(spark, sf_dir)
+    record = lambda rows: rows.groupBy(F.col("habit_id").alias("id")).agg(F.max("confidence_bp").alias("confidence_bp"), F.max("observed_at").alias("last_confirmed"), F.collect_set("fingerprint").alias("refs")).withColumn("review_status", F.lit("collecting"))
+    cut = F.lit(SINCE).cast("timestamp_ntz")
+    out = ev.merged(record(e.filter(F.col("observed_at") < cut)), record(e.filter(F.col("observed_at") >= cut)))
+    return out.withColumn("refs", F.array_join("refs", ",")).drop("review_status")
+
+
+@query(
+    f"""with {fx.EVIDENCE_SQL} select habit_id, seq, -1 as polarity, 'old' as behavior, 'old_negative' as role from evidence where polarity = -1
+    union all select habit_id, seq, 1, 'new', 'new_positive' from evidence where polarity = -1"""
+)
+def correction_split(spark, sf_dir):
+    """D4"""
+    rows = fx.evidence(spark, sf_dir).filter("polarity = -1").select("habit_id", "seq", F.lit("old").alias("old_behavior"), F.lit("new").alias("new_behavior"))
+    return lifecycle.corrections(rows)
+
+
+@query(
+    f"""with {fx.EVIDENCE_SQL}, {fx.HITS_SQL},
+    e as (select habit_id, string_agg(cast(seq as varchar), ',' order by nth) as evidence from (select habit_id, seq, row_number() over (partition by habit_id order by observed_at, seq) as nth from evidence) where nth <= 20 group by 1),
+    h as (select habit_id, string_agg(cast(seq as varchar), ',' order by nth) as hits from (select habit_id, seq, row_number() over (partition by habit_id order by observed_at desc, seq desc) as nth from hits) where nth <= 20 group by 1)
+    select k.habit_id, evidence, hits from (select distinct habit_id from hits) k left join e using (habit_id) left join h using (habit_id)"""
+)
+def explain_topn(spark, sf_dir):
+    """J17, T10"""
+    e, h = fx.evidence(spark, sf_dir).select("habit_id", "seq", "observed_at"), fx.hits(spark, sf_dir).select("habit_id", "seq", "observed_at")
+    out = lifecycle.explained(h.select("habit_id").distinct(), e, h)
+    return out.select("habit_id", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("evidence", "hits")))
+
+
+# --- metrics ----------------------------------------------------------------
+
+
+@query(
+    f"""with {fx.HITS_SQL} select mode, count(*) filter (where action = 'inject' and selected = 1) as inject, count(*) filter (where action = 'skip') as skip, count(*) filter (where action = 'inject' and selected = 1 and staleness > 0.8) as stale,
+    coalesce(count(*) filter (where action = 'inject' and selected = 1 and staleness > 0.8) / nullif(count(*) filter (where action = 'inject' and selected = 1), 0), 0)::double as stale_hit_rate from hits group by 1"""
+)
+def selector_metrics(spark, sf_dir):
+    """A6"""
+    return metrics.selector(fx.hits(spark, sf_dir))
+
+
+@query(f"with {fx.HITS_SQL} select action, count(*) as n from hits group by 1")
+def audit_group_counts(spark, sf_dir):
+    """A7"""
+    return metrics.action_counts(fx.hits(spark, sf_dir))
+
+
+@query("select 'events' as name, count(*) as n from events union all select 'embeddings', count(*) from embeddings union all select 'conversations', count(*) from conversations")
+def table_counts(spark, sf_dir):
+    """A8, A22"""
+    return metrics.table_counts({t: fx.table(spark, sf_dir, t) for t in ("events", "embeddings", "conversations")})
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, s as (select *, case id % 6 when 0 then 'approved_pending_conflict' when 1 then 'duplicate_resolution' when 2 then 'awaiting_review' end as review_status from habits)
+    select user_id, count(*) filter (where status = 'candidate') as candidates, count(*) filter (where status = 'active') as active, count(*) filter (where review_status like 'approved_pending_%') as waiting, count(*) filter (where review_status = 'duplicate_resolution') as duplicates from s group by 1"""
+)
+def review_summary(spark, sf_dir):
+    """A9"""
+    return metrics.review_summary(_reviewed(spark, sf_dir))
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id") % 6
+    return fx.habits(spark, sf_dir).withColumn("review_status", F.when(i == 0, "approved_pending_conflict").when(i == 1, "duplicate_resolution").when(i == 2, "awaiting_review"))
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, s as (select *, case id % 6 when 0 then 'approved_pending_conflict' when 1 then 'duplicate_resolution' when 2 then 'awaiting_review' end as review_status from habits)
+    select id, case when review_status like 'approved_pending_%' then substr(review_status, 18) end as waiting_reason, coalesce(review_status not in ('collecting_evidence','approved_pending_eligibility','approved_pending_conflict','approved_pending_law_blocked','duplicate_resolution'), true) as visible from s"""
+)
+def review_filters(spark, sf_dir):
+    """F14, F15, U2"""
+    return _reviewed(spark, sf_dir).select("id", R.waiting_reason().alias("waiting_reason"), R.review_visible().alias("visible"))
+
+
+_RECEIPTS = """receipts as (select user_id, event_id, cast(event_id % 9 as bigint) as checked, cast(event_id % 3 as bigint) as new_suggestions, case when event_type = 'error' then 'failed' else 'ok' end as status,
+    event_id % 101 = 0 as queue_overflowed, case when event_type <> 'error' then null when event_id % 2 = 0 then 'storage_io_error' else 'model_call_failed' end as safe_code, cast(event_id % 4 as int) as rank, cast(event_id as varchar) as name, event_id % 5 <> 0 as readable from events)"""
+
+
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, error = F.col("event_id"), F.col("event_type") == "error"
+    message = F.when(error & (i % 2 == 0), "sqlite storage failed").when(error, "connection reset")
+    return fx.table(spark, sf_dir, "events").select(
+        "user_id", "event_id", (i % 9).alias("checked"), (i % 3).alias("new_suggestions"), F.when(error, "failed").otherwise("ok").alias("status"), (i % 101 == 0).alias("queue_overflowed"),
+        F.when(error, R.error_code(message)).alias("safe_code"), (i % 4).cast("int").alias("rank"), i.cast("string").alias("name"), (i % 5 != 0).alias("readable")
+    )
+
+
+@query(
+    f"""with {_RECEIPTS} select user_id, cast(sum(checked) as bigint) as checked, cast(sum(new_suggestions) as bigint) as new_suggestions, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'failed') as failed,
+    bool_or(queue_overflowed) as overflowed, coalesce(string_agg(distinct safe_code, ',' order by safe_code), '') as codes from receipts group by 1"""
+)
+def receipt_summary(spark, sf_dir):
+    """A13, S27, F26"""
+    return metrics.receipts(_receipts(spark, sf_dir))
+
+
+@query(f"with {_RECEIPTS}, r as (select *, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by rank, name) as nth from receipts where readable) select user_id, name, rank from r where nth <= n - 20 + 1")
+def receipt_evictions(spark, sf_dir):
+    """T12, S25"""
+    return metrics.evictions(_receipts(spark, sf_dir), 20).select("user_id", "name", "rank")
+
+
+@query("with r as (select event_type, value, row_number() over (partition by event_type order by value) as nth, count(*) over (partition by event_type) as n from events) select event_type, value as p95, n from r where nth = greatest(1, cast(ceil(n * 0.95) as bigint))")
+def latency_p95(spark, sf_dir):
+    """A14"""
+    return metrics.nearest_rank(fx.table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("with r as (select user_id, event_type, event_id, value, row_number() over (partition by user_id, event_type order by value desc, event_id) as nth from events) select user_id, event_type, event_id, value from r where nth = 1")
+def emission_dedupe(spark, sf_dir):
+    """T13, R9"""
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.struct("user_id", "event_type").alias("event"), F.col("event_id").alias("pos"))
+    return metrics.emitted(e, "event", "value").select("user_id", "event_type", "event_id", "value")
+
+
+@query(
+    """with m as (select user_id, event_type, cast(ts as date) as day, min(event_id) as first, count(*) as merged, max(event_id) as last from events group by 1, 2, 3)
+    select user_id, event_type, day, first, merged, last, case when row_number() over (partition by user_id order by first) <= 5 then 'queued' else 'dropped' end as state from m"""
+)
+def coalesced_queue(spark, sf_dir):
+    """R7"""
+    e = fx.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return capture.coalesced(e, ["user_id", "event_type", "day"], 5, "event_id")
+
+
+@query(
+    f"""with o as (select user_id as scope, event_type as batch_id, min(ts) as created_at from events where ts >= timestamp '{SINCE}' group by 1, 2), a as (select * from o where created_at > timestamp '{SINCE}' + interval 7200 minute - interval 360000 second),
+    n as (select *, row_number() over (partition by scope order by created_at desc, batch_id desc) as nth from a) select scope, batch_id, created_at, cast(nth as int) as nth from n where nth <= 3"""
+)
+def ttl_queue_state(spark, sf_dir):
+    """R10, T14"""
+    e = fx.table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit(SINCE).cast("timestamp_ntz")).select(F.col("user_id").alias("scope"), F.col("event_type").alias("batch_id"), F.col("ts").alias("created_at"))
+    return capture.live_queue(e, F.lit("2024-01-20").cast("timestamp_ntz"), 360_000, 3)
+
+
+@query(
+    """with g as (select user_id as scope, ts, event_id, case when coalesce(date_diff('second', lag(ts) over w, ts) > 86400, true) then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
+    s as (select *, sum(new) over (partition by scope order by ts, event_id) as session from g) select scope, cast(session as bigint) as session, min(ts) as opened, max(ts) as touched, count(*) as touches from s group by 1, 2"""
+)
+def draft_sessions(spark, sf_dir):
+    """R11"""
+    e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("scope"), F.date_trunc("second", "ts").alias("sec"), "ts", F.col("event_id").alias("pos"))
+    return capture.drafts(e.withColumn("ts", F.col("ts")), 86_400)
+
+
+# --- proposals and lifecycle ------------------------------------------------
+
+
+@query("select l_partkey, count(distinct l_suppkey) as identities, count(*) as n from lineitem group by 1 having count(distinct l_suppkey) > 1")
+def candidate_key_conflicts(spark, sf_dir):
+    """A11"""
+    return lifecycle.key_conflicts(fx.table(spark, sf_dir, "lineitem"), "l_partkey", ["l_suppkey"])
+
+
+@query(
+    """with r as (select l_orderkey * 10 + l_linenumber as proposal_id, year(l_shipdate) as file_generation, l_orderkey as seq, case when l_linenumber = 7 then 'X' else 'same' end as checksum from lineitem),
+    o as (select year(o_orderdate) as file_generation, o_orderkey as seq, 'same' as checksum from orders)
+    select case when o.checksum is null then 'missing' when o.checksum <> r.checksum then 'changed' else 'resolved' end as state, count(*) as n from r left join o using (file_generation, seq) group by 1"""
+)
+def source_ref_join(spark, sf_dir):
+    """J1, J2"""
+    line = fx.table(spark, sf_dir, "lineitem")
+    ref = F.struct(F.year("l_shipdate").alias("file_generation"), F.col("l_orderkey").alias("seq"), F.when(F.col("l_linenumber") == 7, "X").otherwise("same").alias("checksum"))
+    proposals = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("proposal_id"), F.array(ref).alias("source_refs"))
+    obs = fx.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("file_generation"), F.col("o_orderkey").alias("seq"), F.lit("same").alias("checksum"))
+    return lifecycle.resolved_refs(proposals, obs).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem l where not exists (select 1 from orders o where o.o_orderkey = l.l_orderkey and year(o.o_orderdate) = year(l.l_shipdate))")
+def source_ref_missing(spark, sf_dir):
+    """J2"""
+    refs = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("seq"), F.year("l_shipdate").alias("gen"))
+    obs = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.year("o_orderdate").alias("gen"))
+    return lifecycle.missing_refs(refs, obs, ["seq", "gen"]).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, {fx.EVIDENCE_SQL}, {_PAIRS}, rep as (select habit_id as id, count(*) >= 3 and count(distinct cast(observed_at as date)) >= 2 as repeated from evidence group by 1), dup as (select id_a as id from near union select id_b from near),
+    g as (select h.id, coalesce(r.repeated, false) as repeated, h.id % 11 <> 0 as law_ok, h.id % 13 <> 0 as conflict_free, d.id is null as duplicate_free from habits h left join rep r using (id) left join dup d using (id) where h.status = 'candidate')
+    select id, case when not duplicate_free then 'duplicate_resolution' when not repeated then 'approved_pending_eligibility' when not law_ok then 'approved_pending_law_blocked' when not conflict_free then 'approved_pending_conflict' else 'accepted_active' end as review_status,
+      case when duplicate_free and repeated and law_ok and conflict_free then 'active' else 'candidate' end as status from g"""
+)
+def activation_decision(spark, sf_dir):
+    """D11, D12, D16, A3"""
+    h = fx.habits(spark, sf_dir).filter("status = 'candidate'").select("id")
+    rep = ev.repetition(fx.evidence(spark, sf_dir)).select(F.col("habit_id").alias("id"), F.col("eligible").alias("repeated"))
+    dup = dedupe.pending_counts(dedupe.relations(_near(spark, sf_dir), "m1"))
+    gates = h.join(rep, "id", "left").join(dup, "id", "left").select(
+        "id", F.coalesce("repeated", F.lit(False)).alias("repeated"), (F.col("id") % 11 != 0).alias("law_ok"), (F.col("id") % 13 != 0).alias("conflict_free"), F.col("pending").isNull().alias("duplicate_free")
+    )
+    return lifecycle.activation(gates).select("id", "review_status", "status")
+
+
+@query(
+    f"""with {fx.TEXTS_SQL}, l as (select doc_id, max(toxic) as toxic from labels group by 1), h as (select t.id, {fx.norm_sql("condition || ' ' || behavior || case when coalesce(l.toxic, 0) = 1 then ' inject the report' else '' end")} as t from texts t left join l on l.doc_id = t.id)
+    select id, case when len({_LAW}) > 0 then 'suppressed_by_law' else 'active' end as after from h"""
+)
+def law_recheck(spark, sf_dir):
+    """D15"""
+    toxic = fx.table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    t = fx.texts(spark, sf_dir).join(toxic, "id", "left")
+    planted = F.concat("behavior", F.when(F.coalesce("toxic", F.lit(0)) == 1, " inject the report").otherwise(""))
+    return lifecycle.law_recheck(t.select("id", F.lit("active").alias("status"), "condition", planted.alias("behavior"))).select("id", "after")
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, {_PAIRS}, e as (select id_a as id, case when class = 'strong' then 'supersedes' else 'conflicts_with' end as relation, id_b as target from near)
+    select h.id, coalesce(string_agg(distinct cast(target as varchar), ',' order by cast(target as varchar)) filter (where relation = 'supersedes'), '') as supersedes,
+      coalesce(string_agg(distinct cast(target as varchar), ',' order by cast(target as varchar)) filter (where relation = 'conflicts_with'), '') as conflicts_with from habits h left join e using (id) group by 1"""
+)
+def relation_fold(spark, sf_dir):
+    """J16"""
+    edges = _near(spark, sf_dir).select(F.col("id_a").alias("source_id"), F.when(F.col("class") == "strong", "supersedes").otherwise("conflicts_with").alias("relation"), F.col("id_b").cast("string").alias("target_id"))
+    out = lifecycle.folded_relations(fx.habits(spark, sf_dir).select("id"), edges)
+    return out.select("id", *(F.array_join(c, ",").alias(c) for c in ("supersedes", "conflicts_with")))
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, {_PAIRS}, a as (select *, case (id_a + id_b) % 4 when 0 then 'merge' when 1 then 'supersede' when 2 then 'keep_separate' else 'archive_duplicate' end as action from near)
+    select id_a, id_b, action, case when action = 'keep_separate' then null when action = 'supersede' then id_b else id_a end as survivor, case when action = 'keep_separate' then null when action = 'supersede' then id_a else id_b end as loser from a"""
+)
+def duplicate_resolution(spark, sf_dir):
+    """D14"""
+    n = (F.col("id_a") + F.col("id_b")) % 4
+    r = dedupe.relations(_near(spark, sf_dir), "m1").withColumn("action", F.when(n == 0, "merge").when(n == 1, "supersede").when(n == 2, "keep_separate").otherwise("archive_duplicate"))
+    return lifecycle.duplicate_plan(r).select("id_a", "id_b", "action", "survivor", "loser")
+
+
+@query(
+    f"""with {fx.HABITS_SQL}, r as (select id, status, case id % 4 when 0 then 'reject' when 1 then 'disable' when 2 then 'enable' else 'archive' end as action, id % 9 = 0 as stale from habits),
+    m as (select *, case when stale then 'stale' when (action = 'reject' and status = 'candidate') or (action = 'disable' and status = 'active') or (action = 'enable' and status = 'disabled') or (action = 'archive' and status in ('candidate', 'active', 'disabled')) then 'moved' else 'not_allowed' end as outcome from r)
+    select id, action, outcome, case when outcome <> 'moved' then status when action = 'disable' then 'disabled' when action = 'enable' then 'active' else 'archived' end as after from m"""
+)
+def status_moves(spark, sf_dir):
+    """D9, D13, D22, R13"""
+    h = fx.habits(spark, sf_dir).select("id", "status", F.lit("s").alias("checksum"))
+    i = F.col("id") % 4
+    asked = h.select("id", F.when(i == 0, "reject").when(i == 1, "disable").when(i == 2, "enable").otherwise("archive").alias("action"), F.when(F.col("id") % 9 == 0, "t").otherwise("s").alias("checksum"))
+    return lifecycle.status_moves(h, asked).select("id", "action", "outcome", "after")
+
+
+@query()
+def canonical_json_hash(spark, sf_dir):
+    """X5, X6"""
+    e = fx.table(spark, sf_dir, "events")
+    doc = X.canonical_json(type=F.col("event_type"), props=F.from_json("props", "k bigint"), id=F.col("event_id"))
+    return e.select("event_id", X.checksum(doc).alias("checksum"))
