@@ -137,9 +137,9 @@ def truncated(c: Column, n: int) -> Column:
 
 def json_part(c: Column) -> Column:
     """[X27] The JSON inside a code fence, else from the first brace to the last."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.when(fenced != "", F.trim(fenced)).otherwise(braces)
+    return F.when(fenced != "", fenced).otherwise(braces)
 
 
 def behavior_query(delta: Column, budget_chars: int = 512) -> Column:

@@ -396,15 +396,15 @@ def read_watermark_progress(spark, sf_dir):
 
 
 @query(
-    """with u as (select o_custkey as user_id, o_orderkey as at, cast(o_orderkey % 97 as bigint) as seq, o_orderstatus as checksum from orders),
-    w as (select *, max(seq) over p as top from u window p as (partition by user_id order by at, seq rows between unbounded preceding and 1 preceding)),
-    x as (select w.*, (select max(v.checksum) from u v where v.user_id = w.user_id and v.at < w.at and v.seq = w.top) as sum from w)
-    select user_id, at, case when top is null then 'advance' when seq < top then 'backward' when seq = top and checksum <> sum then 'collision' when seq = top then 'no_op' else 'advance' end as state from x"""
+    """with u as (select o_custkey as user_id, o_orderkey as pos, cast(o_orderkey % 97 as bigint) as seq, o_orderstatus as checksum from orders),
+    w as (select *, max(seq) over (partition by user_id order by pos, seq rows between unbounded preceding and 1 preceding) as top from u),
+    x as (select w.*, (select max(v.checksum) from u v where v.user_id = w.user_id and v.pos < w.pos and v.seq = w.top) as sum from w)
+    select user_id, pos, case when top is null then 'advance' when seq < top then 'backward' when seq = top and checksum <> sum then 'collision' when seq = top then 'no_op' else 'advance' end as state from x"""
 )
 def monotone_watermarks(spark, sf_dir):
     """R1, S39"""
-    u = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("at"), (F.col("o_orderkey") % 97).alias("seq"), F.col("o_orderstatus").alias("checksum"))
-    return log.watermarks(u).select("user_id", "at", "state")
+    u = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 97).alias("seq"), F.col("o_orderstatus").alias("checksum"))
+    return log.watermarks(u).select("user_id", "pos", "state")
 
 
 _GENERATIONS = """g as (select year(o_orderdate) as file_generation, count(*) as seq, max(o_orderdate) as last_at from orders group by 1),

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 from tracewell.functions import exprs as X
 from tracewell.functions import rules as R
 
-OBSERVATION = T.StructType.fromDDL("id string, seq bigint, user_id string, file_generation bigint, origin string, kind string, payload string, prev_pair_ref string, created_at timestamp, checksum string")
-HABIT = T.StructType.fromDDL(
+OBSERVATION = "id string, seq bigint, user_id string, file_generation bigint, origin string, kind string, payload string, prev_pair_ref string, created_at timestamp, checksum string"
+HABIT = (
     "id string, user_id string, record_kind string, schema_version int, status string, habit_id string, condition string, behavior string, polarity int, "
     "confidence_bp bigint, activation double, staleness double, review_status string, law_hash string, checksum string, created_at timestamp, updated_at timestamp"
 )
-EXPERIENCE = T.StructType.fromDDL(
+EXPERIENCE = (
     "id string, user_id string, kind string, scope_kind string, scope_key string, authority string, status string, applicability string, content string, confidence_bp bigint, approved boolean, "
     "valid_from timestamp, expires_at timestamp, last_confirmed timestamp, supersedes array<string>, conflicts_with array<string>, provenance array<struct<source:string,host:string,evidence_id:string>>, checksum string"
 )
@@ -75,7 +75,7 @@ def coverage(reads: DataFrame, key: str = "user_id") -> DataFrame:
 
 def watermarks(updates: DataFrame, key: str = "user_id") -> DataFrame:
     """[R1, S39] The furthest position of each key and what happened to each update on the way."""
-    w = W.partitionBy(key).orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(key).orderBy("pos", "seq").rowsBetween(W.unboundedPreceding, -1)
     top = F.max(F.struct("seq", "checksum")).over(w)
     state = R.first_match(
         "advance",
@@ -100,12 +100,12 @@ def expired(archives: DataFrame, now: Column) -> DataFrame:
     return archives.filter(F.col("expires_at") <= now)
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType = OBSERVATION) -> tuple[DataFrame, DataFrame]:
+def read_log(spark: SparkSession, path: str, schema: str = OBSERVATION) -> tuple[DataFrame, DataFrame]:
     """[S4, S5, S26] Records of JSON lines, and the lines that are none (kept, redacted)."""
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = spark.read.schema(wide).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    good = read.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = read.filter(F.col("_corrupt").isNotNull()).select(X.redact(F.col("_corrupt")).alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    read = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    good = read.filter(F.col("r._corrupt").isNull()).select("r.*").drop("_corrupt")
+    bad = read.filter(F.col("r._corrupt").isNotNull()).select(X.redact(F.col("value")).alias("line"))
     return good, bad
 
 
@@ -143,9 +143,9 @@ def usable_records(records: DataFrame, now: Column, scope_kind: str | None = Non
     return records.filter(R.valid_at(now) & scope)
 
 
-def typed_rows(raw: DataFrame, schema: T.StructType, key: str = "data_json") -> DataFrame:
+def typed_rows(raw: DataFrame, schema: str, key: str = "data_json") -> DataFrame:
     """[S11, S32, U7] Typed columns from JSON, the unknown keys kept as a residual, bad rows marked."""
-    known = [f.name for f in schema.fields]
+    known = T.StructType.fromDDL(schema).names
     parsed = raw.withColumn("r", F.from_json(key, schema)).withColumn("all", F.from_json(key, "map<string,string>"))
     residual = F.to_json(F.map_filter("all", lambda k, v: ~k.isin(known)))
     return parsed.select(*(c for c in raw.columns if c != key), "r.*", residual.alias("residual"), F.col("all").isNull().alias("quarantined"))
