@@ -177,8 +177,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The labelled rows of ``stats``, as ``learn`` takes them."""
-    graded = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    return stats.join(graded, stats[id_col] == graded["doc_id"]).select("bad", (F.pmod(F.xxhash64(graded["doc_id"]), F.lit(3)) > 0).alias("grow"), *FEATURES)
+    graded = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg((F.min("quality") == 0).alias("bad"))
+    met = stats.join(graded, F.col(id_col) == F.col("labelled"))
+    return met.select("bad", (F.pmod(F.xxhash64("labelled"), F.lit(3)) > 0).alias("grow"), *FEATURES)
 
 
 def judged(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
