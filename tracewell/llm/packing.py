@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Tokens of padding that a cut inside a document is worth: at a sentence's end, and elsewhere.
 SENTENCE_PENALTY, FORCED_PENALTY = 4, 24
-#: Cuts are possible at least this often, however long a sentence is.
+#: Cuts are possible at least this often (four times a window, if that is less), however long a sentence is.
 STRIDE = 128
 #: Tokens after which a stream is planned; bounds the memory of a task with very long documents.
 BLOCK = 2_000_000
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
         from pyspark import TaskContext
 
         encode, ends = encoder(path)
+        stride = max(1, min(STRIDE, window // 4))
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # doc_id, start, ids, doc_tokens
         size = 0
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
             edges = np.cumsum([len(h[2]) for h in held])
             pen = np.full(len(ids) + 1, FORCED_PENALTY)
             ok = np.zeros(len(ids) + 1, bool)
-            ok[STRIDE::STRIDE] = True
+            ok[stride::stride] = True
             stops = np.flatnonzero(ends[ids]) + 1
             ok[stops], pen[stops] = True, SENTENCE_PENALTY
             ok[edges], pen[edges] = True, 0
