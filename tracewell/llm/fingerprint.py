@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import let
+from tracewell.llm.common import let, materialize
 
 PIECE = 160
 CELLS = 8
@@ -64,20 +64,15 @@ def sketch(keys: Column, lev: Column, attempt: int) -> Column:
     marks = F.transform(F.sequence(F.lit(0), buckets - 1), lambda b: F.call_function("shiftleft", b.cast("long"), 64 - lev).bitwiseXOR(low))
 
     def table(own: Column) -> Column:
-        def cell(third: int, c: Column) -> Column:
-            mine = F.filter(own, lambda k: place(k, third, attempt) == c)
-            zero = F.lit(0).cast("long")
-            return let(
-                mine,
-                lambda m: F.struct(
-                    F.size(m).alias("n"),
-                    F.aggregate(m, zero, lambda a, k: a.bitwiseXOR(k)).alias("k"),
-                    F.aggregate(m, zero, lambda a, k: a.bitwiseXOR(F.xxhash64(k))).alias("h"),
-                ),
-            )
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+        hashed = F.transform(own, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), *(place(k, t, attempt).alias(f"c{t}") for t in range(3))))
+
+        def cell(placed: Column, third: int, c: Column) -> Column:
+            added = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
+            return F.aggregate(placed, zero, lambda a, x: F.when(x[f"c{third}"] == c, added(a, x)).otherwise(a))
 
         places = F.array(*(F.lit(c) for c in range(CELLS)))
-        return F.concat(*(F.transform(places, partial(cell, t)) for t in range(3)))
+        return let(hashed, lambda placed: F.concat(*(F.transform(places, partial(cell, placed, t)) for t in range(3))))
 
     def dealt(s: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).bitwiseAND(F.lit(1).cast("long")) == 0)
@@ -96,25 +91,24 @@ def peel(difference: Column, attempt: int) -> Column:
 
     def single(cells: Column) -> Column:
         pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["h"]))
-        return F.array_distinct(F.transform(pure, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
+        return F.array_distinct(F.transform(pure, lambda c: F.struct(*(c[f].alias(f) for f in "knh"), *((place(c["k"], t, attempt) + t * CELLS).alias(f"c{t}") for t in range(3)))))
 
     def without(cells: Column, found: Column) -> Column:
         def left(c: Column, i: Column) -> Column:
-            hit = F.filter(found, lambda f: F.when(i < CELLS, place(f["k"], 0, attempt)).when(i < 2 * CELLS, place(f["k"], 1, attempt)).otherwise(place(f["k"], 2, attempt)) == i % CELLS)
-            gone = lambda a, f: F.struct((a["n"] - f["n"]).alias("n"), a["k"].bitwiseXOR(f["k"]).alias("k"), a["h"].bitwiseXOR(F.xxhash64(f["k"])).alias("h"))
-            return F.aggregate(hit, c, gone)
+            gone = lambda a, f: F.struct((a["n"] - f["n"]).alias("n"), a["k"].bitwiseXOR(f["k"]).alias("k"), a["h"].bitwiseXOR(f["h"]).alias("h"))
+            return F.aggregate(found, c, lambda a, f: F.when((f["c0"] == i) | (f["c1"] == i) | (f["c2"] == i), gone(a, f)).otherwise(a))
 
         return F.transform(cells, left)
 
     def turn(state: Column, _: Column) -> Column:
         def after(found: Column) -> Column:
-            more = F.struct(without(state["cells"], found).alias("cells"), F.concat(state["keys"], F.transform(found, lambda f: f["k"])).alias("keys"))
-            return F.when(F.size(found) == 0, state).otherwise(more)
+            more = F.struct(without(state["cells"], found).alias("cells"), F.concat(state["keys"], F.transform(found, lambda f: f["k"])).alias("keys"), F.lit(False).alias("over"))
+            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["keys"].alias("keys"), F.lit(True).alias("over"))).otherwise(more)
 
-        return let(single(state["cells"]), after)
+        return F.when(state["over"], state).otherwise(let(single(state["cells"]), after))
 
     def bucket(cells: Column) -> Column:
-        start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("keys"))
+        start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("keys"), F.lit(False).alias("over"))
         end = F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, turn)
         return let(end, lambda e: F.when(F.forall(e["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)), e["keys"]))
 
@@ -122,41 +116,42 @@ def peel(difference: Column, attempt: int) -> Column:
     return let(emptied, lambda e: F.when(~F.exists(e, lambda x: x.isNull()), F.flatten(e)))
 
 
-def difference(a: Column, b: Column) -> Column:
+def difference(a: Column, b: Column, first: Column | None = None) -> Column:
     """Digests that one of two sorted digest arrays has and the other has not, from their sketches.
 
-    After ``ATTEMPTS`` failures the arrays themselves are compared.
+    ``first`` is the first attempt's difference of sketches, if there is one
+    already.  After ``ATTEMPTS`` failures the arrays themselves are compared.
     """
     lev = F.greatest(level(F.size(a)), level(F.size(b)))
-    tries = [peel(subtract(sketch(a, lev + i, i), sketch(b, lev + i, i)), i) for i in range(ATTEMPTS)]
+    tries = [peel(subtract(sketch(a, lev + i, i), sketch(b, lev + i, i)) if i or first is None else first, i) for i in range(ATTEMPTS)]
     return F.coalesce(*tries, F.concat(F.array_except(a, b), F.array_except(b, a)))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, first: Column | None = None) -> Column:
     """Shared digests over all digests of two versions, 1 for two empty ones."""
-    d = F.size(difference(a, b))
+    d = F.size(difference(a, b, first))
     both = F.size(a) + F.size(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(let(d, lambda x: (both - x) / (both + x)))
 
 
-def signature(keys: Column) -> Column:
-    """32 hex digits of the first sketch: equal for equal texts."""
-    s = sketch(keys, level(F.size(keys)), 0)
-    return let(s, lambda x: F.lower(F.concat(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lpad(F.hex(F.xxhash64(x, F.lit(1))), 16, "0"))))
+def signature(first: Column) -> Column:
+    """32 hex digits of a text's sketch at its own level: equal for equal texts."""
+    return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(first)), 16, "0"), F.lpad(F.hex(F.xxhash64(first, F.lit(1))), 16, "0")))
 
 
 def followed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs(doc, tie, *columns)`` with ``next``, the ``columns`` of the next row by descending ``doc``, the first after the last.
 
     Ids are dealt in spans and ordered within each; a small table of the spans'
-    first rows closes the gaps between them.
+    first rows closes the gaps between them.  It is written first, so Spark
+    knows its size and broadcasts it only where it is small.
     """
     spans = docs.withColumn("span", F.floor(F.col("doc") / SPAN))
     w = W.partitionBy("span").orderBy(F.desc("doc"), "tie")
     within = spans.withColumn("next", F.lead(F.struct(*columns)).over(w))
     heads = spans.groupBy("span").agg(F.max(F.struct("doc", (-F.col("tie")).alias("tie"))).alias("head"))
     order = W.orderBy(F.desc("span"))
-    below = heads.select("span", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
+    below = materialize(heads.select("span", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head")))
     firsts = docs.join(below.select("span", F.col("head.doc").alias("doc"), (-F.col("head.tie")).alias("tie")), ["doc", "tie"]).dropDuplicates(["span"])
     edges = firsts.select("span", F.struct(*columns).alias("edge"))
     return within.join(edges, "span", "left").withColumn("next", F.coalesce("next", "edge")).drop("span", "edge")
@@ -182,12 +177,25 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     third = F.floor(F.col("n") / 3).cast("int")
     edited = pairs.select("doc", "n", "keys", F.col("next.keys").alias("next_keys"), F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring(F.col("next.text"), F.lit(1), third)).alias("edited"))
     edited = edited.withColumn("edited_keys", digests(F.col("edited")))
-    return edited.select(
+    names = ("keys", "edited_keys", "next_keys")
+    leveled = edited.withColumns({f"{k}_level": level(F.size(k)) for k in names})
+    sketched = leveled.withColumns({f"{k}_sketch": sketch(F.col(k), F.col(f"{k}_level"), 0) for k in names[:2]})
+
+    def lifted(k: str, lev: Column) -> Column:
+        """The sketch of ``k`` at a level, the one at its own level where that will do."""
+        again = sketch(F.col(k), lev, 0)
+        return F.when(F.col(f"{k}_level") == lev, F.col(f"{k}_sketch")).otherwise(again) if k in names[:2] else again
+
+    def near(k: str) -> Column:
+        lev = F.greatest("keys_level", f"{k}_level")
+        return likeness(F.col("keys"), F.col(k), subtract(lifted("keys", lev), lifted(k, lev)))
+
+    return sketched.select(
         F.when(F.col("doc") != _LOWEST, F.col("doc")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        signature(F.col("keys")).alias("fingerprint"),
-        signature(F.col("edited_keys")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
+        signature(F.col("keys_sketch")).alias("fingerprint"),
+        signature(F.col("edited_keys_sketch")).alias("edited_fingerprint"),
+        near("edited_keys").alias("near_edited"),
+        near("next_keys").alias("near_next"),
     )
