@@ -32,6 +32,8 @@ FREQUENT = 60_000
 #: Distinct words whose likelihood a Python worker remembers.
 CACHE = 300_000
 ALPHA = 0.1
+#: Words that a task holds before it sends them on: bounds its memory.
+SENT = 20_000
 
 _state: dict = {}
 
@@ -100,12 +102,13 @@ class Lattice:
                 self.byte[int(sp.id_to_piece(i)[3:5], 16)] = p
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.log[sp.id_to_piece(i)] = p
-        self.longest = max(map(len, self.log))
+        self.step: dict[str, float | None] = {p[:k]: None for p in self.log for k in range(1, len(p))}  # None: only begins pieces
+        self.step.update(self.log)
         self.single = {p for p in self.log if len(p) == 1}
         self.cache: dict[bytes, float] = {}
 
     def word(self, word: bytes) -> float:
-        """Natural log of the word's marginal probability, in linear space with a running rescale."""
+        """Natural log of the word's marginal probability."""
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > CACHE:
@@ -116,18 +119,49 @@ class Lattice:
         return got
 
     def forward(self, s: str) -> float:
-        log, longest, n = self.log, self.longest, len(s)
-        alpha = [-math.inf] * (n + 1)
+        """The recursion in log space; from each start, strings are lengthened while some piece begins with them."""
+        step, single, n = self.step, self.single, len(s)
+        exp, log1p = math.exp, math.log1p
+        alpha: list[float | None] = [None] * (n + 1)
         alpha[0] = 0.0
-        for j in range(1, n + 1):
-            terms = [alpha[i] + log[s[i:j]] for i in range(max(0, j - longest), j) if s[i:j] in log]
-            if s[j - 1] not in self.single:  # no piece of its own: its bytes
-                terms.append(alpha[j - 1] + sum(self.byte[b] for b in s[j - 1].encode("utf-8", "replace")))
-            top = max(terms)
-            alpha[j] = top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms))
+        for i in range(n):
+            here = alpha[i]
+            j = i + 1
+            if s[i] not in single:  # no piece of its own: its bytes
+                moves = [(j, here + sum(self.byte[b] for b in s[i].encode("utf-8", "replace")))]
+            else:
+                moves = []
+            while j <= n:
+                p = step.get(s[i:j], 0)
+                if p == 0:
+                    break
+                if p is not None:
+                    moves.append((j, here + p))
+                j += 1
+            for j, t in moves:
+                old = alpha[j]
+                if old is None:
+                    alpha[j] = t
+                elif old >= t:
+                    alpha[j] = old + log1p(exp(t - old))
+                else:
+                    alpha[j] = t + log1p(exp(old - t))
         return alpha[n]
 
 
+def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
+    """Words with the highest counts, at most ``most``: a small histogram of counts gives the least one."""
+    level = F.floor(F.log2("n") * 16)
+    sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("size"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r["size"]
+        if total > most:
+            break
+        least = r["least"]
+    return {bytes(r.word): r.n for r in words.filter(F.col("n") >= least).collect()} if least is not None else {}
+
+
 def score(docs: DataFrame, train: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row of ``docs`` by a model of the rows of ``train``.
 
@@ -145,7 +179,7 @@ def score(docs: DataFrame, train: DataFrame, path: str, id_col: str = "doc_id",
     words = materialize(count_words(train, id_col, text_col))
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first() + (train.count(),)
     pieces = {r.piece: r.n for r in piece_counts(words, path).collect()}
-    frequent = {bytes(r.word): r.n for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    frequent = frequent_words(words, FREQUENT)
     total, kinds = n + ends, v + (1 if ends else 0)  # tokens and distinct tokens, the end among them
     scale = math.log10(total + ALPHA * (kinds + 1)) if total + ALPHA * (kinds + 1) > 0 else 0.0
     shared = spark.sparkContext.broadcast((frequent, pieces))
@@ -161,24 +195,34 @@ def score(docs: DataFrame, train: DataFrame, path: str, id_col: str = "doc_id",
             _state[key] = Lattice(path, piece, n, ends), {w: (1, math.log10(c + ALPHA) - scale) for w, c in counts.items()}
         lattice, known = _state[key]
         likelihood = lattice.word
-        rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        types = [pa.int64()] * 4 + [pa.float64()] * 2
+        names = ["row", "k", "n_tokens", "n_known", "base", "score", "rest"]
+
+        def frame(rows, offsets, rare, counts):
+            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(counts, pa.int32())], ["word", "n"]))
+            columns = list(zip(*rows)) or [()] * 6
+            return pa.record_batch([*(pa.array(c, t) for c, t in zip(columns, types)), rest], names)
+
         for b in batches:
-            rows = []
-            for row, k, text in zip(*(c.to_pylist() for c in b.columns)):
-                found = Counter(tokens(text))
-                n_known, base, value, rest = end_known, end_base, lattice.end, []
+            rows, offsets, rare, counts = [], [0], [], []
+            for row, k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                found = Counter(tokens(text.as_py()))
+                n_known, base, value = end_known, end_base, lattice.end
                 for w, c in found.items():
                     value += c * likelihood(w)
                     got = known.get(w)
                     if got is None:
-                        rest.append({"word": w, "n": c})
+                        rare.append(w)
+                        counts.append(c)
                     else:
                         n_known += c
                         base += c * got[1]
-                rows.append((row, k, found.total() + 1, n_known, base, value / math.log(10), rest))
-            columns = list(zip(*rows)) or [()] * 7
-            types = [pa.int64()] * 4 + [pa.float64()] * 2 + [rest_type]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["row", "k", "n_tokens", "n_known", "base", "score", "rest"])
+                offsets.append(len(rare))
+                rows.append((row, k, found.total() + 1, n_known, base, value / math.log(10)))
+                if len(rare) >= SENT:
+                    yield frame(rows, offsets, rare, counts)
+                    rows, offsets, rare, counts = [], [0], [], []
+            yield frame(rows, offsets, rare, counts)
 
     picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t"))
     scored = materialize(picked.mapInArrow(run, out))
