@@ -243,6 +243,21 @@ def test_forward_recursion_sums_all_segmentations():
     assert sum(np.exp(v) for v in lattice.log.values()) + sum(map(np.exp, lattice.byte)) + np.exp(lattice.end) <= 1 + 1e-9
 
 
+def test_words_side_by_side_score_as_one_at_a_time(corpus):
+    lattice = lm_scoring.Lattice(P.path("piece_bpe_32k.model"), {i: i % 7 for i in range(3, 32000)}, 0, 5)
+    words = sorted({w for _, t in corpus for w in lm_scoring.tokens(t)} | {b"", b"\0a\0", b"\xff\xfe", "\U00010348".encode() * 3, b"q" * 63, b"q" * 64, b"ing" * 90})
+    want = [lattice.forward("▁" + w.decode("utf-8", "replace")) for w in words]
+    assert lattice.words(words) == pytest.approx(want)
+    assert lattice.words([]).size == 0
+
+
+def test_training_rows_by_condition_or_by_table(documents):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    path = P.path("piece_bpe_32k.model")
+    one = rows(lm_scoring.score(documents, ~held, path), "doc_id", "n_tokens", "n_known", "train_tokens")
+    assert one == rows(lm_scoring.score(documents, documents.filter(~held), path), "doc_id", "n_tokens", "n_known", "train_tokens")
+
+
 def test_scores_of_odd_tables(empty, odd):
     path = P.path("piece_bpe_32k.model")
     assert lm_scoring.score(empty, empty, path).count() == 0

@@ -9,19 +9,20 @@ text falls apart at its words; the forward recursion
 
     alpha(0) = 0,  alpha(j) = logsumexp over pieces w[i:j] of alpha(i) + log p(piece)
 
-runs once for each distinct word, and a text's marginal log probability is the
-sum over its words and the end event.
+runs once for each distinct word of the corpus, beside its count, and a text's
+marginal log probability is the sum over its words and the end event.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import materialize
@@ -29,11 +30,15 @@ from tracewell.llm.common import materialize
 MARK = "▁"
 #: Most frequent training words that every task gets a copy of; the other words are joined by key.
 FREQUENT = 60_000
-#: Distinct words whose likelihood a Python worker remembers.
-CACHE = 300_000
 ALPHA = 0.1
 #: Words that a task holds before it sends them on: bounds its memory.
 SENT = 20_000
+#: Distinct words that a counting task holds before it sends their counts on.
+COUNTED = 200_000
+#: Words scored side by side, and the longest of them; longer words are scored one at a time.
+BESIDE, LONGEST = 4096, 64
+#: Bits of a code point, below a trie node in the key of an edge.
+CHAR_BITS = 21
 
 _state: dict = {}
 
@@ -51,18 +56,32 @@ def vocabulary(path: str):
     return _state[path]
 
 
-def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``word binary, n bigint`` over all rows, summed in each task before the shuffle."""
+def count_words(flagged: DataFrame) -> DataFrame:
+    """``word binary, n bigint`` of ``text, train``: all words, with their counts in the rows that train.
+
+    Counts are summed in each task before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        others: set[bytes] = set()
+
+        def found():
+            others.difference_update(counts)
+            n = pa.array([*counts.values(), *[0] * len(others)], pa.int64())
+            made = pa.record_batch([pa.array([*counts, *others], pa.binary()), n], ["word", "n"])
+            counts.clear()
+            others.clear()
+            return made
+
         for b in batches:
-            found: Counter = Counter()
-            for text in b.column(0).to_pylist():
-                found.update(tokens(text))
-            yield pa.record_batch([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
+            for text, train in zip(b.column(0), b.column(1).to_pylist()):
+                (counts if train else others).update(tokens(text.as_py()))
+                if len(counts) + len(others) > COUNTED:
+                    yield found()
+        yield found()
 
-    made = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint")
-    return made.groupBy("word").agg(F.sum("n").alias("n"))
+    return flagged.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
@@ -72,22 +91,22 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
         sp = vocabulary(path)
         total = np.zeros(sp.get_piece_size(), np.int64)
         for b in batches:
-            texts = [MARK + w.decode("utf-8", "replace") for w in b.column("word").to_pylist()]
-            for ids, n in zip(encode_words(sp, texts), b.column("n").to_pylist()):
-                np.add.at(total, ids, n)
+            found = encode_words(sp, [w.decode("utf-8", "replace") for w in b.column("word").to_pylist()])
+            ids = np.fromiter((i for word in found for i in word), np.int64)
+            np.add.at(total, ids, np.repeat(b.column("n").to_numpy(), [len(word) for word in found]))
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["piece", "n"])
 
     return words.mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def encode_words(sp, texts: list[str]) -> list[list[int]]:
-    """The vocabulary's own segmentation of marked words (its normaliser adds the mark)."""
-    return sp.encode([t[1:] for t in texts], num_threads=1)
+def encode_words(sp, words: list[str]) -> list[list[int]]:
+    """The vocabulary's own segmentation of each word (its normaliser adds the word mark)."""
+    return sp.encode(words, num_threads=1)
 
 
 class Lattice:
-    """Log10 probability of a word: the sum over its segmentations."""
+    """Natural log probabilities of words: sums over their segmentations."""
 
     def __init__(self, path: str, counts: dict[int, int], n_words: int, n_ends: int):
         sp = vocabulary(path)
@@ -102,101 +121,161 @@ class Lattice:
                 self.byte[int(sp.id_to_piece(i)[3:5], 16)] = p
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.log[sp.id_to_piece(i)] = p
-        self.step: dict[str, float | None] = {p[:k]: None for p in self.log for k in range(1, len(p))}  # None: only begins pieces
-        self.step.update(self.log)
         self.single = {p for p in self.log if len(p) == 1}
-        self.cache: dict[bytes, float] = {}
+        self._trie()
+
+    def _trie(self) -> None:
+        """The pieces' trie as arrays: a sorted key (node, character) for each edge, its child, each node's log probability."""
+        nodes: dict[str, int] = {"": 0}
+        edges: dict[int, int] = {}
+        for piece in self.log:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    edges[nodes[piece[: k - 1]] << CHAR_BITS | ord(piece[k - 1])] = nodes[piece[:k]]
+        self.keys = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.weight = np.array([self.log.get(s, -np.inf) for s in nodes])
+        self.nodes = nodes
+
+    def spelled(self, char: str) -> float:
+        """Log probability of a character's bytes."""
+        return sum(self.byte[b] for b in char.encode("utf-8", "replace"))
 
     def word(self, word: bytes) -> float:
-        """Natural log of the word's marginal probability."""
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            got = self.forward(MARK + word.decode("utf-8", "replace"))
-            if len(word) < 64:
-                self.cache[word] = got
-        return got
+        return float(self.words([word])[0])
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """The words' marginal log probabilities; words of like length are taken through the recursion side by side."""
+        texts = [MARK + w.decode("utf-8", "replace") for w in words]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.empty(len(texts))
+        order = np.argsort(lengths, kind="stable")
+        short = int((lengths <= LONGEST).sum())
+        for k in range(0, short, BESIDE):
+            at = order[k : min(k + BESIDE, short)]
+            out[at] = self.beside([texts[i] for i in at], lengths[at])
+        for i in order[short:]:
+            out[i] = self.forward(texts[i])
+        return out
+
+    def beside(self, texts: list[str], lengths: np.ndarray) -> np.ndarray:
+        """``forward`` of many texts at once; what stands past the end of a text adds nothing to its result."""
+        longest = int(lengths[-1])
+        chars = np.frombuffer("".join(t.ljust(longest, "\0") for t in texts).encode("utf-32-le"), "<u4").reshape(len(texts), longest)
+        chars = np.ascontiguousarray(chars.T.astype(np.int64))
+        kinds, codes = np.unique(chars, return_inverse=True)
+        codes = codes.reshape(chars.shape)
+        first = np.array([self.nodes.get(chr(c), -1) for c in kinds])
+        bytewise = np.array([-np.inf if chr(c) in self.single else self.spelled(chr(c)) for c in kinds])
+        alpha = np.full((longest + 1, len(texts)), -np.inf)
+        alpha[0] = 0.0
+        for i in range(longest):
+            here, spelled = alpha[i], bytewise[codes[i]]
+            rows = np.flatnonzero(spelled > -np.inf)
+            alpha[i + 1, rows] = np.logaddexp(alpha[i + 1, rows], here[rows] + spelled[rows])
+            node = first[codes[i]]
+            rows = np.flatnonzero(node >= 0)
+            node = node[rows]
+            for j in range(i + 1, longest + 1):
+                p = self.weight[node]
+                ends = np.flatnonzero(p > -np.inf)
+                r = rows[ends]
+                alpha[j, r] = np.logaddexp(alpha[j, r], here[r] + p[ends])
+                if j == longest:
+                    break
+                key = node << CHAR_BITS | chars[j, rows]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                on = np.flatnonzero(self.keys[at] == key)
+                if not len(on):
+                    break
+                rows, node = rows[on], self.child[at[on]]
+        return alpha[lengths, np.arange(len(texts))]
 
     def forward(self, s: str) -> float:
-        """The recursion in log space; from each start, strings are lengthened while some piece begins with them."""
-        step, single, n = self.step, self.single, len(s)
-        exp, log1p = math.exp, math.log1p
-        alpha: list[float | None] = [None] * (n + 1)
+        """The recursion for one text; from each start, strings are lengthened while some piece begins with them."""
+        n = len(s)
+        alpha = [-math.inf] * (n + 1)
         alpha[0] = 0.0
         for i in range(n):
-            here = alpha[i]
+            moves = [] if s[i] in self.single else [(i + 1, self.spelled(s[i]))]
             j = i + 1
-            if s[i] not in single:  # no piece of its own: its bytes
-                moves = [(j, here + sum(self.byte[b] for b in s[i].encode("utf-8", "replace")))]
-            else:
-                moves = []
-            while j <= n:
-                p = step.get(s[i:j], 0)
-                if p == 0:
-                    break
-                if p is not None:
-                    moves.append((j, here + p))
+            while j <= n and (node := self.nodes.get(s[i:j])) is not None:
+                moves.append((j, self.weight[node]))
                 j += 1
-            for j, t in moves:
-                old = alpha[j]
-                if old is None:
-                    alpha[j] = t
-                elif old >= t:
-                    alpha[j] = old + log1p(exp(t - old))
-                else:
-                    alpha[j] = t + log1p(exp(old - t))
+            for j, p in moves:
+                low, high = sorted((alpha[j], alpha[i] + p))
+                alpha[j] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
         return alpha[n]
 
 
-def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
-    """Words with the highest counts, at most ``most``: a small histogram of counts gives the least one."""
+def add_likelihoods(words: DataFrame, path: str, pieces: dict[int, int], n_words: int, n_ends: int) -> DataFrame:
+    """``words`` with ``ll double``, the natural log of each word's marginal probability."""
+    shared, key = words.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _state.get("lattice", ("",))[0] != key:
+            _state["lattice"] = key, Lattice(path, shared.value, n_words, n_ends)
+        lattice = _state["lattice"][1]
+        for b in batches:
+            ll = pa.array(lattice.words(b.column("word").to_pylist()), pa.float64())
+            yield pa.record_batch([b.column("word"), b.column("n"), ll], ["word", "n", "ll"])
+
+    return words.select("word", "n").mapInArrow(run, "word binary, n bigint, ll double")
+
+
+def frequent_words(words: DataFrame, most: int) -> list:
+    """Rows of the words with the highest counts, at most ``most``: a small histogram of counts gives the least one."""
     level = F.floor(F.log2("n") * 16)
-    sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("size"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    seen = words.filter(F.col("n") > 0)
+    sizes = seen.groupBy(level.alias("level")).agg(F.count("*").alias("size"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
     least, total = None, 0
     for r in sizes:
         total += r["size"]
         if total > most:
             break
         least = r["least"]
-    return {bytes(r.word): r.n for r in words.filter(F.col("n") >= least).collect()} if least is not None else {}
+    return words.filter(F.col("n") >= least).collect() if least is not None else []
 
 
-def score(docs: DataFrame, train: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: DataFrame | Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row of ``docs`` by a model of the rows of ``train``.
 
+    ``train`` is a table of its own, or a condition on the rows of ``docs``
+    (null: not taken), which reads the texts once less.
     Columns: ``id_col, n_tokens, n_known, train_tokens, base_score, score``.
     A null text is empty and has the end token only; with no training rows all
     counts are zero and every word has the smoothed probability; repeated rows
     (and rows that share an id, null included) each get their own result;
     other columns are ignored.
 
-    Corpus counts cover all training rows.  The ``FREQUENT`` commonest words
-    (a stated bound) go to every task; each document's other words are joined
-    to the count table by word, so the vocabulary may be of any size.
+    Corpus counts cover all training rows, and each distinct word is taken
+    through the lattice once.  The ``FREQUENT`` commonest words (a stated
+    bound) go to every task; each document's other words are joined to the
+    table of counts and likelihoods by word, so the vocabulary may be of any size.
     """
     spark = docs.sparkSession
-    words = materialize(count_words(train, id_col, text_col))
-    n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first() + (train.count(),)
-    pieces = {r.piece: r.n for r in piece_counts(words, path).collect()}
-    frequent = frequent_words(words, FREQUENT)
+    text = F.col(text_col).cast("string").alias("text")
+    if isinstance(train, Column):
+        flagged, ends = docs.select(text, F.coalesce(train, F.lit(False)).alias("train")), docs.filter(train).count()
+    else:
+        flagged = docs.select(text, F.lit(False).alias("train")).union(train.select(text, F.lit(True)))
+        ends = train.count()
+    counted = materialize(count_words(flagged))
+    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    pieces = {r.piece: r.n for r in piece_counts(counted.filter(F.col("n") > 0), path).collect()}
+    words = materialize(add_likelihoods(counted, path, pieces, n, ends))
     total, kinds = n + ends, v + (1 if ends else 0)  # tokens and distinct tokens, the end among them
     scale = math.log10(total + ALPHA * (kinds + 1)) if total + ALPHA * (kinds + 1) > 0 else 0.0
-    shared = spark.sparkContext.broadcast((frequent, pieces))
-    end_known, end_base = int(ends > 0), math.log10(ends + ALPHA) - scale
-    out = "row bigint, k bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<struct<word:binary,n:int>>"
+    known = {bytes(r.word): (math.log10(r.n + ALPHA) - scale, r.ll) for r in frequent_words(words, FREQUENT)}
+    shared = spark.sparkContext.broadcast(known)
+    end_ll = Lattice(path, pieces, n, ends).end
+    out = "row bigint, k bigint, n_tokens bigint, n_known bigint, base double, ll double, rest array<struct<word:binary,n:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("lattice", id(shared), path)
-        if key not in _state:
-            for old in [k for k in _state if isinstance(k, tuple)]:
-                del _state[old]
-            counts, piece = shared.value
-            _state[key] = Lattice(path, piece, n, ends), {w: (1, math.log10(c + ALPHA) - scale) for w, c in counts.items()}
-        lattice, known = _state[key]
-        likelihood = lattice.word
+        known = shared.value
         types = [pa.int64()] * 4 + [pa.float64()] * 2
-        names = ["row", "k", "n_tokens", "n_known", "base", "score", "rest"]
+        names = ["row", "k", "n_tokens", "n_known", "base", "ll", "rest"]
 
         def frame(rows, offsets, rare, counts):
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(counts, pa.int32())], ["word", "n"]))
@@ -206,19 +285,21 @@ def score(docs: DataFrame, train: DataFrame, path: str, id_col: str = "doc_id",
         for b in batches:
             rows, offsets, rare, counts = [], [0], [], []
             for row, k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                found = Counter(tokens(text.as_py()))
-                n_known, base, value = end_known, end_base, lattice.end
-                for w, c in found.items():
-                    value += c * likelihood(w)
-                    got = known.get(w)
-                    if got is None:
-                        rare.append(w)
-                        counts.append(c)
+                found = tokens(text.as_py())
+                n_known, base, ll = 0, 0.0, 0.0
+                rest: Counter = Counter()
+                for w in found:
+                    if w in known:
+                        more_base, more_ll = known[w]
+                        n_known += 1
+                        base += more_base
+                        ll += more_ll
                     else:
-                        n_known += c
-                        base += c * got[1]
+                        rest[w] += 1
+                rare += rest
+                counts += rest.values()
                 offsets.append(len(rare))
-                rows.append((row, k, found.total() + 1, n_known, base, value / math.log(10)))
+                rows.append((row, k, len(found), n_known, base, ll))
                 if len(rare) >= SENT:
                     yield frame(rows, offsets, rare, counts)
                     rows, offsets, rare, counts = [], [0], [], []
@@ -227,16 +308,16 @@ def score(docs: DataFrame, train: DataFrame, path: str, id_col: str = "doc_id",
     picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t"))
     scored = materialize(picked.mapInArrow(run, out))
     rare = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("tf"))
-    looked_up = rare.join(words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    sums = looked_up.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("tf") * (F.log10(F.col("c") + F.lit(ALPHA)) - F.lit(scale))).alias("more_base"),
+    sums = rare.join(words, "word").groupBy("row").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("tf") * (F.log10(F.col("n") + F.lit(ALPHA)) - F.lit(scale))).alias("more_base"),
+        F.sum(F.col("tf") * F.col("ll")).alias("more_ll"),
     )
     return scored.join(sums, "row", "left").select(
         F.col("k").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("n_tokens") + 1).alias("n_tokens"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(math.log10(ends + ALPHA) - scale)).alias("base_score"),
+        ((F.col("ll") + F.coalesce("more_ll", F.lit(0.0)) + F.lit(end_ll)) / math.log(10)).alias("score"),
     )

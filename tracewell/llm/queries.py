@@ -45,7 +45,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    scored = lm_scoring.score(docs, docs.filter(~held_out), _vocabulary("piece_bpe_32k.model"))
+    scored = lm_scoring.score(docs, ~held_out, _vocabulary("piece_bpe_32k.model"))
     return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
