@@ -389,3 +389,17 @@ def test_quality_model_of_odd_tables(spark, empty, odd):
     assert quality_model.score(empty, none).count() == 0
     got = quality_model.score(odd, none).collect()
     assert len(got) == 8 and all(abs(r.expected_grade - 1) < 1e-6 for r in got)
+
+
+def test_chat_query_against_its_sql(spark):
+    import duckdb
+
+    from tracewell.llm import queries
+
+    con = duckdb.connect()
+    con.sql("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op8_chat"])
+    names = want.columns
+    got = queries.op8_chat(spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
