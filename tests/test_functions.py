@@ -56,7 +56,7 @@ def test_text(spark):
         spark, X.norm_text(t("  A \n b ")), X.utf8_prefix(t("aé" * 10), 7), X.head_tail(t("abcdefghij"), 5), X.json_part(t('x ```json\n{"a":1}\n``` y')), X.xml_escape(t("<a & 'b'>")), X.user_id(t("  ")), X.user_id(t("a/b")),
         X.jaccard(X.token_set(t("the cat sat")), X.token_set(t("the cat ran"))), X.jaccard(X.token_set(t("")), X.token_set(t("!"))), X.is_iso(t("2024-01-02T03:04:05.678Z")), X.is_iso(t("2024-01-02")), X.provider_model(t("a/b/c"))["model_id"], X.provider_model(t("/b")),
     )
-    assert got[:5] == ("a b", "aéaéa", "ab ij", '{"a":1}', "&lt;a &amp; &apos;b&apos;&gt;")
+    assert got[:5] == ("a b", "aéaéa", "ab hij", '{"a":1}', "&lt;a &amp; &apos;b&apos;&gt;")
     assert got[5:7] == ("owner", None) and math.isclose(got[7], 0.5) and got[8] == 1.0
     assert got[9:] == (True, False, "b/c", None)
 
@@ -80,3 +80,12 @@ def test_policy_and_config():
     assert R.Policy(review=9000, strong=10, floor=-1, top_k=99).clamped() == R.Policy(9000, 9000, 0, 12)
     c = Config.parse("max_records = 9999 # many\nretention_days = 8", {"TRACEWELL_MAX_SELECTED": "2"})
     assert (c.max_records, c.retention_days, c.max_selected) == (500, 14, 2)
+
+
+def test_text_forms_at_their_edges(spark):
+    t = F.lit
+    got = one(
+        spark, X.utf8_prefix(t("ab \n\tcdef"), 5), X.head_tail(t("abcdef"), 6), X.head_tail(t("abcdefg"), 6), X.truncated(t("abcdef"), 4), X.user_id(t("\tme \n")), X.user_id(t("..")), X.user_id(t("a\x7f")),
+        X.provider_model(t("a../b")), X.provider_model(t("a/b..c")), X.provider_model(t("a/")), R.capture_origin(t("interactive"), t(False), t(0), t("k"), t("\n\t ")),
+    )
+    assert got == ("ab", "abcdef", "abc efg", "abcd…", "me", "..", None, None, None, None, "empty_text_denied")

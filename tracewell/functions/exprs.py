@@ -115,13 +115,13 @@ def utf8_prefix(c: Column, n: int) -> Column:
     sizes = F.sequence(F.greatest(F.lit(0), F.lit(n // 4)), F.length(head))
     fits = F.filter(sizes, lambda k: F.octet_length(F.substring(head, F.lit(1), k)) <= n)
     cut = F.when(F.octet_length(head) <= n, head).otherwise(F.substring(head, F.lit(1), F.coalesce(F.array_max(fits), F.lit(0))))
-    return F.rtrim(cut)
+    return F.regexp_replace(cut, r"\s+$", "")
 
 
 def head_tail(c: Column, n: int) -> Column:
     """[X24] First and last halves of a text longer than ``n``."""
-    half = (n - 1) // 2
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, half), F.lit(" "), F.right(c, F.lit(half))))
+    head = n // 2
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, head), F.lit(" "), F.right(c, F.lit(n - head))))
 
 
 def tail_keep(c: Column, n: int, marker: str = "[truncated]\n") -> Column:
@@ -130,9 +130,9 @@ def tail_keep(c: Column, n: int, marker: str = "[truncated]\n") -> Column:
 
 
 def truncated(c: Column, n: int) -> Column:
-    """[X26] Redacted and cut to ``n`` characters with an ellipsis."""
+    """[X26] Redacted, cut to ``n`` characters and an ellipsis."""
     safe = redact(c)
-    return F.when(F.length(safe) <= n, safe).otherwise(F.concat(F.substring(safe, 1, n - 1), F.lit("…")))
+    return F.when(F.length(safe) <= n, safe).otherwise(F.concat(F.substring(safe, 1, n), F.lit("…")))
 
 
 def json_part(c: Column) -> Column:
@@ -176,16 +176,16 @@ def declared_wording(c: Column, longest: int = 2000) -> Column:
 
 
 def provider_model(c: Column) -> Column:
-    """[X33] ``provider/model`` split at the first slash; null unless both parts are there."""
+    """[X33] ``provider/model`` split at the first slash; null unless both parts are there, without ``..`` or a null character."""
     at = F.instr(c, "/")
     parts = F.struct(F.substring(c, F.lit(1), at - 1).alias("provider"), F.substring(c, at + 1, F.length(c)).alias("model_id"))
-    return F.when((at > 1) & (at < F.length(c)), parts)
+    return F.when((at > 1) & (at < F.length(c)) & ~F.contains(parts["provider"], F.lit("..")) & ~parts["model_id"].rlike(r"\.\.|\x00"), parts)
 
 
 def user_id(c: Column) -> Column:
     """[X34] Trimmed, blank to ``owner``; null where separators or controls make it unsafe."""
-    name = F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("owner"))
-    return F.when(~name.rlike(r"[/\\\x00-\x1f]") & ~name.isin(".", ".."), name)
+    name = F.coalesce(F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("")), F.lit("owner"))
+    return F.when(~name.rlike(r"[/\\\x00-\x1f\x7f]"), name)
 
 
 def visible_text(parts: Column) -> Column:

@@ -130,7 +130,7 @@ def capture_origin(source: Column, streaming: Column, images: Column, key: Colum
         (F.coalesce(streaming, F.lit(False)), "streaming_input_denied"),
         (F.coalesce(images, F.lit(0)) > 0, "images_denied"),
         (key.isNull(), "missing_capture_key"),
-        (F.trim(F.coalesce(text, F.lit(""))) == "", "empty_text_denied"),
+        (F.coalesce(text, F.lit("")).rlike(r"^\s*$"), "empty_text_denied"),
         (F.length(text) > longest, "input_too_large"),
     )
 
@@ -194,7 +194,7 @@ def waiting_reason() -> Column:
 def not_migrated(records: DataFrame, migrations: DataFrame) -> DataFrame:
     """[F16] Records that neither the migration table nor their provenance traces to a habit."""
     rest = records.join(migrations, "id", "left_anti")
-    return rest.filter(~F.coalesce(F.exists("provenance", lambda p: p["source"] == "habit_migration"), F.lit(False)))
+    return rest.filter(~F.coalesce(F.exists("provenance", lambda p: (p["source"] == "migration") & F.startswith(p["evidence_id"], F.lit("legacy-habit:"))), F.lit(False)))
 
 
 def intact(stored: Column, *parts: Column) -> Column:

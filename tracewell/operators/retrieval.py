@@ -75,9 +75,9 @@ def packed(rows: DataFrame, by: str, order: list[Column], length: Column, budget
 
 
 def context_text(turns: DataFrame, key: str = "conv_id", bytes_most: int = 120) -> DataFrame:
-    """[W8] The current request and then its context, newest first, in so many UTF-8 bytes."""
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("o"), "text")))
-    joined = turns.groupBy(key).agg(F.array_join(F.transform(listed, lambda t: t["text"]), "\n").alias("text"))
+    """[W8] The current request and then its context with roles, newest first, in so many UTF-8 bytes."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("o"), "role", "text")))
+    joined = turns.groupBy(key).agg(F.array_join(F.transform(listed, lambda t, i: F.concat(F.when(i == 0, "current_user").otherwise(t["role"]), F.lit(": "), t["text"])), "\n").alias("text"))
     return joined.select(key, X.utf8_prefix(F.col("text"), bytes_most).alias("text"))
 
 
@@ -112,3 +112,9 @@ def hit_log(rows: DataFrame) -> DataFrame:
     )
     parts = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns))
     return out.withColumn("checksum", X.checksum(parts)).withColumn("id", X.stable_id("selector-hit", F.concat(parts, F.lit("|"), F.col("checksum"))))
+
+
+def last_user(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """[W9] Place and text of a conversation's last user row, and how many there are; none without one."""
+    user = turns.filter("role = 'user'")
+    return user.groupBy(key).agg(F.max("turn").alias("index"), F.count("*").alias("count"), F.max_by("text", "turn").alias("text"))
