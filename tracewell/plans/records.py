@@ -10,6 +10,7 @@ from tracewell.functions import rules as R
 from tracewell.operators import dedupe, evidence, lifecycle, metrics, retrieval
 from tracewell.plans import fixtures as fx
 from tracewell.plans.catalogue import _PAIRS, _near, query
+from tracewell.streaming import capture
 
 # --- scans ------------------------------------------------------------------
 
@@ -252,3 +253,81 @@ def key_difference(spark, sf_dir):
     planted = F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", r"\}$", ', "z": 1}')).otherwise(F.col("props"))
     extra = F.array_except(F.json_object_keys(planted), F.array(F.lit("k")))
     return fx.table(spark, sf_dir, "events").select("event_id", (F.size(extra) == 0).alias("known"))
+
+
+# --- validation and routing -------------------------------------------------
+
+
+@query(
+    """with m as (select conv_id as run_id, coalesce(string_agg(text, chr(10) order by turn) filter (where turn % 5 <> 1), '') as t, arg_max(turn % 7 = 5, turn) as failed from conversations where role = 'assistant' group by 1)
+    select run_id, case when length(t) <= 400 then t else '[truncated]' || chr(10) || right(t, 388) end as text from m where not failed"""
+)
+def run_texts(spark, sf_dir):
+    """F10, X25"""
+    c = fx.table(spark, sf_dir, "conversations")
+    m = c.select(F.col("conv_id").alias("run_id"), "role", "text", F.col("turn").alias("pos"), F.when(F.col("turn") % 7 == 5, "error").otherwise("stop").alias("stop_reason"), (F.col("turn") % 5 != 1).alias("display"))
+    return R.successful_runs(m, longest=400)
+
+
+@query(
+    """select event_id, concat_ws(',', case when event_type = 'view' then 'kind' end, case when event_type = 'error' and event_id % 2 = 0 or event_type = 'purchase' and event_id % 5 = 0 then 'origin' end, case when strlen(props) > 8 then 'size' end) as errors
+    from (select * from events)"""
+)
+def payload_errors(spark, sf_dir):
+    """errors are findings, purchases are pairs, views are of no kind"""
+    e, i = F.col("event_type"), F.col("event_id")
+    kind = F.when(e == "error", "advisor_finding_v1").when(e != "view", "conversation_pair_v1")
+    origin = F.when((e == "error") & (i % 2 == 0) | (e == "purchase") & (i % 5 == 0), "elsewhere").when(e == "error", "advisor").otherwise("local_interactive")
+    rows = fx.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), origin.alias("origin"), F.col("props").alias("payload"))
+    return rows.select("event_id", F.array_join(R.payload_errors(8), ",").alias("errors"))
+
+
+@query(
+    """with p as (select l_orderkey as batch_id, l_linenumber // 2 as proposal_id, l_linenumber, cast(l_quantity as int) % 4 - 1 as polarity, cast(l_extendedprice as bigint) % 12000 as confidence_bp, cast(l_quantity as int) % 23 as refs, year(l_shipdate) as gen from lineitem),
+    w as (select *, count(*) over (partition by batch_id, proposal_id) as same, count(*) over (partition by batch_id) as n, min(gen) over (partition by batch_id) as low, max(gen) over (partition by batch_id) as high from p)
+    select batch_id, l_linenumber, concat_ws(',', case when polarity not in (-1, 1) then 'polarity' end, case when confidence_bp > 10000 then 'confidence_bp' end, case when refs not between 1 and 20 then 'source_refs' end,
+      case when same > 1 then 'proposal_id' end, case when n > 5 then 'too_many' end, case when low <> high then 'generation' end) as errors from w"""
+)
+def proposal_errors(spark, sf_dir):
+    """F20, F21"""
+    q = F.floor("l_quantity").cast("int")
+    p = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("batch_id"), F.floor(F.col("l_linenumber") / 2).alias("proposal_id"), "l_linenumber", (q % 4 - 1).alias("polarity"), (F.round("l_extendedprice").cast("bigint") % 12000).alias("confidence_bp"),
+        F.array_repeat(F.lit("ref"), q % 23).alias("source_refs"), F.year("l_shipdate").alias("file_generation"), F.lit("the build ends").alias("condition"), F.lit("say so").alias("behavior"),
+    )
+    return R.proposal_errors(p, most=5).select("batch_id", "l_linenumber", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    """with b as (select user_id, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_id % 97 = 0) as key_conflicts, count(*) filter (where event_type = 'purchase') as proposals, count(*) filter (where event_id % 4 = 0) as typed from events where event_id % 17 = 0 group by 1)
+    select user_id, case when errors > 2 then 'quarantine' when key_conflicts > 0 then 'pending_review' when proposals = 0 then 'coverage_only' when typed > 0 then 'typed' else 'legacy' end as route from b"""
+)
+def batch_routes(spark, sf_dir):
+    """D6, D10"""
+    i, kind = F.col("event_id"), F.col("event_type")
+    b = fx.table(spark, sf_dir, "events").filter(i % 17 == 0).groupBy("user_id").agg(
+        F.greatest(F.count_if(kind == "error") - 2, F.lit(0)).alias("errors"), F.count_if(i % 97 == 0).alias("key_conflicts"), F.count_if(kind == "purchase").alias("proposals"), F.count_if(i % 4 == 0).alias("typed")
+    )
+    return lifecycle.route(b).select("user_id", "route")
+
+
+@query(
+    f"""with d as (select distinct lang as user_id, substr({fx.redact_sql("text")}, 1, 500) as output from documents where text is not null and doc_id % 3 = 0)
+    select user_id, output, 'quarantine-' || substr(sha256(user_id || '|' || output), 1, 40) as id from d"""
+)
+def quarantine_rows(spark, sf_dir):
+    """D8, X7"""
+    d = fx.table(spark, sf_dir, "documents").filter("text is not null and doc_id % 3 = 0")
+    rows = d.select(F.col("lang").alias("user_id"), F.col("text").alias("output"), F.lit("invalid_json").alias("reason"))
+    return lifecycle.quarantined(rows, 500).select("user_id", "output", "id")
+
+
+@query(
+    f"""with t as (select conv_id, turn, {fx.redact_sql("text")} as s from conversations where role <> 'system' and text is not null),
+    c as (select conv_id, turn, case when length(s) <= 80 then s else substr(s, 1, 80) || '…' end as text from t)
+    select conv_id, turn, text, sha256(conv_id || chr(31) || turn || chr(31) || text) as fingerprint from c"""
+)
+def turn_deltas(spark, sf_dir):
+    """System rows stand for the advisor's"""
+    c = fx.table(spark, sf_dir, "conversations").filter("text is not null").withColumn("advisor", F.col("role") == "system")
+    return capture.turn_deltas(c, 80).select("conv_id", "turn", "text", "fingerprint")
