@@ -60,6 +60,11 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, width):
+    w = [lower(x) for x in words(text)]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
 def components(docs):
     """doc_id -> (fingerprint, component)"""
     prints = {d: simhash(t) for d, t in docs}

@@ -1,7 +1,12 @@
 """Stages of the corpus pipeline against brute force on what their predecessor kept."""
 
+import random
+
+import pytest
+
 import corpus_pipeline as C
 from tests.llm import brute
+from tracewell.llm import similar, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +35,33 @@ def test_stages(spark):
 
 def test_run(spark):
     assert C.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("crowded", [128, 2])
+def test_near_dedup_finds_all_pairs_of_similar_texts(monkeypatch, spark, crowded):
+    """Against brute force over all pairs: a recall of 1, and nothing below 0.8 linked."""
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(300))
+    shared = [word() for _ in range(60)]
+    texts = ["", " ", "one", "One", "one two", None]
+    for g in range(12):
+        base = (shared if g % 3 == 0 else []) + [word() for _ in range(rng.choice([8, 60, 200]))]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy[: len(copy) - rng.randrange(3)]))
+    rng.shuffle(texts)
+    sets = [brute.shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    alike = [(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for j, i in alike:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = C.near_dedup(spark, docs, SF)
+    assert kept.columns == C.COLUMNS
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    far = [p for p in alike if (simhash.fingerprint(texts[p[0]], 5, 42) ^ simhash.fingerprint(texts[p[1]], 5, 42)).bit_count() > simhash.DISTANCE]
+    assert len(far) > 10  # pairs that the fingerprints alone would miss

@@ -11,7 +11,7 @@ keep the chain budgets before the full Hamming check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,12 +160,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str
     size is as cheap as one document.  Columns besides the two are ignored.
     """
     rows = materialize(fingerprints(docs, width, seed, id_col, text_col))
+    of = grouped(rows, links)
+    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fp, component_id`` of every ``fp`` of ``rows``: the smallest ``doc_id`` that ``link`` reaches."""
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(prints.select("fp")))
+    roots = components(link(prints.select("fp")))
     placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = placed.join(lowest, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return placed.join(lowest, "root").select("fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
