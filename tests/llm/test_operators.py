@@ -1,7 +1,7 @@
 """The ten operators' contracts against brute force, and their edge cases."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -47,6 +47,32 @@ def test_a_group_with_a_third_of_all_rows_is_split_no_more_than_quotas_ask(spark
     assert hot.max() == 90  # its preferred shard is full of it
 
 
+def test_a_large_group_lies_in_the_fewest_shards_and_copies_stay_together(spark):
+    texts = ["copy" if i % 3 == 0 else f"text {i}" for i in range(1200)]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 10).collect()
+    hot = np.bincount([r.shard for r in got if r.doc_id % 3 == 0], minlength=10)
+    assert sorted(hot)[-4:] == [40, 120, 120, 120]  # 400 rows, 120 a shard
+    for size in (4, 30):  # every row has copies
+        got = sharding.shard_documents(spark.createDataFrame([(i, f"text {i % (1200 // size)}") for i in range(1200)], "doc_id bigint, text string"), 10).collect()
+        assert set(np.bincount([r.shard for r in got], minlength=10)) == {120}
+        at = defaultdict(list)
+        for r in got:
+            at[r.doc_id % (1200 // size)].append(r.shard)
+        assert sum(np.bincount(x).max() for x in at.values()) >= 0.95 * 1200
+
+
+def test_propagation_swaps_places_and_follows_several_hubs(spark):
+    assert sharding.grants(np.array([[0, 5], [3, 0]]), np.array([10, 10]), [10, 10]).tolist() == [[0, 3], [3, 0]]
+    rng = np.random.default_rng(2)
+    order = rng.permutation(400)  # blocks of 100 rows, each row in two of its block's hubs
+    links = [(int(r), int(h)) for at, r in enumerate(order) for h in rng.permutation(8)[:2] * 4 + at // 100]
+    labels = {r.row: r.shard for r in sharding.propagate(spark.createDataFrame(links, "row bigint, hub bigint"), [100] * 4).collect()}
+    assert sorted(labels) == list(range(400)) and max(np.bincount(list(labels.values()), minlength=4)) <= 100
+    start = {r.row: r.shard for r in sharding.dealt(spark.createDataFrame(links, "row bigint, hub bigint"), [100] * 4).collect()}
+    together = lambda where: sum(n * n for n in Counter((h, where[r]) for r, h in links).values())
+    assert together(labels) >= together(start)
+
+
 def test_shards_of_odd_tables(empty, odd):
     assert sharding.shard_documents(empty, 4).count() == 0
     got = sharding.shard_documents(odd, 3).collect()

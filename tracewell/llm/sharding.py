@@ -1,24 +1,24 @@
 """Balanced label propagation: linked rows move to their neighbours' shards.
 
 Links are given as (row, hub) memberships, so a group of any size is a star and
-no pairs arise.  A round is two joins: hubs count their rows in each shard and
-name the fullest shard that still has room; rows that sit in an emptier one ask
-to move there.  Requests are granted in the order of a hash, up to the room
-that is left, by a histogram of that hash; so loads never pass their quota.
-Rows without links fill what remains, which evens the shards out exactly.
+no pairs arise.  Rows start in the order of their hubs, dealt out by quota, so
+that a hub lies in neighbouring shards.  In a round hubs count their rows in
+each shard and rank the shards, as many as hold all of its rows; rows elsewhere
+ask to move to one of these.  Requests are granted as far as free places and
+places given up in the same round go, so loads never pass their quota.  Rounds
+end when two in turn bring no more pairs together.  Rows without links fill
+what remains, which evens the shards out exactly.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import let, materialize
 
-ROUNDS = 4
-#: Steps of the hash by which requests to move are granted.
-STEPS = 512
 #: Rows that one task numbers.
 CHUNK = 50_000
 
@@ -41,33 +41,79 @@ def pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), index.cast("int") + 1)
 
 
-def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``row, shard`` of every linked row; a shard's load passes its quota only if the hash dealt it so at the start."""
-    shards = len(quotas)
-    spark = links.sparkSession
-    labels = materialize(links.select("row").distinct().withColumn("shard", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int")))
-    for turn in range(rounds):
-        load = {r.shard: r.n for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        room = [q - load.get(s, 0) for s, q in enumerate(quotas)]
+def dealt(links: DataFrame, quotas: list[int]) -> DataFrame:
+    """``row, shard`` of every linked row: rows in the order of their least hubs fill one shard after the other.
+
+    Hubs that no shard can hold come first.  Their sizes are summed in chunks
+    dealt by a hash of the hub, as rows are in ``numbered``.
+    """
+    least = materialize(links.groupBy("row").agg(F.min("hub").alias("hub")))
+    n = least.count()
+    hubs = least.groupBy("hub").agg(F.count("*").alias("n"))
+    parts = max(1, -(-n // CHUNK))
+    chunk = F.when(F.col("n") >= max(quotas), -1).otherwise(F.pmod(F.xxhash64("hub"), F.lit(parts)))
+    hubs = materialize(hubs.withColumn("part", chunk.cast("int")))
+    whole = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    first = hubs.groupBy("part").agg(F.sum("n").alias("size")).withColumn("first", F.coalesce(F.sum("size").over(whole), F.lit(0))).drop("size")
+    inner = W.partitionBy("part").orderBy("hub").rowsBetween(W.unboundedPreceding, -1)
+    starts = hubs.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(first, "part").select("hub", (F.col("before") + F.col("first")).alias("start"))
+    ends = F.array(*(F.lit(int(e)).cast("long") for e in np.cumsum(quotas)))
+    placed = numbered(least, n, ["hub"]).join(starts, "hub").withColumn("at", F.col("start") + F.col("nth"))
+    return placed.select("row", let(F.col("at"), lambda x: F.size(F.filter(ends, lambda e: e <= x))).alias("shard"))
+
+
+def grants(asked: np.ndarray, load: np.ndarray, quotas: list[int]) -> np.ndarray:
+    """How many of the ``asked[from, to]`` moves may be made at once so that no load passes its quota (or what it was)."""
+    most, moves = np.maximum(quotas, load), asked.copy()
+    while True:
+        came = moves.sum(0)
+        over = load + came - moves.sum(1) - most
+        if (over <= 0).all():
+            return moves
+        for t in np.flatnonzero(over > 0):
+            moves[:, t] = moves[:, t] * (came[t] - over[t]) // came[t]
+
+
+def propagate(links: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """``row, shard`` of every linked row, loads within the quotas; ``rounds`` bounds the rounds, None does not."""
+    shards, most = len(quotas), max(1, *quotas)
+    labels = materialize(dealt(links, quotas))
+    best, best_pairs, idle, turn = labels, -1, 0, 0
+    while True:
         here = links.join(labels, "row")
-        counts = here.groupBy("hub", "shard").agg(F.count("*").alias("n")).withColumn("room", pick(room, F.col("shard")))
-        hubs = counts.groupBy("hub").agg(
-            F.max(F.when(F.col("room") > 0, F.struct("n", -F.col("shard")))).alias("best"),
-            F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("at"),  # at most one entry a shard
-        )
-        wish = here.join(hubs.filter("best is not null and size(at) > 1"), "hub").select("row", "shard", F.col("best.n").alias("gain"), (-F.col("best.col2")).cast("int").alias("to"), F.element_at("at", F.col("shard")).alias("now"))
+        counts = materialize(here.groupBy("hub", "shard").agg(F.count("*").alias("n")))
+        pairs = counts.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+        idle = 0 if pairs > best_pairs else idle + 1
+        if pairs > best_pairs:
+            best, best_pairs = labels, pairs
+        if idle == 2 or turn == rounds:
+            return best
+        load = np.zeros(shards, np.int64)
+        for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect():
+            load[r.shard] = r.n
+        room = [int(q - x) for q, x in zip(quotas, load)]
+        # In every other round only shards with free places are ranked: the others may be held by rows that stay.
+        ranked = counts if turn % 2 == 0 else counts.withColumn("n", F.when(pick(room, F.col("shard")) > 0, F.col("n")).otherwise(0))
+        hubs = counts.groupBy("hub").agg(F.sum("n").alias("of"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("at")).filter(F.size("at") > 1)
+        ranks = ranked.filter("n > 0").groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False).alias("rank"))
+        homes = F.slice("rank", 1, F.ceil(F.col("of") / most).cast("int"))  # at most one entry a shard
+        hubs = hubs.join(ranks, "hub").withColumn("homes", homes).select("hub", "at", "homes", F.filter("homes", lambda h: h["n"] < most).alias("open"))
+        now = F.element_at("at", F.col("shard"))
+        stays = F.exists("homes", lambda h: -h["s"] == F.col("shard")) | (F.size("open") == 0)
+        one = F.get("open", F.pmod(F.xxhash64("row", F.lit(turn)), F.greatest(F.size("open"), F.lit(1))).cast("int"))
+        wish = here.join(hubs, "hub").select("row", "shard", now.alias("now"), F.when(stays, F.col("shard")).otherwise(-one["s"]).alias("to"), F.when(stays, now).otherwise(one["n"]).alias("gain"))
         moves = wish.groupBy("row", "shard").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max("gain").alias("gain"), F.max("now").alias("now"))
-        moves = moves.filter("to != shard and gain > now - 1")  # the row itself is no neighbour
-        moves = moves.withColumn("step", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(STEPS)).cast("int"))
-        moves = materialize(moves.select("row", "to", "step"))
-        asked = moves.groupBy("to", "step").agg(F.count("*").alias("n"))
-        ran = asked.withColumn("sum", F.sum("n").over(W.partitionBy("to").orderBy("step")))
-        last = {r.to: r.step for r in ran.filter(F.col("sum") <= pick(room, F.col("to"))).groupBy("to").agg(F.max("step").alias("step")).collect()}
-        if not last:
-            break
-        granted = moves.filter(F.col("step") <= pick([last.get(s, -1) for s in range(shards)], F.col("to"))).select("row", "to")
-        labels = materialize(labels.join(granted, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
-    return labels
+        moves = materialize(moves.filter("to != shard and gain > now - 1").select("row", "shard", F.col("to").cast("int").alias("to")))  # the row itself is no neighbour
+        asked = np.zeros((shards, shards), np.int64)
+        for r in moves.groupBy("shard", "to").agg(F.count("*").alias("n")).collect():
+            asked[r.shard, r.to] = r.n
+        turn += 1
+        given = grants(asked, load, quotas)
+        if given.any():
+            n = int(asked.sum())
+            may = pick([int(x) for x in given.ravel()], F.col("shard") * shards + F.col("to"))
+            granted = numbered(moves, n, ["shard", "to"]).filter(F.col("nth") < may).select("row", "to")
+            labels = materialize(labels.join(granted, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
 
 
 def shard(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
