@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import map_batches
+
 #: The template's control strings; their ids follow the vocabulary and its special tokens.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -101,7 +103,7 @@ def format_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), ids, mask], ["conv_id", "turn", "ids", "mask"])
 
     picked = turns.select(*(F.col(n).cast(k).alias(n) for n, k in (x.split() for x in SCHEMA.split(", "))))
-    return picked.mapInArrow(run, "conv_id bigint, turn bigint, ids binary, mask binary")
+    return map_batches(picked, run, "conv_id bigint, turn bigint, ids binary, mask binary")
 
 
 def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -152,4 +154,4 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
             yield frame()
 
     dealt = formatted.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "ids")
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch, which Spark and Python both hold whole; documents can be long.
+BATCH = 1_000
+
 #: Word and white-space classes of the contracts, as Java regular expressions.
 WORD_SEP = r"[\x20\x09-\x0D]+"
 
@@ -16,13 +22,16 @@ WORD_SEP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a fresh local folder is
-    made and set as the checkpoint directory.
+    Where the setting is absent and all runs on this machine (tests), a fresh
+    local folder is made and set as the checkpoint directory; a cluster
+    without the setting is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -38,6 +47,54 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session hand Python at most ``BATCH`` rows at a time, as a setting: it outlives the call."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH:
+        spark.conf.set(setting, str(BATCH))
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` or some more, but for the last: for narrow rows, where ``BATCH`` is little."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, forget: Callable[[], None] | None = None, rows: int = 0) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size, whose tasks give back the memory they leave unused.
+
+    Python workers outlive a task and serve later stages, so what each leaves
+    behind (``forget`` empties its caches) would add up over a long job.
+    ``rows`` asks for larger batches again.
+    """
+    bounded_batches(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(regrouped(batches, rows) if rows else batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns free memory of Arrow's pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize
+from tracewell.llm.common import map_batches, materialize
 
 MARK = "▁"
 #: Most frequent training words that every task gets a copy of; the other words are joined by key.
@@ -35,6 +35,8 @@ ALPHA = 0.1
 SENT = 20_000
 #: Distinct words that a counting task holds before it sends their counts on.
 COUNTED = 200_000
+#: Words that a task takes at a time.
+WORDS = 10_000
 #: Words scored side by side, and the longest of them; longer words are scored one at a time.
 BESIDE, LONGEST = 4096, 64
 #: Bits of a code point, below a trie node in the key of an edge.
@@ -81,7 +83,7 @@ def count_words(flagged: DataFrame) -> DataFrame:
                     yield found()
         yield found()
 
-    return flagged.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(flagged, run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
@@ -97,7 +99,7 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["piece", "n"])
 
-    return words.mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return map_batches(words, run, "piece int, n bigint", rows=WORDS).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def encode_words(sp, words: list[str]) -> list[list[int]]:
@@ -221,7 +223,7 @@ def add_likelihoods(words: DataFrame, path: str, pieces: dict[int, int], n_words
             ll = pa.array(lattice.words(b.column("word").to_pylist()), pa.float64())
             yield pa.record_batch([b.column("word"), b.column("n"), ll], ["word", "n", "ll"])
 
-    return words.select("word", "n").mapInArrow(run, "word binary, n bigint, ll double")
+    return map_batches(words.select("word", "n"), run, "word binary, n bigint, ll double", rows=WORDS)
 
 
 def frequent_words(words: DataFrame, most: int) -> list:
@@ -306,7 +308,7 @@ def score(docs: DataFrame, train: DataFrame | Column, path: str, id_col: str = "
             yield frame(rows, offsets, rare, counts)
 
     picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t"))
-    scored = materialize(picked.mapInArrow(run, out))
+    scored = materialize(map_batches(picked, run, out))
     rare = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("tf"))
     sums = rare.join(words, "word").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize
+from tracewell.llm.common import map_batches, materialize
 
 BITS, SEGMENTS, DISTANCE = 64, 16, 3
 #: A key that more distinct fingerprints share is cut into four finer keys, as often as needed.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
             yield pa.record_batch([b.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return picked.mapInArrow(run, "doc_id bigint, fp bigint")
+    return map_batches(picked, run, "doc_id bigint, fp bigint")
 
 
 def ring(first: int, last: int) -> int:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import map_batches
+
 #: Pre-tokens a Python worker remembers before it starts afresh: bounds its memory, not the result.
 CACHE = 500_000
 
@@ -108,7 +110,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.record_batch([b.column(0), ids], ["k", "ids"])
 
     picked = docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("t"))
-    return picked.mapInArrow(run, f"k {docs.schema[id_col].dataType.simpleString()}, ids binary").withColumnRenamed("k", id_col)
+    return map_batches(picked, run, f"k {docs.schema[id_col].dataType.simpleString()}, ids binary").withColumnRenamed("k", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -121,7 +123,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.record_batch([*b.columns, decoded], [*b.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return map_batches(encoded, run, f"{schema}, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
