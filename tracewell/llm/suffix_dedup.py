@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize
+from tracewell.llm.common import map_batches, materialize
 
 #: Length of the sampled names; of the threshold, the least this code takes is 64.
 SAMPLE = 32
@@ -29,6 +29,8 @@ SAMPLE = 32
 CHUNK = 1 << 18
 #: An anchor with more neighbourhoods than this has its windows dealt out by Spark one by one.
 CROWDED = 20_000
+#: What stands for a null id.
+LOWEST = -(1 << 63)
 
 # Fixed odd multipliers, one for each doubling.
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -90,27 +92,21 @@ def anchors(data: np.ndarray, owner: np.ndarray, length: int):
     return p, first, stop - first, h[p], around
 
 
-# A place in a document as one long: 16 bits of the text's checksum, start of the anchor, windows' first and count.
-def pack(tag: int, p: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (np.int64(tag) << 46) | (p << 14) | (back << 7) | n
+# A place in a document as one long: start of the anchor, how far before it the first window starts, number of windows.
+def pack(p: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (p << 14) | (back << 7) | n
 
 
 def unpack(x: np.ndarray):
-    return x >> 46, x >> 14 & (1 << 32) - 1, x >> 7 & 127, x & 127
+    return x >> 14, x >> 7 & 127, x & 127
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v) if isinstance(v, np.ndarray) else v for v in columns.values()], list(columns))
 
 
-def _tag(data: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(data) & 0xFFFF
-
-
 def sampled(docs: DataFrame, length: int) -> DataFrame:
-    """``name, around, doc, place, later``: the anchors of ``docs(doc, data)``.
+    """``name, around, doc, tag, place, later``: the anchors of ``docs(doc, tag, data)``.
 
     Repeats within an Arrow batch are told at once (``later``) and dealt out at
     random, so a passage that every document has meets in one place no more
@@ -122,19 +118,17 @@ def sampled(docs: DataFrame, length: int) -> DataFrame:
             parts, held, size = [], [], 0
 
             def flush():
-                data = np.frombuffer(b"".join(d for _, d, _ in held), np.uint8)
-                lengths = np.array([len(d) for _, d, _ in held])
+                lengths = np.array([len(d) for _, _, d in held])
                 base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                owner = np.repeat(np.arange(len(held)), lengths)
-                p, first, n, name, around = anchors(data, owner, length)
-                of = owner[first]
-                tags = np.array([t for _, _, t in held], np.int64)[of]
-                place = (tags << 46) | ((p - base[of]) << 14) | ((p - first) << 7) | n
-                parts.append((name, around, np.array([d for d, _, _ in held], np.int64)[of], place))
-
-            for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                p, first, n, name, around = anchors(np.frombuffer(b"".join(d for _, _, d in held), np.uint8), np.repeat(np.arange(len(held)), lengths), length)
+                of = np.searchsorted(base, first, "right") - 1
+                doc, tag = (np.array([h[i] for h in held], np.int64)[of] for i in (0, 1))
+                parts.append((name, around, doc, tag, pack(p - base[of], p - first, n)))
+
+            for doc, tag, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                data = data.as_py()
                 if len(data) >= length:
-                    held.append((doc, data, _tag(data)))
+                    held.append((doc, tag, data))
                     size += len(data)
                     if size >= CHUNK:
                         flush()
@@ -143,22 +137,22 @@ def sampled(docs: DataFrame, length: int) -> DataFrame:
                 flush()
             if not parts:
                 continue
-            name, around, doc, place = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((place, doc, around, name))
-            name, around, doc, place = name[order], around[order], doc[order], place[order]
+            name, around, doc, tag, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((place, tag, doc, around, name))
+            name, around, doc, tag, place = name[order], around[order], doc[order], tag[order], place[order]
             new = np.ones(len(name), bool)
             new[1:] = (name[1:] != name[:-1]) | (around[1:] != around[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
-            same = ~new & (doc == doc[first]) & (place == place[first])  # a repeated row
-            name = np.where(new, name, _mix(place.view(np.uint64) + doc.view(np.uint64)))
+            same = ~new & (doc == doc[first]) & (tag == tag[first]) & (place == place[first])  # a repeated row
+            name = np.where(new, name, _mix(place.view(np.uint64) + doc.view(np.uint64) + tag.view(np.uint64)))
             keep = ~same
-            yield _batch({"name": name[keep].view(np.int64), "around": around[keep].view(np.int64), "doc": doc[keep], "place": place[keep], "later": pa.array(~new[keep])})
+            yield _batch({"name": name[keep].view(np.int64), "around": around[keep].view(np.int64), "doc": doc[keep], "tag": tag[keep], "place": place[keep], "later": pa.array(~new[keep])})
 
-    return docs.mapInArrow(run, "name bigint, around bigint, doc bigint, place bigint, later boolean")
+    return map_batches(docs, run, "name bigint, around bigint, doc bigint, tag bigint, place bigint, later boolean")
 
 
 def ranked(samples: DataFrame) -> DataFrame:
-    """``doc, place, name, open``: anchors that repeat.
+    """``doc, tag, place, name, open``: anchors that repeat.
 
     Sorted by (name, neighbourhood, position): the first of a neighbourhood
     keeps its bytes, later ones are repeats (``open`` false).  First ones whose
@@ -167,27 +161,25 @@ def ranked(samples: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # name, around, doc, place of the group's last neighbourhood; whether it has several
-        several, pending = False, None
+        last = None  # name, around, doc, tag, place of the group's last neighbourhood
+        several = False  # whether the group has shown more than one
         for b in batches:
-            name, around, doc, place = (b.column(i).to_numpy() for i in range(4))
-            later = b.column(4).to_numpy(zero_copy_only=False)
-            told = np.flatnonzero(later)
-            rows = np.flatnonzero(~later)
-            out = [(doc[told], place[told], name[told], np.zeros(len(told), bool))]
+            columns = [b.column(i).to_numpy() for i in range(5)]
+            later = b.column(5).to_numpy(zero_copy_only=False)
+            told, rows = np.flatnonzero(later), np.flatnonzero(~later)
+            out = [(*(c[told] for c in (*columns[2:], columns[0])), np.zeros(len(told), bool))]
             if len(rows):
-                name, around, doc, place = name[rows], around[rows], doc[rows], place[rows]
+                columns = [c[rows] for c in columns]
                 head = last is not None
                 if head:
-                    name, around, doc, place = (np.concatenate([[x], y]) for x, y in zip(last, (name, around, doc, place)))
-                i = np.arange(len(name))
+                    columns = [np.concatenate([[x], y]) for x, y in zip(last, columns)]
+                name, around, doc, tag, place = columns
                 group = np.ones(len(name), bool)
                 group[1:] = name[1:] != name[:-1]
                 new = group.copy()
                 new[1:] |= around[1:] != around[:-1]
-                first = np.maximum.accumulate(np.where(new, i, 0))
-                repeat = ~new & ((doc != doc[first]) | (place != place[first]))
-                out.append((doc[repeat], place[repeat], name[repeat], np.zeros(repeat.sum(), bool)))
+                first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+                repeat = ~new & ((doc != doc[first]) | (tag != tag[first]) | (place != place[first]))
                 gid = np.cumsum(group) - 1
                 kinds = np.bincount(gid, weights=new)
                 if head and several:
@@ -195,39 +187,36 @@ def ranked(samples: DataFrame) -> DataFrame:
                 multi = new & (kinds[gid] > 1)
                 if head:
                     multi[0] &= not several  # told with the batch that showed it
-                out.append((doc[multi], place[multi], name[multi], np.ones(multi.sum(), bool)))
+                out += [(doc[x], tag[x], place[x], name[x], np.full(x.sum(), state)) for x, state in ((repeat, False), (multi, True))]
                 several = bool(kinds[-1] > 1)
-                keep = first[-1]
-                last = (name[keep], around[keep], doc[keep], place[keep])
-            d, p, n, o = (np.concatenate(x) for x in zip(*out))
-            yield _batch({"doc": d, "place": p, "name": n, "open": pa.array(o)})
+                last = [c[first[-1]] for c in columns]
+            yield _batch(dict(zip(("doc", "tag", "place", "name", "open"), (np.concatenate(x) for x in zip(*out)))))
 
-    dealt = samples.repartition("name").sortWithinPartitions("name", "around", "doc", "place")
-    return dealt.mapInArrow(run, "doc bigint, place bigint, name bigint, open boolean")
+    dealt = samples.repartition("name").sortWithinPartitions("name", "around", "doc", "tag", "place")
+    return map_batches(dealt, run, "doc bigint, tag bigint, place bigint, name bigint, open boolean", rows=10_000)
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """``name, doc, place, bytes``: the neighbourhoods of open anchors, from ``docs(doc, data, marks)``."""
+    """``name, doc, tag, place, bytes``: the neighbourhoods of open anchors, from ``docs(doc, tag, data, marks)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name, doc, place, data = [], [], [], []
-            for d, text, marks in zip(*(c.to_pylist() for c in b.columns)):
-                tag = _tag(text)
-                for m in marks or ():
-                    t, p, back, n = (int(x) for x in unpack(np.int64(m["place"])))
-                    if m["open"] and t == tag:
-                        name.append(m["name"]), doc.append(d), place.append(m["place"])
+            name, doc, tag, place, data = [], [], [], [], []
+            for d, t, text, marks in zip(*(b.column(n).to_pylist() for n in ("doc", "tag", "data", "marks"))):
+                for m in marks:
+                    if m["open"]:
+                        p, back, n = unpack(m["place"])
+                        name.append(m["name"]), doc.append(d), tag.append(t), place.append(m["place"])
                         data.append(text[p - back : p - back + n - 1 + length])
-            yield pa.record_batch([pa.array(name, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(data, pa.binary())], ["name", "doc", "place", "bytes"])
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in (name, doc, tag, place)), pa.array(data, pa.binary())], ["name", "doc", "tag", "place", "bytes"])
 
-    return docs.mapInArrow(run, "name bigint, doc bigint, place bigint, bytes binary")
+    return map_batches(docs, run, "name bigint, doc bigint, tag bigint, place bigint, bytes binary")
 
 
 def _windows(b: pa.RecordBatch, length: int):
     """All windows of a batch of contexts: row, offset to the anchor, start, name."""
     place = b.column("place").to_numpy()
-    _, p, back, n = unpack(place)
+    p, back, n = unpack(place)
     texts = b.column("bytes").to_pylist()
     data = np.frombuffer(b"".join(texts), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
@@ -253,16 +242,16 @@ def told_apart(open_contexts: DataFrame, length: int) -> DataFrame:
     """``doc, tag, begin, stop``: spans of the windows of open anchors that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_name, held, before = None, np.zeros(0, np.uint64), None
+        held_name, held, before = None, np.zeros(0, np.uint64), None  # the last anchor, its windows so far, the last row
         for b in batches:
-            at = np.stack([b.column(n).to_numpy() for n in ("name", "doc", "place")])
+            at = np.stack([b.column(n).to_numpy() for n in ("name", "doc", "tag", "place")])
             old = np.all(at[:, 1:] == at[:, :-1], axis=0)  # a repeated row of the table
             fresh = np.concatenate([[before is None or not np.array_equal(at[:, 0], before)], ~old]) if at.shape[1] else np.zeros(0, bool)
             before = at[:, -1] if at.shape[1] else before
             b = b.filter(pa.array(fresh))
-            name = b.column("name").to_numpy()
-            doc = b.column("doc").to_numpy()
-            tag = unpack(b.column("place").to_numpy())[0]
+            if not b.num_rows:
+                continue
+            name, doc, tag = (b.column(n).to_numpy() for n in ("name", "doc", "tag"))
             row, offset, start, w = _windows(b, length)
             key = _mix(w + _mix(name.view(np.uint64)[row] * _MULTIPLIERS[2] + offset.astype(np.uint64)))
             order = np.argsort(key, kind="stable")
@@ -272,19 +261,16 @@ def told_apart(open_contexts: DataFrame, length: int) -> DataFrame:
             first = np.empty(len(key), np.int64)
             first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
             repeat = (first != np.arange(len(key))) & ((doc[row] != doc[row[first]]) | (start != start[first]) | (tag[row] != tag[row[first]]))
-            if held_name is not None and len(name) and name[0] == held_name:
+            if name[0] == held_name:
                 repeat |= np.isin(key, held)
-            else:
-                held = np.zeros(0, np.uint64)
-            if len(name):
-                mine = key[name[row] == name[-1]]
-                held = np.unique(np.concatenate([held, mine]) if name[-1] == held_name else mine)
-                held_name = name[-1]
+            mine = key[name[row] == name[-1]]
+            held = np.unique(np.concatenate([held, mine]) if name[-1] == held_name else mine)
+            held_name = name[-1]
             d, t, a, z = _spans(doc[row[repeat]], start[repeat], length, tag[row[repeat]])
             yield _batch({"doc": d, "tag": t, "begin": a, "stop": z})
 
-    dealt = open_contexts.repartition("name").sortWithinPartitions("name", "doc", "place")
-    return dealt.mapInArrow(run, "doc bigint, tag bigint, begin bigint, stop bigint")
+    dealt = open_contexts.repartition("name").sortWithinPartitions("name", "doc", "tag", "place")
+    return map_batches(dealt, run, "doc bigint, tag bigint, begin bigint, stop bigint")
 
 
 def told_apart_by_spark(open_contexts: DataFrame, length: int) -> DataFrame:
@@ -293,11 +279,10 @@ def told_apart_by_spark(open_contexts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, offset, start, w = _windows(b, length)
-            tag = unpack(b.column("place").to_numpy())[0]
-            name = b.column("name").to_numpy()[row]
-            yield _batch({"name": name, "window": w.view(np.int64), "off": offset, "doc": b.column("doc").to_numpy()[row], "tag": tag[row], "begin": start})
+            name, doc, tag = (b.column(n).to_numpy()[row] for n in ("name", "doc", "tag"))
+            yield _batch({"name": name, "window": w.view(np.int64), "off": offset, "doc": doc, "tag": tag, "begin": start})
 
-    w = open_contexts.mapInArrow(run, "name bigint, window bigint, off bigint, doc bigint, tag bigint, begin bigint")
+    w = map_batches(open_contexts, run, "name bigint, window bigint, off bigint, doc bigint, tag bigint, begin bigint")
     first = w.groupBy("name", "window", "off").agg(F.min(F.struct("doc", "tag", "begin")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = w.join(first, ["name", "window", "off"]).filter("first != struct(doc, tag, begin)")
     return met.select("doc", "tag", "begin", (F.col("begin") + length).alias("stop"))
@@ -310,14 +295,9 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             kept, removed, spans = [], [], []
             for data, marks, more in zip(*(b.column(n).to_pylist() for n in ("data", "marks", "more"))):
-                found = []
-                if marks or more:
-                    tag = _tag(data)
-                    places = np.array([m["place"] for m in marks or () if not m["open"]], np.int64)
-                    t, p, back, n = unpack(places)
-                    begin = (p - back)[t == tag]
-                    found = [*zip(begin.tolist(), (begin + n[t == tag] - 1 + length).tolist())]
-                    found += [(m["begin"], m["stop"]) for m in more or () if m["tag"] == tag]
+                p, back, n = unpack(np.array([m["place"] for m in marks or () if not m["open"]], np.int64))
+                found = [*zip((p - back).tolist(), (p - back + n - 1 + length).tolist())]
+                found += [(m["begin"], m["stop"]) for m in more or ()]
                 runs: list[list[int]] = []
                 for a, z in sorted(found):
                     if runs and a <= runs[-1][1]:
@@ -332,7 +312,20 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
             yield pa.record_batch([b.column("key"), b.column("carried"), pa.array([len(d) for d in b.column("data").to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["key", "carried", "n_bytes", "n_removed", "spans", "kept"])
 
     kind = docs.schema["carried"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key bigint, carried {kind}, n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,stop:bigint>>, kept binary")
+    return map_batches(docs, run, f"key bigint, carried {kind}, n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,stop:bigint>>, kept binary")
+
+
+def tagged(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """``doc, tag, data, carried``: a row's text and the two longs that tell it from all rows but its repeats.
+
+    ``tag`` is zero where the id alone does so, and the text's 64-bit hash
+    where the id is null or shared, so these rows do not meet at one key.
+    """
+    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST))
+    shared = materialize(docs.groupBy(doc.alias("doc")).count().filter(f"count > 1 and doc != {LOWEST}L").select("doc", F.lit(True).alias("shared")))
+    source = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    tag = F.when(F.col("shared") | (F.col("doc") == LOWEST), F.xxhash64("data")).otherwise(F.lit(0).cast("long"))
+    return source.join(shared, "doc", "left").select("doc", tag.alias("tag"), "data", "carried")
 
 
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -341,20 +334,20 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     A byte goes if a string of ``length`` bytes (64 to 127) that covers it also
     starts earlier: in a smaller ``doc_id``, or earlier in the same text.  A
     null text is empty; a null id counts as the smallest; texts that share an
-    id come in the order of a checksum, and equal rows leave each other alone.
+    id come in the order of a hash, and equal rows leave each other alone.
     Other columns are ignored but for those of ``carry``, which come back in
     the struct ``carried``.  ``spans`` are the maximal removed runs.
     """
-    low = -(1 << 63)
-    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(low)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    marks = materialize(ranked(sampled(source.select("doc", "data"), length)))
-    placed = source.join(marks.groupBy("doc").agg(F.collect_list(F.struct("place", "name", "open")).alias("marks")), "doc", "left")
-    found = materialize(contexts(placed.filter(F.exists("marks", lambda m: m["open"])).select("doc", "data", "marks"), length))
+    key = ["doc", "tag"]
+    source = tagged(docs, id_col, text_col, carry)
+    marks = materialize(ranked(sampled(source.select(*key, "data"), length)))
+    placed = source.join(marks.groupBy(*key).agg(F.collect_list(F.struct("place", "name", "open")).alias("marks")), key, "left")
+    found = materialize(contexts(placed.filter(F.exists("marks", lambda m: m["open"])).select(*key, "data", "marks"), length))
     many = found.groupBy("name").count().filter(F.col("count") > CROWDED).select("name")
     spans = told_apart(found.join(many, "name", "left_anti"), length).union(told_apart_by_spark(found.join(many, "name", "left_semi"), length))
-    more = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "begin", "stop")).alias("more"))
-    done = cut(placed.join(more, "doc", "left").select(F.col("doc").alias("key"), "carried", "data", "marks", "more"), length)
-    return done.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", "carried")
+    more = spans.groupBy(*key).agg(F.collect_list(F.struct("begin", "stop")).alias("more"))
+    done = cut(placed.join(more, key, "left").select(F.col("doc").alias("key"), "carried", "data", "marks", "more"), length)
+    return done.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", "carried")
 
 
 def digests(done: DataFrame) -> DataFrame:
