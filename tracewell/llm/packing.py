@@ -5,11 +5,12 @@ Dynamic programming over the places where a window may end (a document's end,
 a sentence's end, or, where sentences are long, every ``STRIDE`` tokens) picks
 the cuts with the least padding plus truncation penalty:
 
-    cost(j) = min over i, len = c[j] - c[i] <= window, of cost(i) + pad(len) + penalty(j)
+    cost(j) = min over i, len = c[j] - c[i] <= window, of cost(i) + pad(len) + penalty(j) + each
 
 ``pad(len) = window - len``, so ``cost(i) + c[i]`` is all that depends on i and
 a monotone queue holds the running minimum; lengths that are powers of two need
-no padding and are tried besides.  The last, unfinished window of an Arrow
+no padding and are tried besides.  Every window costs ``each``, so that a text
+is not shredded into small windows for the sake of a little padding.  The last, unfinished window of an Arrow
 batch is carried to the next, so only the end of a partition is padded short.
 """
 
@@ -23,22 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import map_batches
+
 #: Tokens of padding that a cut inside a document is worth: at a sentence's end, and elsewhere.
 SENTENCE_PENALTY, FORCED_PENALTY = 4, 24
 #: Cuts are possible at least this often (four times a window, if that is less), however long a sentence is.
 STRIDE = 128
 #: Tokens after which a stream is planned; bounds the memory of a task with very long documents.
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: Tokens that a window costs besides its padding, as a part of the window.
+WINDOW_SHARE = 8
 
 _state: dict = {}
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def plan(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
+def plan(places: np.ndarray, penalties: np.ndarray, window: int, each: int = 0) -> list[int]:
     """Ends of the windows that cover (0, places[-1]] at least cost.
 
-    ``places`` ascend, gaps are at most ``window``; ties go to the longer window.
+    ``places`` ascend, gaps are at most ``window``; every window costs ``each``
+    besides; ties go to the longer window.
     """
     c = [0, *places.tolist()]
     pen = [0, *penalties.tolist()]
@@ -57,7 +63,7 @@ def plan(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
                 k = at.get(x - p)
                 if k is not None and cost[k] < best:
                     best, i = cost[k], k
-        cost[j], back[j] = best + pen[j], i
+        cost[j], back[j] = best + pen[j] + each, i
         key = cost[j] + x
         while queue and cost[queue[-1]] + c[queue[-1]] > key:
             queue.pop()
@@ -130,7 +136,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
             ok[stops], pen[stops] = True, SENTENCE_PENALTY
             ok[edges], pen[edges] = True, 0
             places = np.flatnonzero(ok)
-            cuts = plan(places, pen[places], window)
+            cuts = plan(places, pen[places], window, window // WINDOW_SHARE)
             if not final and len(cuts) > 1:
                 cuts.pop()
             elif not final:
@@ -174,7 +180,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
             yield frame(flush(True))
 
     picked = docs.select(docs[id_col].cast("bigint").alias("k"), docs[text_col].cast("string").alias("t"))
-    return picked.mapInArrow(run, SCHEMA)
+    return map_batches(picked, run, SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
