@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import map_batches
+
 #: log2 of the number of hash buckets.
 HASH_BITS = 18
-#: Labelled documents to fit on (those with the least hashed ids); the bound on what reaches the driver.
+#: Labelled documents to fit on (those with the least hashed ids), one row for each; the bound on what reaches the driver.
 SAMPLE = 16_000
-#: Features one labelled document can send to the driver (the least hashed ones), a bound too; scoring uses all.
-SENT = 4_000
 #: Buckets that fewer sampled documents have stay at weight zero.
 MIN_DOCUMENTS = 10
 STEPS, RATE, L2 = 120, 0.1, 3e-4
-#: Words whose features a Python worker remembers.
-CACHE = 300_000
+#: Words whose features a Python task remembers.
+CACHE = 100_000
 GRADES = 3
 
 _cache: dict[bytes, tuple[int, ...]] = {}
@@ -78,6 +78,10 @@ def features(text: str | None) -> np.ndarray:
     return np.fromiter(out, np.int32, len(out))
 
 
+def forget() -> None:
+    _cache.clear()
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -89,6 +93,23 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -60, 60)))
 
 
+def likelihood(w: np.ndarray, theta: np.ndarray, at: np.ndarray, doc: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised negative log-likelihood and its gradients by ``w`` and ``theta``.
+
+    Document ``doc[i]`` has feature ``at[i]``; ``weight`` is each document's share.
+    """
+    n, i, k = len(grades), np.arange(len(grades)), np.arange(len(theta))
+    z = np.bincount(doc, w[at], minlength=n)
+    below = 1 / (1 + np.exp(np.clip(z[:, None] - theta, -60, 60)))  # P(grade <= k)
+    padded = np.hstack([np.zeros((n, 1)), below, np.ones((n, 1))])
+    p = np.maximum(padded[i, grades + 1] - padded[i, grades], 1e-9)
+    slope = np.hstack([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))])
+    dz = weight * (slope[i, grades + 1] - slope[i, grades]) / p
+    g_theta = -(weight[:, None] * slope[:, 1:-1] * ((k == grades[:, None]).astype(float) - (k == grades[:, None] - 1)) / p[:, None]).sum(0)
+    g_w = np.bincount(at, dz[doc], minlength=len(w)) + L2 * w
+    return float(-(weight * np.log(p)).sum() + L2 / 2 * (w * w).sum()), g_w, g_theta
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     """Full-batch Adam on the penalised likelihood; without rows every grade is as likely as the next."""
     size = 1 << HASH_BITS
@@ -107,17 +128,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     weight /= weight.sum()
     m = [np.zeros(len(used)), np.zeros(GRADES - 1)]
     v = [np.zeros(len(used)), np.zeros(GRADES - 1)]
-    k = np.arange(GRADES - 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(doc, w[at], minlength=len(rows))
-        below = 1 / (1 + np.exp(np.clip(z[:, None] - theta, -60, 60)))  # P(grade <= k)
-        padded = np.hstack([np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))])
-        i = np.arange(len(rows))
-        p = np.maximum(padded[i, grades + 1] - padded[i, grades], 1e-9)
-        slope = np.hstack([np.zeros((len(rows), 1)), below * (1 - below), np.zeros((len(rows), 1))])
-        dz = weight * (slope[i, grades + 1] - slope[i, grades]) / p
-        g_theta = -(weight[:, None] * slope[:, 1:-1] * ((k == grades[:, None]).astype(float) - (k == grades[:, None] - 1)) / p[:, None]).sum(0)
-        g_w = np.bincount(at, dz[doc], minlength=len(used)) + L2 * w
+        _, g_w, g_theta = likelihood(w, theta, at, doc, grades, weight)
         for n, (x, g) in enumerate(((w, g_w), (theta, g_theta))):
             m[n] = 0.9 * m[n] + 0.1 * g
             v[n] = 0.99 * v[n] + 0.01 * g * g
@@ -128,10 +140,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most ``size`` labelled documents.
+    """All features and the grades of at most ``size`` labelled documents.
 
     Grade 0: toxic; 1: of low quality; 2: neither.  Several labels of a
-    document count as the worst; null labels and ids do not count.
+    document count as the worst; null labels and ids do not count.  Of rows
+    that share an id the one whose text has the least hash stands for it, so
+    the bound holds however often a row repeats.
     """
     graded = labels.filter("doc_id is not null and (toxic is not null or quality is not null)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     graded = graded.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
@@ -139,11 +153,12 @@ def sample(docs: DataFrame, labels: DataFrame, size: int, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [np.sort(features(t))[:SENT].astype("<i4").tobytes() for t in b.column(1).to_pylist()]
+            made = [features(t).astype("<i4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(made, pa.binary())], ["grade", "at"])
 
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    found = text.join(F.broadcast(chosen), "doc_id").select("grade", "t").mapInArrow(run, "grade int, at binary").toArrow()
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min_by("t", F.xxhash64("t")).alias("t"))
+    found = map_batches(one.select("grade", "t"), run, "grade int, at binary").toArrow()
     return [np.frombuffer(x, "<i4") for x in found["at"].to_pylist()], np.array(found["grade"].to_pylist(), int)
 
 
@@ -165,7 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, least: float =
             yield pa.record_batch([b.column(0), pa.array(p.sum(1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least)], ["k", "expected_grade", "tail_probability", "kept"])
 
     picked = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"k {kind}, expected_grade double, tail_probability double, kept boolean").withColumnRenamed("k", id_col)
+    return map_batches(picked, run, f"k {kind}, expected_grade double, tail_probability double, kept boolean", forget).withColumnRenamed("k", id_col)
 
 
 def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
@@ -182,4 +197,4 @@ def keep(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, least: float =
         for b in batches:
             yield b.filter(pa.array([bool(m.cumulative(t)[-1] >= least) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema, forget)
