@@ -4,8 +4,10 @@ Sequential covering on labelled documents: a rule, a conjunction of thresholds,
 grows on two thirds of the rows while its precision on bad documents rises,
 loses conditions from its end while that helps on the other third, and is kept
 if it is precise there; the rows that it covers are set aside and the next rule
-is grown.  All counts are grouped Spark aggregates over all labelled rows; the
-list becomes one ordered conditional expression.
+is grown.  A rule that is not precise enough ends nothing: no later rule
+begins with a threshold on the same side of its first feature.  All counts are
+grouped Spark aggregates over all labelled rows; the list becomes one ordered
+conditional expression.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ from tracewell.llm.common import WORD_SEP, let, materialize, words
 
 FEATURES = ("n_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "mark_rate", "digit_rate")
 BINS = 32
-MAX_RULES, MAX_CONDITIONS = 8, 4
-#: A rule must be this precise on the pruning rows (with a pseudo-count against it) and cover this many bad ones.
-MIN_PRECISION, MIN_COVER = 0.9, 5
+#: Rules of a list, refused rules before the search ends, conditions of a rule.
+MAX_RULES, MAX_REFUSED, MAX_CONDITIONS = 8, 8, 4
+#: On the pruning rows a rule must have this share of bad documents ...
+MIN_PRECISION = 0.9
+#: ... and the share's lower bound (Wilson's, one-sided at ``Z``) must reach this, which five bad rows and no good one do.
+MIN_BOUND, Z = 0.6, 1.645
 
 
 def repeated_words(w: Column) -> Column:
@@ -109,50 +114,81 @@ def binned(feature: str, cuts: list) -> Column:
     return F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda e: e < F.col(feature)))
 
 
-def learn(labelled: DataFrame) -> list[list[Condition]]:
+def lower_bound(p: int, n: int, z: float = Z) -> float:
+    """Wilson's lower bound of the share of ``p`` in ``p + n``; 0 for nothing seen."""
+    total = p + n
+    if not total:
+        return 0.0
+    share, spread = p / total, z * z / total
+    return (share + spread / 2 - math.sqrt(spread * (share * (1 - share) + spread / 4))) / (1 + spread)
+
+
+def gain(p: int, n: int, p0: int, n0: int) -> float:
+    """FOIL's gain of narrowing ``p0`` bad and ``n0`` good rows to ``p`` and ``n``."""
+    return p * (math.log2((p + 1) / (p + n + 2)) - math.log2((p0 + 1) / (p0 + n0 + 2))) if p else 0.0
+
+
+def best_condition(count: dict[tuple[int, int], tuple[int, int]], cuts: dict[str, list], barred: set[tuple[str, bool]]) -> Condition | None:
+    """The condition of the highest gain, from counts of bad and good rows by (feature, bin); None if none gains or none is good.
+
+    ``barred`` has the features and sides that it may not be of.
+    """
+    p0, n0 = (sum(v[i] for (pos, _), v in count.items() if pos == 0) for i in (0, 1))
+    best = (1e-9, None)
+    for i, f in enumerate(FEATURES):
+        p = n = 0
+        for b, threshold in enumerate(cuts[f]):  # bin b holds values up to cuts[b]
+            dp, dn = count.get((i, b), (0, 0))
+            p, n = p + dp, n + dn
+            for c, x in ((Condition(f, False, float(threshold)), (p, n)), (Condition(f, True, float(threshold)), (p0 - p, n0 - n))):
+                if (f, c.above) not in barred:
+                    best = max(best, (gain(*x, p0, n0), c), key=lambda y: y[0])
+    return best[1] if n0 else None
+
+
+def pruned(rule: list[Condition], seen: list[tuple[int, int]]) -> tuple[list[Condition], int, int]:
+    """The prefix of ``rule`` with the highest lower bound (the shortest of equals), and what it covers.
+
+    ``seen`` has the bad and good pruning rows that each prefix covers.
+    """
+    k = max(range(len(rule)), key=lambda i: (lower_bound(*seen[i]), -i))
+    return rule[: k + 1], *seen[k]
+
+
+def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_refused: int = MAX_REFUSED, min_precision: float = MIN_PRECISION, min_bound: float = MIN_BOUND) -> list[list[Condition]]:
     """Rules for bad documents from ``labelled(bad boolean, grow boolean, *FEATURES)``.
 
+    A rule is taken if, among the pruning rows that it covers, the share of
+    bad ones is at least ``min_precision`` and its lower bound at least
+    ``min_bound``, so a small table asks for purity and a large one for the
+    share.  At most ``max_rules`` are taken and ``max_refused`` refused.
     Labels that are null are left out; no rows, or none bad, give no rules.
     """
     rows = materialize(labelled.filter("bad is not null"))
     quantiles = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(quantiles[f] or ())) for f in FEATURES}
-    rows = materialize(rows.select("*", F.array(*(binned(f, cuts[f]) for f in FEATURES)).alias("bins")))
+    left = materialize(rows.select("*", F.array(*(binned(f, cuts[f]) for f in FEATURES)).alias("bins")))
     rules: list[list[Condition]] = []
-    left = rows
-
-    def gain(p: int, n: int, p0: int, n0: int) -> float:
-        return p * (math.log2((p + 1) / (p + n + 2)) - math.log2((p0 + 1) / (p0 + n0 + 2))) if p else 0.0
-
-    while len(rules) < MAX_RULES:
+    barred: set[tuple[str, bool]] = set()
+    while len(rules) < max_rules and len(barred) < max_refused:
         rule: list[Condition] = []
         while len(rule) < MAX_CONDITIONS:
             inside = left.filter(F.col("grow") & conjunction(rule))
             table = inside.select("bad", F.posexplode("bins")).groupBy("pos", "col").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
-            count = {(r.pos, r.col): (r.p, r.n) for r in table}
-            p0, n0 = (sum(v[i] for (pos, _), v in count.items() if pos == 0) for i in (0, 1))
-            best = (1e-9, None)
-            for i, f in enumerate(FEATURES):
-                p = n = 0
-                for b, threshold in enumerate(cuts[f]):  # bin b holds values up to cuts[b]
-                    dp, dn = count.get((i, b), (0, 0))
-                    p, n = p + dp, n + dn
-                    for c, x in ((Condition(f, False, float(threshold)), (p, n)), (Condition(f, True, float(threshold)), (p0 - p, n0 - n))):
-                        best = max(best, (gain(*x, p0, n0), c), key=lambda y: y[0])
-            if not n0 or best[1] is None:
+            best = best_condition({(r.pos, r.col): (r.p, r.n) for r in table}, cuts, set() if rule else barred)
+            if best is None:
                 break
-            rule.append(best[1])
+            rule.append(best)
         if not rule:
             break
         held = left.filter(~F.col("grow"))
         sums = held.agg(*(F.count_if(conjunction(rule[: i + 1]) & (F.col("bad") == bad)).alias(f"x{i}_{int(bad)}") for i in range(len(rule)) for bad in (True, False))).first()
-        score = [(sums[f"x{i}_1"] / (sums[f"x{i}_1"] + sums[f"x{i}_0"] + 1), sums[f"x{i}_1"], -i) for i in range(len(rule))]
-        precision, cover, at = max(score)
-        rule = rule[: 1 - at]
-        if precision < MIN_PRECISION or cover < MIN_COVER:
-            break
-        rules.append(rule)
-        left = left.filter(~conjunction(rule))
+        rule, p, n = pruned(rule, [(sums[f"x{i}_1"], sums[f"x{i}_0"]) for i in range(len(rule))])
+        if p >= min_precision * (p + n) and lower_bound(p, n) >= min_bound:
+            rules.append(rule)
+            left = left.filter(~conjunction(rule))
+        else:
+            barred.add((rule[0].feature, rule[0].above))
     return rules
 
 
