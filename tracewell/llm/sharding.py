@@ -37,6 +37,19 @@ def numbered(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
     return ranked.join(first, [*by, "chunk"]).withColumn("nth", F.col("nth") - 1 + F.col("first")).drop("chunk", "first")
 
 
+def met(members: DataFrame, hubs: DataFrame, n: int) -> DataFrame:
+    """``members(hub, ...)`` with their hub's row of ``hubs(hub, of, ...)``; ``of`` is the hub's size, ``n`` the number of memberships.
+
+    Of hubs with over a thousandth of all memberships there are less than a
+    thousand: they go to every task and their members stay where they are.
+    The others meet at the hub.
+    """
+    large = hubs.filter(F.col("of") * 1000 > n)
+    names = F.broadcast(large.select("hub"))
+    rest = members.join(names, "hub", "left_anti").join(hubs.filter(F.col("of") * 1000 <= n), "hub")
+    return members.join(F.broadcast(large), "hub").unionByName(rest)
+
+
 def pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), index.cast("int") + 1)
 
@@ -79,6 +92,7 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int | None = None) ->
     shards, most = len(quotas), max(1, *quotas)
     labels = materialize(dealt(links, quotas))
     best, best_pairs, idle, turn = labels, -1, 0, 0
+    memberships = links.count()
     while True:
         here = links.join(labels, "row")
         counts = materialize(here.groupBy("hub", "shard").agg(F.count("*").alias("n")))
@@ -97,11 +111,11 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int | None = None) ->
         hubs = counts.groupBy("hub").agg(F.sum("n").alias("of"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("at")).filter(F.size("at") > 1)
         ranks = ranked.filter("n > 0").groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False).alias("rank"))
         homes = F.slice("rank", 1, F.ceil(F.col("of") / most).cast("int"))  # at most one entry a shard
-        hubs = hubs.join(ranks, "hub").withColumn("homes", homes).select("hub", "at", "homes", F.filter("homes", lambda h: h["n"] < most).alias("open"))
+        hubs = materialize(hubs.join(ranks, "hub").withColumn("homes", homes).select("hub", "of", "at", "homes", F.filter("homes", lambda h: h["n"] < most).alias("open")))
         now = F.element_at("at", F.col("shard"))
         stays = F.exists("homes", lambda h: -h["s"] == F.col("shard")) | (F.size("open") == 0)
         one = F.get("open", F.pmod(F.xxhash64("row", F.lit(turn)), F.greatest(F.size("open"), F.lit(1))).cast("int"))
-        wish = here.join(hubs, "hub").select("row", "shard", now.alias("now"), F.when(stays, F.col("shard")).otherwise(-one["s"]).alias("to"), F.when(stays, now).otherwise(one["n"]).alias("gain"))
+        wish = met(here, hubs, memberships).select("row", "shard", now.alias("now"), F.when(stays, F.col("shard")).otherwise(-one["s"]).alias("to"), F.when(stays, now).otherwise(one["n"]).alias("gain"))
         moves = wish.groupBy("row", "shard").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max("gain").alias("gain"), F.max("now").alias("now"))
         moves = materialize(moves.filter("to != shard and gain > now - 1").select("row", "shard", F.col("to").cast("int").alias("to")))  # the row itself is no neighbour
         asked = np.zeros((shards, shards), np.int64)
@@ -125,8 +139,8 @@ def shard(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     """
     n = rows.count()
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
-    sizes = links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub")
-    bound = materialize(links.join(sizes, "hub").select("row", "hub"))
+    sizes = materialize(links.groupBy("hub").agg(F.count("*").alias("of")).filter("of > 1"))
+    bound = materialize(met(links, sizes, links.count()).select("row", "hub"))
     placed = materialize(numbered(propagate(bound, quotas), n, ["shard"]))
     load = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     held = [min(q, load.get(s, 0)) for s, q in enumerate(quotas)]
