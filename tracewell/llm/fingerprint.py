@@ -7,14 +7,12 @@ table of ``3 * CELLS`` cells: a digest adds itself to one cell of each third
 (a count, the xor of digests, the xor of their hashes).  Subtracting the
 sketches of two versions cancels what they share; a cell that holds a single
 digest gives it away, taking it out may leave others single, and so on until
-the cells are empty.  If they do not empty, both versions are sketched again
-with twice the buckets and other bits of the digests.
+the cells are empty.  A bucket that does not empty is sketched again in both
+versions, with four times the cells and other bits of its digests.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +23,8 @@ PIECE = 160
 CELLS = 8
 #: Digests a bucket holds on average, at most, at the first attempt.
 LOAD = 4
-ATTEMPTS, ROUNDS = 3, 12
+#: Sizes of a bucket's table, each four times the last; rounds of peeling.
+ATTEMPTS, ROUNDS = 4, 12
 #: Consecutive ids whose documents are ordered in one task.
 SPAN = 2048
 
@@ -52,53 +51,75 @@ def level(n: Column) -> Column:
     return F.ceil(F.log2(F.greatest(n / LOAD, F.lit(1.0)))).cast("int")
 
 
-def place(key: Column, third: int, attempt: int) -> Column:
-    """Cell of a digest in a third of its bucket's table."""
-    return F.shiftright(key, 1 + 9 * attempt + 3 * third).bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
+def place(key: Column, third: int, attempt: Column | None = None) -> Column:
+    """Cell of a digest in a third of its bucket's first table, or of the larger one of an attempt."""
+    if attempt is None:
+        return F.shiftright(key, 1 + 3 * third).bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
+    bits = F.call_function("shiftright", F.xxhash64(key, attempt), (3 + 2 * attempt) * third)
+    return bits.bitwiseAND((cells_of(attempt) - 1).cast("long")).cast("int")
 
 
-def sketch(keys: Column, lev: Column, attempt: int) -> Column:
-    """Array of buckets, each an array of cells ``(n, k, h)``, of sorted ``keys``."""
-    buckets = F.call_function("shiftleft", F.lit(1), lev)
-    low = F.lit(_LOWEST).cast("long")
-    marks = F.transform(F.sequence(F.lit(0), buckets - 1), lambda b: F.call_function("shiftleft", b.cast("long"), 64 - lev).bitwiseXOR(low))
+def cells_of(attempt: Column | None) -> Column:
+    """Cells of a third of a table."""
+    return F.lit(CELLS) if attempt is None else F.call_function("shiftleft", F.lit(CELLS), 2 * attempt)
+
+
+def added(a: Column, x: Column) -> Column:
+    return F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
+
+
+def less(a: Column, x: Column) -> Column:
+    return F.struct((a["n"] - x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
+
+
+def empty(cell: Column) -> Column:
+    return (cell["n"] == 0) & (cell["k"] == 0)
+
+
+def table(own: Column, attempt: Column | None = None) -> Column:
+    """The cells ``(n, k, h)`` of a bucket's digests."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    hashed = F.transform(own, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), *(place(k, t, attempt).alias(f"c{t}") for t in range(3))))
+    cells = F.array(*(F.lit(c) for c in range(CELLS))) if attempt is None else F.sequence(F.lit(0), cells_of(attempt) - 1)
 
-    def table(own: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        hashed = F.transform(own, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), *(place(k, t, attempt).alias(f"c{t}") for t in range(3))))
+    def third(placed: Column, t: int) -> Column:
+        return F.transform(cells, lambda c: F.aggregate(placed, zero, lambda a, x: F.when(x[f"c{t}"] == c, added(a, x)).otherwise(a)))
 
-        def cell(placed: Column, third: int, c: Column) -> Column:
-            added = lambda a, x: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
-            return F.aggregate(placed, zero, lambda a, x: F.when(x[f"c{third}"] == c, added(a, x)).otherwise(a))
+    return let(hashed, lambda placed: F.concat(*(third(placed, t) for t in range(3))))
 
-        places = F.array(*(F.lit(c) for c in range(CELLS)))
-        return let(hashed, lambda placed: F.concat(*(F.transform(places, partial(cell, placed, t)) for t in range(3))))
+
+def sketch(keys: Column, lev: Column) -> Column:
+    """Array of buckets, each the first table of its part of the sorted ``keys``."""
+    buckets = F.call_function("shiftleft", F.lit(1), lev)
+    low = F.lit(_LOWEST).cast("long")
+    marks = F.transform(F.sequence(F.lit(0), buckets - 1), lambda b: F.call_function("shiftleft", b.cast("long"), 64 - lev).bitwiseXOR(low))
 
     def dealt(s: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).bitwiseAND(F.lit(1).cast("long")) == 0)
-        return let(at, lambda a: F.transform(a, lambda i, b: let(F.slice(s, i + 2, F.coalesce(F.get(a, b + 1), F.size(s)) - i - 1), table)))
+        return let(at, lambda a: F.transform(a, lambda i, b: let(F.slice(s, i + 2, F.coalesce(F.get(a, b + 1), F.size(s)) - i - 1), lambda own: table(own))))
 
     return let(F.sort_array(F.concat(keys, marks)), dealt)
 
 
+def part(keys: Column, lev: Column, bucket: Column) -> Column:
+    """The ``keys`` of one bucket."""
+    top = lambda k: F.call_function("shiftrightunsigned", k.bitwiseXOR(F.lit(_LOWEST).cast("long")), 64 - lev)
+    return F.filter(keys, lambda k: (lev == 0) | (top(k) == bucket))
+
+
 def subtract(a: Column, b: Column) -> Column:
-    cell = lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
-    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, cell))
+    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, less))
 
 
-def peel(difference: Column, attempt: int) -> Column:
-    """Digests in one version only, or null if a bucket did not empty."""
+def peel(cells: Column, attempt: Column | None = None) -> Column:
+    """Digests that one version's bucket has and the other's has not, or null if the cells did not empty."""
 
     def single(cells: Column) -> Column:
         pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["h"]))
-        return F.array_distinct(F.transform(pure, lambda c: F.struct(*(c[f].alias(f) for f in "knh"), *((place(c["k"], t, attempt) + t * CELLS).alias(f"c{t}") for t in range(3)))))
+        return F.array_distinct(F.transform(pure, lambda c: F.struct(*(c[f].alias(f) for f in "knh"), *((place(c["k"], t, attempt) + t * cells_of(attempt)).alias(f"c{t}") for t in range(3)))))
 
     def without(cells: Column, found: Column) -> Column:
-        def left(c: Column, i: Column) -> Column:
-            gone = lambda a, f: F.struct((a["n"] - f["n"]).alias("n"), a["k"].bitwiseXOR(f["k"]).alias("k"), a["h"].bitwiseXOR(f["h"]).alias("h"))
-            return F.aggregate(found, c, lambda a, f: F.when((f["c0"] == i) | (f["c1"] == i) | (f["c2"] == i), gone(a, f)).otherwise(a))
-
-        return F.transform(cells, left)
+        return F.transform(cells, lambda c, i: F.aggregate(found, c, lambda a, f: F.when((f["c0"] == i) | (f["c1"] == i) | (f["c2"] == i), less(a, f)).otherwise(a)))
 
     def turn(state: Column, _: Column) -> Column:
         def after(found: Column) -> Column:
@@ -107,31 +128,42 @@ def peel(difference: Column, attempt: int) -> Column:
 
         return F.when(state["over"], state).otherwise(let(single(state["cells"]), after))
 
-    def bucket(cells: Column) -> Column:
-        start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("keys"), F.lit(False).alias("over"))
-        end = F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, turn)
-        return let(end, lambda e: F.when(F.forall(e["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)), e["keys"]))
-
-    emptied = F.transform(difference, lambda cells: F.when(F.forall(cells, lambda c: (c["n"] == 0) & (c["k"] == 0)), F.array().cast("array<bigint>")).otherwise(bucket(cells)))
-    return let(emptied, lambda e: F.when(~F.exists(e, lambda x: x.isNull()), F.flatten(e)))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(cells.alias("cells"), none.alias("keys"), F.lit(False).alias("over"))
+    end = F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, turn)
+    peeled = let(end, lambda e: F.when(F.forall(e["cells"], empty), e["keys"]))
+    return F.when(F.forall(cells, empty), none).otherwise(peeled)
 
 
-def difference(a: Column, b: Column, first: Column | None = None) -> Column:
-    """Digests that one of two sorted digest arrays has and the other has not, from their sketches.
+def with_difference(df: DataFrame, name: str, a: str, b: str, first: Column | None = None, plain: bool = True) -> DataFrame:
+    """``df`` with ``name``: the digests that one of two columns of sorted digests has and the other has not, from their sketches.
 
-    ``first`` is the first attempt's difference of sketches, if there is one
-    already.  After ``ATTEMPTS`` failures the arrays themselves are compared.
+    ``first`` is the difference of the two sketches, if there is one already.
+    Buckets that fail are sketched again, larger, up to ``ATTEMPTS`` sizes; one
+    that fails at every size (no such bucket is known) has its arrays compared
+    if ``plain``, else the result is null.
     """
     lev = F.greatest(level(F.size(a)), level(F.size(b)))
-    tries = [peel(subtract(sketch(a, lev + i, i), sketch(b, lev + i, i)) if i or first is None else first, i) for i in range(ATTEMPTS)]
-    return F.coalesce(*tries, F.concat(F.array_except(a, b), F.array_except(b, a)))
+    tables = first if first is not None else subtract(sketch(F.col(a), lev), sketch(F.col(b), lev))
+    peeled, again, mended = (f"_{name}_{x}" for x in ("peeled", "again", "mended"))
+    parts = F.transform(peeled, lambda keys, i: F.when(keys.isNull(), F.struct(part(F.col(a), lev, i).alias("a"), part(F.col(b), lev, i).alias("b"))))
+
+    def larger(p: Column) -> Column:
+        one = lambda keys, i: F.coalesce(keys, peel(F.zip_with(table(p["a"], i), table(p["b"], i), less), i))
+        found = F.aggregate(F.array(*(F.lit(i) for i in range(1, ATTEMPTS))), F.lit(None).cast("array<bigint>"), one)
+        return F.coalesce(found, F.concat(F.array_except(p["a"], p["b"]), F.array_except(p["b"], p["a"]))) if plain else found
 
+    out = df.withColumn(peeled, F.transform(tables, lambda cells: peel(cells)))
+    out = out.withColumn(again, F.when(F.exists(peeled, lambda keys: keys.isNull()), parts))
+    out = out.withColumn(mended, F.transform(again, lambda p: F.when(p.isNotNull(), larger(p))))
+    both = F.when(F.col(again).isNull(), F.col(peeled)).otherwise(F.zip_with(peeled, mended, lambda x, y: F.coalesce(x, y)))
+    return out.withColumn(name, F.flatten(both)).drop(peeled, again, mended)
 
-def likeness(a: Column, b: Column, first: Column | None = None) -> Column:
+
+def likeness(a: str, b: str, difference: str) -> Column:
     """Shared digests over all digests of two versions, 1 for two empty ones."""
-    d = F.size(difference(a, b, first))
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(let(d, lambda x: (both - x) / (both + x)))
+    d, both = F.size(difference), F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
 
 
 def signature(first: Column) -> Column:
@@ -142,11 +174,13 @@ def signature(first: Column) -> Column:
 def followed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs(doc, tie, *columns)`` with ``next``, the ``columns`` of the next row by descending ``doc``, the first after the last.
 
-    Ids are dealt in spans and ordered within each; a small table of the spans'
-    first rows closes the gaps between them.  It is written first, so Spark
+    Ids are dealt in spans and ordered within each (rows without an id in spans
+    of ``tie``); a small table of the spans' first rows closes the gaps between
+    them.  It is written first, so Spark
     knows its size and broadcasts it only where it is small.
     """
-    spans = docs.withColumn("span", F.floor(F.col("doc") / SPAN))
+    none = F.lit(_LOWEST >> 9) - F.floor(F.col("tie") / (1 << 42))  # below the span of any id; a greater tie comes later
+    spans = docs.withColumn("span", F.when(F.col("doc") == _LOWEST, none).otherwise(F.call_function("div", F.col("doc") - F.pmod(F.col("doc"), F.lit(SPAN)), F.lit(SPAN))))
     w = W.partitionBy("span").orderBy(F.desc("doc"), "tie")
     within = spans.withColumn("next", F.lead(F.struct(*columns)).over(w))
     heads = spans.groupBy("span").agg(F.max(F.struct("doc", (-F.col("tie")).alias("tie"))).alias("head"))
@@ -179,23 +213,22 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = edited.withColumn("edited_keys", digests(F.col("edited")))
     names = ("keys", "edited_keys", "next_keys")
     leveled = edited.withColumns({f"{k}_level": level(F.size(k)) for k in names})
-    sketched = leveled.withColumns({f"{k}_sketch": sketch(F.col(k), F.col(f"{k}_level"), 0) for k in names[:2]})
+    sketched = leveled.withColumns({f"{k}_sketch": sketch(F.col(k), F.col(f"{k}_level")) for k in names[:2]})
 
     def lifted(k: str, lev: Column) -> Column:
         """The sketch of ``k`` at a level, the one at its own level where that will do."""
-        again = sketch(F.col(k), lev, 0)
+        again = sketch(F.col(k), lev)
         return F.when(F.col(f"{k}_level") == lev, F.col(f"{k}_sketch")).otherwise(again) if k in names[:2] else again
 
-    def near(k: str) -> Column:
+    for k in names[1:]:
         lev = F.greatest("keys_level", f"{k}_level")
-        return likeness(F.col("keys"), F.col(k), subtract(lifted("keys", lev), lifted(k, lev)))
-
+        sketched = with_difference(sketched, f"{k}_differ", "keys", k, subtract(lifted("keys", lev), lifted(k, lev)))
     return sketched.select(
         F.when(F.col("doc") != _LOWEST, F.col("doc")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         signature(F.col("keys_sketch")).alias("fingerprint"),
         signature(F.col("edited_keys_sketch")).alias("edited_fingerprint"),
-        near("edited_keys").alias("near_edited"),
-        near("next_keys").alias("near_next"),
+        likeness("keys", "edited_keys", "edited_keys_differ").alias("near_edited"),
+        likeness("keys", "next_keys", "next_keys_differ").alias("near_next"),
     )
