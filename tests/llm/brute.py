@@ -126,3 +126,49 @@ def edits(docs):
         k = len(t) // 3
         out[d] = (len(t), sha((t[: len(t) - k] + n[:k]).encode()))
     return out
+
+
+def likenesses(docs):
+    """doc_id -> (near_edited, near_next): shared over all (paragraph piece, times it occurs)"""
+    pieces = lambda t: set(Counter(re.findall(r"[^\n]{1,160}\n?|\n", t)).items())
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    order = sorted(docs, key=lambda d: -d[0])
+    out = {}
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
+        k = len(t) // 3
+        out[d] = (like(pieces(t), pieces(t[: len(t) - k] + n[:k])), like(pieces(t), pieces(n)))
+    return out
+
+
+def decision_list(made):
+    """What ``quality_rules.learn`` must find, by loops over the rows, for at most 31 distinct values a feature."""
+    from tracewell.llm import quality_rules as Q
+
+    rank = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    cuts = {f: sorted({rank([r[f] for r in made], i / Q.BINS) for i in range(1, Q.BINS)}) for f in Q.FEATURES}
+    holds = lambda r, rule: all(r[c.feature] > c.threshold if c.above else r[c.feature] <= c.threshold for c in rule)
+    count = lambda part, rule: (sum(r["bad"] and holds(r, rule) for r in part), sum(not r["bad"] and holds(r, rule) for r in part))
+    left, rules, barred = list(made), [], set()
+    while len(rules) < Q.MAX_RULES and len(barred) < Q.MAX_REFUSED:
+        rule = []
+        while len(rule) < Q.MAX_CONDITIONS:
+            grow = [r for r in left if r["grow"] and holds(r, rule)]
+            p0, n0 = count(grow, [])
+            tried = [(Q.gain(*count(grow, [c]), p0, n0), c) for f in Q.FEATURES for t in cuts[f] for c in (Q.Condition(f, False, t), Q.Condition(f, True, t)) if rule or (f, c.above) not in barred]
+            best = max(tried, key=lambda x: x[0])
+            if not n0 or best[0] <= 1e-9:
+                break
+            rule.append(best[1])
+        if not rule:
+            break
+        held = [r for r in left if not r["grow"]]
+        k = max(range(len(rule)), key=lambda i: (Q.lower_bound(*count(held, rule[: i + 1])), -i))
+        rule = rule[: k + 1]
+        p, n = count(held, rule)
+        if p >= Q.MIN_PRECISION * (p + n) and Q.lower_bound(p, n) >= Q.MIN_BOUND:
+            rules.append(rule)
+            left = [r for r in left if not holds(r, rule)]
+        else:
+            barred.add((rule[0].feature, rule[0].above))
+    return rules

@@ -79,6 +79,20 @@ def test_shards_of_odd_tables(empty, odd):
     assert len(got) == 8 and sorted(np.bincount([r.shard for r in got]).tolist()) == [2, 3, 3]
 
 
+def test_few_edges_are_cut(spark):
+    """Cut edges (pairs of equal texts in two shards) against those of random places and the least that quotas allow."""
+    rng = np.random.default_rng(7)
+    names = [f"text {i}" for i, n in enumerate([300, *rng.integers(2, 40, 60), *[1] * 200]) for _ in range(n)]
+    rng.shuffle(names)
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(names)), "doc_id bigint, text string"), 8).collect()
+    together = lambda where: sum(n * (n - 1) // 2 for n in Counter(zip(names, where)).values())
+    found = together([r.shard for r in sorted(got, key=lambda r: r.doc_id)])
+    every = together([0] * len(names))
+    quota = -(-len(names) // 8)
+    most = sum((n // quota) * (quota * (quota - 1) // 2) + (n % quota) * (n % quota - 1) // 2 for n in Counter(names).values())
+    assert together(rng.integers(0, 8, len(names)).tolist()) < 0.2 * every and 0.97 * most <= found <= most
+
+
 # --- 2 ---
 
 
@@ -102,6 +116,29 @@ def test_suffix_dedup_streams_groups_across_batches(spark, documents, corpus):
     assert got == brute.suffix(corpus)
 
 
+def test_suffix_dedup_where_ids_are_null_or_shared(spark):
+    """One id for two texts, and many null ids, half of whose texts repeat: each row is judged by its own text."""
+    shared = [(7, "x" * 40 + "passage that two documents have, word for word, and that is long enough to go. " * 2), (7, "quite another text of the same id, which nothing else repeats at all. " * 1 + "0123456789" * 8), (3, "passage that two documents have, word for word, and that is long enough to go. " * 2)]
+    got = {(r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(shared, "doc_id bigint, text string")).filter("doc_id = 7").collect()}
+    assert len(got) == 2 and {(n, r) for n, r in got if n == len(shared[1][1])} == {(len(shared[1][1]), 0)}
+    texts = [f"{i % 1500} " + f"words of text {i % 1500} and no other, {i % 1500} times over; " * 3 for i in range(3000)]
+    none = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])], "doc_id bigint, text string")
+    done = suffix_dedup.dedup(none)
+    assert done.count() == 3001 and done.filter("doc_id = 1").first().kept == b""
+
+
+def test_suffix_dedup_of_a_row_repeated_over_whole_batches(spark):
+    """Rows that repeat fill a batch and leave nothing of it; the anchor's earlier neighbourhoods are not forgotten."""
+    head = "abcdefghijklmnopqrstuvwxyz" * 3
+    rows = [(1, head + "".join(chr(65 + i % 26) for i in range(k, 150 + k)) + "!") for k in (0, 0, 0, 0, 0, 0)] + [(2, head + "Z" * 80), (3, head + "".join(chr(65 + i % 26) for i in range(150)) + "?")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute.suffix(sorted(set(rows)))
+
+
 def test_suffix_dedup_of_odd_tables(empty, odd):
     assert suffix_dedup.dedup(empty).count() == 0
     got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(odd).collect()]
@@ -130,6 +167,25 @@ def test_rules_are_learned_and_tell_bad_from_good(spark):
     assert {r.doc_id for r in quality_rules.keep(docs, labels).collect()} == {d for d, _ in good}
 
 
+def test_a_refused_rule_does_not_end_the_list(spark):
+    """The first feature tells bad rows from good ones in the growing part only; the list goes on to the one that holds."""
+    base = {f: 0.0 for f in quality_rules.FEATURES} | {"n_words": 60.0}
+    made = []
+    for i in range(600):
+        bad, grow = i % 3 == 0, i % 5 < 3
+        made.append(base | {"digit_rate": float(i % 7) + 10 * (bad and grow), "mark_rate": float(i % 2) + 3 * (bad and i % 4 > 0), "bad": bad, "grow": grow})
+    schema = "bad boolean, grow boolean, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES)
+    learned = quality_rules.learn(spark.createDataFrame([tuple(r[c] for c in ("bad", "grow", *quality_rules.FEATURES)) for r in made], schema))
+    assert learned == brute.decision_list(made) and len(learned) == 1 and learned[0][0].feature == "mark_rate"
+    holds = lambda r, rule: all(r[c.feature] > c.threshold if c.above else r[c.feature] <= c.threshold for c in rule)
+    assert {r["bad"] for r in made if any(holds(r, x) for x in learned)} == {True}
+
+
+def test_bound_of_a_share():
+    assert quality_rules.lower_bound(0, 0) == 0 and quality_rules.lower_bound(5, 0) > 0.6 > quality_rules.lower_bound(4, 0)
+    assert 0.83 < quality_rules.lower_bound(90, 10) < 0.9 > quality_rules.lower_bound(900, 100) > 0.88
+
+
 def test_rules_of_odd_tables(spark, empty, odd, documents, corpus):
     none = spark.createDataFrame([], LABELS)
     assert quality_rules.judge(empty, none).count() == 0
@@ -165,6 +221,7 @@ def test_packing(documents, corpus):
         lengths.append(sum(r.length for r in s))
     assert max(lengths) <= 256
     assert sum(256 - n for n in lengths if n & (n - 1)) < 0.06 * sum(lengths) + 3 * 256
+    assert len(lengths) <= 1.05 * sum(lengths) / 256 + 3  # three partitions end in a short window each
 
 
 def test_plan_is_optimal():
@@ -173,13 +230,13 @@ def test_plan_is_optimal():
         n = int(rng.integers(1, 14))
         places = np.cumsum(rng.integers(1, 8, n))
         pen = rng.integers(0, 5, n)
-        window = 9
+        window, each = 9, int(rng.integers(0, 4))
         cost = {0: 0}
         for j, x in enumerate(places.tolist()):
-            cost[x] = min(cost[y] + (0 if (x - y) & (x - y - 1) == 0 else window - (x - y)) + int(pen[j]) for y in cost if x - y <= window)
-        cuts = packing.plan(places, pen, window)
+            cost[x] = min(cost[y] + (0 if (x - y) & (x - y - 1) == 0 else window - (x - y)) + int(pen[j]) + each for y in cost if x - y <= window)
+        cuts = packing.plan(places, pen, window, each)
         of = dict(zip(places.tolist(), pen.tolist()))
-        spent = sum((0 if (b - a) & (b - a - 1) == 0 else window - (b - a)) + of[b] for a, b in zip([0, *cuts], cuts))
+        spent = sum((0 if (b - a) & (b - a - 1) == 0 else window - (b - a)) + of[b] + each for a, b in zip([0, *cuts], cuts))
         assert spent == cost[int(places[-1])]
 
 
@@ -354,20 +411,36 @@ def test_peeling_recovers_the_difference(spark):
     keys = lambda n: [int(x) | 1 for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)]
     cases = [(keys(a), keys(b), keys(c)) for a, b, c in ((0, 0, 0), (5, 0, 0), (30, 2, 3), (0, 40, 1), (200, 60, 60), (1, 1, 1))]
     df = spark.createDataFrame([(sorted(s + x), sorted(s + y), sorted(x + y)) for s, x, y in cases], "a array<bigint>, b array<bigint>, d array<bigint>")
-    got = df.select("d", F.array_sort(fingerprint.difference(F.col("a"), F.col("b"))).alias("found")).collect()
-    assert all(r.d == r.found for r in got)
+    for plain in (True, False):  # False: by peeling alone
+        got = fingerprint.with_difference(df, "found", "a", "b", plain=plain).select("d", F.sort_array("found").alias("found")).collect()
+        assert all(r.d == r.found for r in got)
+
+
+def test_buckets_that_fail_are_peeled_from_larger_tables(spark):
+    """Long documents without a common paragraph: some first tables fail, none of the larger ones does."""
+    rng = np.random.default_rng(4)
+    rows = [(sorted(int(x) | 1 for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)), sorted(int(x) | 1 for x in rng.integers(-(1 << 63), (1 << 63) - 1, n))) for n in (200, 400, 800) for _ in range(4)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
     lev = fingerprint.level(F.greatest(F.size("a"), F.size("b")))
-    peeled = df.select("d", *(F.array_sort(fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), lev + i, i), fingerprint.sketch(F.col("b"), lev + i, i)), i)).alias(f"p{i}") for i in range(fingerprint.ATTEMPTS))).collect()
-    assert all(r.d in (r.p0, r.p1, r.p2) for r in peeled)  # by peeling alone
-    assert all(p is None or p == r.d for r in peeled for p in (r.p0, r.p1, r.p2))
+    first = F.transform(fingerprint.subtract(fingerprint.sketch(F.col("a"), lev), fingerprint.sketch(F.col("b"), lev)), lambda c: fingerprint.peel(c))
+    got = fingerprint.with_difference(df, "d", "a", "b", plain=False).select("a", "b", "d", F.exists(first, lambda x: x.isNull()).alias("failed")).collect()
+    assert any(r.failed for r in got)
+    assert all(sorted(r.d) == sorted(r.a + r.b) for r in got)
+
+
+def test_likeness_against_sets_of_counted_paragraphs(documents, corpus):
+    got = rows(fingerprint.fingerprint_edits(documents), "doc_id", "near_edited", "near_next")
+    want = brute.likenesses(corpus)
+    assert all(got[d] == pytest.approx(want[d]) for d in want)
 
 
 def test_next_documents_across_spans(spark):
-    ids = [1, 2, 5000, 5001, 900_000, -7]
-    df = spark.createDataFrame([(i, i % 5, f"t{i}") for i in ids], "doc bigint, tie bigint, text string")
-    got = {r.doc: r.next.text for r in fingerprint.followed(df, ["text"]).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+    ids = [1, 2, 5000, 5001, 900_000, -7, -4096, -4097, (1 << 63) - 1, 1 - (1 << 63)]
+    none = [-(1 << 62) + 5, -(1 << 50), -3, 0, 7, 1 << 43, (1 << 62) - 1]  # the ties of rows without an id
+    order = [(i, i % 5) for i in sorted(ids, reverse=True)] + [(-(1 << 63), t) for t in none]
+    df = spark.createDataFrame([(i, t, f"{i} {t}") for i, t in order], "doc bigint, tie bigint, text string")
+    got = {(r.doc, r.tie): r.next.text for r in fingerprint.followed(df, ["text"]).collect()}
+    assert got == {a: "%d %d" % b for a, b in zip(order, order[1:] + order[:1])}
 
 
 def test_fingerprints_of_odd_tables(empty, odd):
@@ -410,6 +483,53 @@ def test_quality_model_on_held_out_documents(spark, graded):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, x in got.items() if x[2]}
 
 
+def test_likelihood_and_gradient(monkeypatch):
+    """Against plain loops and finite differences."""
+    rng = np.random.default_rng(6)
+    n, width = 30, 12
+    lists = [np.unique(rng.integers(0, width, 5)) for _ in range(n)]
+    at, doc = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
+    grades, weight = rng.integers(0, 3, n), rng.random(n)
+    w, theta = rng.normal(size=width), np.array([-0.4, 0.9])
+
+    def loss(w, theta):
+        total = quality_model.L2 / 2 * sum(x * x for x in w)
+        for i in range(n):
+            z = sum(w[k] for k in lists[i])
+            upto = [0.0, *(1 / (1 + np.exp(z - t)) for t in theta), 1.0]
+            total -= weight[i] * np.log(upto[grades[i] + 1] - upto[grades[i]])
+        return total
+
+    value, g_w, g_theta = quality_model.likelihood(w, theta, at, doc, grades, weight)
+    assert value == pytest.approx(loss(w, theta))
+    step = lambda x, k: x + 1e-6 * (np.arange(len(x)) == k)
+    assert g_w == pytest.approx([(loss(step(w, k), theta) - loss(w, theta)) / 1e-6 for k in range(width)], abs=1e-4)
+    assert g_theta == pytest.approx([(loss(w, step(theta, k)) - loss(w, theta)) / 1e-6 for k in range(2)], abs=1e-4)
+
+
+def test_quality_scores_against_a_plain_loop(spark, graded):
+    docs = spark.createDataFrame([g[:2] for g in graded], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(g[0], g[2], g[3]) for g in graded], LABELS)
+    m = quality_model.trained(docs, labels).value
+    got = rows(quality_model.score(docs, labels), "doc_id", "expected_grade", "tail_probability")
+    for d, t, _, _ in graded[:100]:
+        z = sum(float(m.weights[k]) for k in set(quality_model.features(t).tolist()))
+        above = [1 / (1 + np.exp(x - z)) for x in m.thresholds]
+        assert got[d] == pytest.approx((sum(above), above[-1]), abs=1e-5)
+    assert list(m.thresholds) == sorted(m.thresholds)
+
+
+def test_the_sample_is_bounded_in_rows_and_whole_in_features(spark):
+    """One label for a thousand rows sends one of them; a long text sends all its features."""
+    long = " ".join(f"w{i}" for i in range(9000))
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(1000)] + [(2, long), (3, "a"), (3, "b")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (9, 1, 1)], LABELS)
+    found, grades = quality_model.sample(docs, labels, 5)
+    assert len(found) == 3 and sorted(grades.tolist()) == [0, 1, 2]
+    assert max(map(len, found)) == len(quality_model.features(long)) > 8000
+    assert len(quality_model.sample(docs, labels, 2)[0]) <= 2
+
+
 def test_quality_model_of_odd_tables(spark, empty, odd):
     none = spark.createDataFrame([], LABELS)
     assert quality_model.score(empty, none).count() == 0

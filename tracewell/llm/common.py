@@ -47,6 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for t in tables:
+        jvm, context = t.sparkSession._jvm, t.sparkSession._jsc
+        for folder in {os.path.dirname(f) for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Has the session hand Python at most ``BATCH`` rows at a time, as a setting: it outlives the call."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, materialize
+from tracewell.llm.common import discard, map_batches, materialize
 
 BITS, SEGMENTS, DISTANCE = 64, 16, 3
 #: A key that more distinct fingerprints share is cut into four finer keys, as often as needed.
@@ -143,7 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(hung.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        old, e = e, materialize(hung.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        discard(old)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
