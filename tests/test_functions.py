@@ -89,3 +89,47 @@ def test_text_forms_at_their_edges(spark):
         X.provider_model(t("a../b")), X.provider_model(t("a/b..c")), X.provider_model(t("a/")), R.capture_origin(t("interactive"), t(False), t(0), t("k"), t("\n\t ")),
     )
     assert got == ("ab", "abcdef", "abc efg", "abcd…", "me", "..", None, None, None, None, "empty_text_denied")
+
+
+def test_key_heads_and_home_paths_count_in_any_case(spark):
+    for text in ("-----begin private key", "/USERS/bob/x", "c:\\users\\bob", "see ~/x", "BASIC abcdefgh1", "A@B.ORG"):
+        assert one(spark, X.sensitive(F.lit(text))) == (True,), text
+    assert one(spark, X.sensitive(F.lit("SK-ABCDEFGHIJKLMNOP")), X.redact(F.lit("/USERS/bob/x"))) == (False, "/USERS/bob/x")
+
+
+def test_what_any_redaction_finds_is_suspect(spark):
+    """Texts without anything suspect are passed by; that must lose nothing."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["555-123-4567", "+1 555.123.4567", "a.b@c.de", "sk-abcdefghijkl", "pk_live_abcdefghijkl", "ghp_abcdefghijklmnopqrst", "xoxb-12345678", "ya29.abcdefgh", "ASIAABCDEFGHIJKLMNOP", "a" * 20 + "." + "b" * 20 + "." + "c" * 20, "basic abcdefgh", "ftp://u:p@h", "api-key: x", "private_key=`a`", "~/", "/tmp/x", "D:\\Users\\x", "-----BEGIN SECRET KEY-----x-----END SECRET KEY-----", "Password : q"]
+    texts = [rng.choice(["", "x ", "(", "\n"]) + p + rng.choice(["", " y", ")"]) for p in parts for _ in range(4)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.redact(F.col("t")).alias("r"), X.sensitive(F.col("t")).alias("s"), "t").collect()
+    assert all(X.REDACTED in r.r for r in got), [r.t for r in got if X.REDACTED not in r.r]
+    assert all(r.s for r in got)
+
+
+def test_vector_blobs_go_there_and_back(spark):
+    import struct
+
+    v = [1.5, -2.25, 3.0e-5]
+    df = spark.createDataFrame([(v,), (None,)], "v array<float>").withColumn("b", X.vector_blob("v"))
+    first, none = df.select("v", "b", X.blob_vector(F.col("b"), 3).alias("back"), X.blob_vector(F.col("b"), 2).alias("other")).collect()
+    assert bytes(first.b) == struct.pack("<3f", *v) and first.back == first.v and first.other is None
+    assert none.b is None and none.back is None
+
+
+def test_wording(spark):
+    t = F.lit
+    got = one(spark, X.declared_wording(t(" a \u00a0\u3000b ")), X.declared_wording(t("   ")), X.declared_wording(t("x" * 1001)), X.declared_wording(t("x" * 1000)), X.declared_wording(t("a\x00b")), X.norm_text(t("\u2003A\u00a0 \ufeffb\u2028")))
+    assert got == ("a b", None, None, "x" * 1000, None, "a b")
+
+
+def test_search(spark):
+    rows = [(1, "active", "When the build ends", "say so"), (2, "active", "b u i l d", "x"), (3, "disabled", "other", "words"), (4, "active", "rebuilding", "ends")]
+    df = spark.createDataFrame(rows, "id int, status string, condition string, behavior string")
+    found = lambda q, **k: [(r.id, r.fuzzy) for r in R.search(df, q, **k).collect()]
+    assert found(" BUILD ends") == [(1, 0), (4, 0)]
+    assert found("build") == [(1, 0), (4, 0), (2, 1)]
+    assert found("") == [(1, 0), (2, 0), (3, 0), (4, 0)] and found("", cap=2) == [(1, 0), (2, 0)]
+    assert found("zz") == []

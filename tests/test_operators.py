@@ -160,10 +160,84 @@ def test_selection_is_dropped_when_a_choice_went_stale(spark):
     assert retrieval.revalidated(chosen, chosen, ["id", "checksum"]).count() == 2
 
 
-def test_one_selection_from_scan_to_choice(spark):
-    rows = [(i, "active", "law", 9000, 0.1, [1.0, 0.1 * i], f"s{i}") for i in range(5)]
-    cands = spark.createDataFrame(rows, "id int, status string, law_hash string, confidence_bp int, staleness double, vector array<double>, checksum string")
-    query = spark.createDataFrame([([1.0, 0.0],)], "query_vector array<double>")
+def test_selections_of_many_requests(spark):
+    rows = [(i, u, "law" if i < 4 else "old", 9000, 0.1, [1.0, 0.1 * i], f"s{i}") for u in ("u", "v") for i in range(5)]
+    cands = spark.createDataFrame(rows, "id int, user_id string, law_hash string, confidence_bp int, staleness double, vector array<double>, checksum string")
+    requests = spark.createDataFrame([(1, "u", [1.0, 0.0]), (2, "u", [0.3, 1.0]), (3, "v", [1.0, 0.0]), (4, "w", [1.0, 0.0])], "batch_id int, user_id string, query_vector array<double>")
     judge = lambda asked: asked.select("batch_id", "alias", (F.col("alias") == "c1").alias("applicable"), F.lit(9000).alias("confidence_bp"), F.when(F.col("alias") == "c1", "current_applicability").otherwise("other").alias("reason"))
-    out = retrieval.selection(cands, query, judge, "law", R.Policy(), 5000, 0.8).collect()
-    assert [(r.id, r.alias) for r in out] == [(0, "c1")]
+    out = retrieval.selection(cands, requests, judge, "law", R.Policy(), 5000, 0.8).collect()
+    assert sorted((r.batch_id, r.user_id, r.id, r.alias) for r in out) == [(1, "u", 0, "c1"), (2, "u", 3, "c1"), (3, "v", 0, "c1")]
+
+
+def test_moves_of_each_status(spark):
+    """Reject only candidates, disable only active rows, enable only disabled ones, archive active or disabled ones."""
+    allowed = {("candidate", "reject"): "archived", ("active", "disable"): "disabled", ("disabled", "enable"): "active", ("active", "archive"): "archived", ("disabled", "archive"): "archived"}
+    pairs = [(s, a) for s in R.STATUSES for a in ("reject", "disable", "enable", "archive")]
+    h = spark.createDataFrame([(i, s, "x") for i, (s, _) in enumerate(pairs)], "id int, status string, checksum string")
+    asked = spark.createDataFrame([(i, a, "x") for i, (_, a) in enumerate(pairs)], "id int, action string, checksum string")
+    got = {r.id: (r.outcome, r.after) for r in lifecycle.status_moves(h, asked).collect()}
+    for i, (s, a) in enumerate(pairs):
+        assert got[i] == (("moved", allowed[s, a]) if (s, a) in allowed else ("not_allowed", s))
+
+
+def test_conflicted_marks_what_conflicts_pair(spark):
+    rows = [(1, "u", "active", 1, "When X", "always ask"), (2, "u", "active", 1, "when  x", "never ask"), (3, "u", "active", 1, "when x", "always ask"), (4, "u", "active", 1, "when y", "go"), (5, "u", "active", -1, "when y", "go"), (6, "v", "active", 1, "when x", "never ask"), (7, "u", "archived", -1, "when z", "a"), (8, "u", "active", 1, "when z", "b")]
+    df = spark.createDataFrame(rows, "id int, user_id string, status string, polarity int, condition string, behavior string")
+    assert {r.id for r in lifecycle.conflicted(df).collect()} == {1, 2, 3, 4, 5}
+    assert {(r.id_a, r.id_b, r.reason) for r in lifecycle.conflicts(df).collect()} == {(1, 2, "opposed_behavior"), (4, 5, "opposite_polarity")}
+
+
+def test_groups_list_their_members(spark):
+    pairs = spark.createDataFrame([(1, 9), (1, 4), (2, 4)], "class_a int, class_b int")
+    assert {r.anchor: (r.n_near, r.near_ids) for r in dedupe.anchor_groups(pairs).collect()} == {1: (2, [4, 9]), 2: (1, [4])}
+
+
+def test_budgets_end_at_the_first_overflow(spark):
+    rows = [(g, i, n) for g in ("a", "b") for i, n in enumerate([3, 4, 9, 1, 1, 0, 2] * 5)]
+    got = retrieval.packed(spark.createDataFrame(rows, "g string, i int, n int"), "g", [F.col("i")], F.col("n"), 8, parts=3).collect()
+    assert sorted((r.g, r.i, r.used) for r in got) == [(g, i, u) for g in ("a", "b") for i, u in ((0, 3), (1, 7))]
+
+
+@pytest.mark.parametrize("bands", [2, 256])
+def test_ranks_across_bands(spark, bands):
+    import math
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, float(rng.randrange(40) if k == "ties" else rng.random())) for k in ("ties", "any", "one") for _ in range(1 if k == "one" else 700)]
+    got = {r.k: (r.p95, r.n) for r in metrics.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", bands=bands).collect()}
+    for k in ("ties", "any", "one"):
+        v = sorted(x for y, x in rows if y == k)
+        assert got[k] == (v[max(1, math.ceil(0.95 * len(v))) - 1], len(v))
+
+
+def test_late_turns_of_a_stream_are_dropped():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, held = False, False, None
+        get = property(lambda self: self.held)
+
+        def update(self, held):
+            self.exists, self.held = True, held
+
+        def remove(self):
+            self.exists, self.held = False, None
+
+        def setTimeoutDuration(self, _):
+            pass
+
+    state, frame = State(), lambda *rows: iter([pd.DataFrame(rows, columns=["turn", "role", "text"])])
+    run = lambda *rows: [tuple(r) for out in capture.pair_machine((7,), frame(*rows), state, 1000) for r in out.itertuples(index=False)]
+    assert run((1, "user", "a"), (2, "assistant", "x")) == []
+    assert run((2, "assistant", "late"), (1, "user", "late"), (3, "user", "b")) == [(7, 1, "a", "x")]
+    assert run((4, "assistant", "y")) == []
+    state.hasTimedOut = True
+    assert run() == [(7, 3, "b", "y")] and not state.exists
+
+
+def test_recorded_output_is_read(spark, tmp_path):
+    from tracewell.sources import workspace
+
+    (tmp_path / "a.json").write_text('[{"proposal_id": "p",\n "confidence_bp": 5}, {"proposal_id": "q"}]')
+    assert {(r.proposal_id, r.confidence_bp) for r in workspace.read_fixture(spark, str(tmp_path), "proposal_id string, confidence_bp int").collect()} == {("p", 5), ("q", None)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,7 @@ ERROR_CODES = (
     (r"(?i)sqlite|storage|observation|manifest|watermark|ledger|file|directory", "storage_io_error"),
 )
 
+# Review statuses that hide a candidate, those that mean approved and waiting, all statuses of a habit, and those that take part in conflicts.
 HIDDEN_REVIEW = ("collecting_evidence", "approved_pending_eligibility", "approved_pending_conflict", "approved_pending_law_blocked", "duplicate_resolution")
 WAITING_REVIEW = HIDDEN_REVIEW[1:4]
 STATUSES = ("candidate", "active", "disabled", "archived", "dormant", "suppressed_by_law")
@@ -109,6 +111,15 @@ def opposed(a: Column, b: Column) -> Column:
     return any_of(*((a.rlike(x) & b.rlike(y)) | (a.rlike(y) & b.rlike(x)) for x, y in OPPOSITES))
 
 
+def opposite_sides(c: Column) -> tuple[Column, Column]:
+    """Bit sets of the first and of the second wordings of ``OPPOSITES`` that a text has.
+
+    Two texts are opposed if one's first set meets the other's second.
+    """
+    bits = lambda side: sum((F.when(c.rlike(p[side]), 1 << i).otherwise(0) for i, p in enumerate(OPPOSITES)), F.lit(0))
+    return bits(0), bits(1)
+
+
 def overfit_reasons(text: Column, project_names: tuple[str, ...] = ()) -> Column:
     """[F7]"""
     pairs = [(text.rlike(p), name) for name, p in OVERFIT.items()]
@@ -169,16 +180,20 @@ def in_scope(kinds: tuple[str, ...] | None, scope_kind: str | None, scope_key: s
     return kind & scope & (F.col("confidence_bp") >= min_confidence_bp) & F.coalesce(F.col("approved"), F.lit(False))
 
 
-def search(items: DataFrame, query: str, text: str = "text", fuzzy: int = 3, cap: int = 50) -> DataFrame:
-    """All terms as substrings first; near misses after them by edit distance."""
+def search(items: DataFrame, query: str, columns: tuple[str, ...] = ("status", "condition", "behavior"), order: str = "id", cap: int = 50) -> DataFrame:
+    """Items that have all terms as substrings, then those that have each term's characters in order.
+
+    An empty query gives the first items.  ``fuzzy`` is 0 for the former, 1
+    for the latter; ties go by ``order``.
+    """
+    text = F.lower(F.concat_ws(" ", *(F.col(c) for c in columns)))
     terms = [t for t in query.lower().split() if t]
-    low = F.lower(F.col(text))
-    direct = F.lit(True)
+    direct, near = F.lit(True), F.lit(True)
     for t in terms:
-        direct = direct & F.contains(low, F.lit(t))
-    distance = F.levenshtein(low, F.lit(" ".join(terms)))
-    ranked = items.withColumn("distance", F.when(direct, -1).otherwise(distance)).filter(F.col("distance") <= fuzzy)
-    return ranked.orderBy("distance", text).limit(cap)
+        direct = direct & F.contains(text, F.lit(t))
+        near = near & text.rlike("^" + "".join(rf"[^{re.escape(c)}]*+{re.escape(c)}" for c in t))  # possessive: no backtracking on long texts
+    ranked = items.withColumn("fuzzy", F.when(direct, 0).when(near, 1)).filter("fuzzy is not null")
+    return ranked.orderBy("fuzzy", order).limit(cap)
 
 
 def review_visible() -> Column:

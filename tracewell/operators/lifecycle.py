@@ -28,23 +28,35 @@ def conflicts(habits: DataFrame) -> DataFrame:
 
     Equal behavior conflicts only at opposite polarity; other behavior is
     opposed or divergent.  Habits of equal wording and polarity are one class
-    (its smallest id), so copies are not paired with each other.
+    (its smallest id), so copies are not paired with each other.  Texts are
+    read once a habit: pairs meet by hashes of the wording and by which sides
+    of the opposites each behavior has.
     """
-    live = habits.filter(F.col("status").isin(*R.LIVE)).select(
-        "user_id", "id", "polarity", X.checksum(X.norm_text(F.col("condition"))).alias("on"), X.norm_text(F.col("behavior")).alias("does")
-    )
-    classes = live.groupBy("user_id", "on", "does", "polarity").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    a, b = (classes.select("user_id", "on", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "does", "polarity", "n"))) for s in "ab")
+    live = habits.filter(F.col("status").isin(*R.LIVE)).select("user_id", "id", "polarity", X.norm_text(F.col("condition")).alias("on"), X.norm_text(F.col("behavior")).alias("does"))
+    left, right = R.opposite_sides(F.col("does"))
+    hashed = live.select("user_id", "id", "polarity", X.checksum(F.col("on")).alias("on"), X.checksum(F.col("does")).alias("does"), left.alias("left"), right.alias("right"))
+    classes = hashed.groupBy("user_id", "on", "does", "polarity").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    a, b = (classes.select("user_id", "on", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "does", "polarity", "n", "left", "right"))) for s in "ab")
     both = a.join(b, ["user_id", "on"]).filter("id_a < id_b")
-    reason = R.first_match(
-        "same_condition_divergent_behavior",
-        ((F.col("does_a") == F.col("does_b")), "opposite_polarity"),
-        (R.opposed(F.col("does_a"), F.col("does_b")), "opposed_behavior"),
-    )
+    meet = F.col("left_a").bitwiseAND(F.col("right_b")).bitwiseOR(F.col("right_a").bitwiseAND(F.col("left_b")))
+    reason = R.first_match("same_condition_divergent_behavior", ((F.col("does_a") == F.col("does_b")), "opposite_polarity"), (meet != 0, "opposed_behavior"))
     kept = both.filter((F.col("does_a") != F.col("does_b")) | (F.col("polarity_a") == -F.col("polarity_b")))
     return kept.select("user_id", "id_a", "id_b", "n_a", "n_b", reason.alias("reason"))
 
 
+def conflicted(habits: DataFrame) -> DataFrame:
+    """[J9] ``id`` of every live habit that another of its user and normalised condition contradicts, copies included.
+
+    Grouped, not paired: of the wordings and polarities under a condition a
+    habit is contradicted if another wording is there, or its own at the
+    opposite polarity.
+    """
+    live = habits.filter(F.col("status").isin(*R.LIVE)).select("user_id", "id", "polarity", X.checksum(X.norm_text(F.col("condition"))).alias("on"), X.checksum(X.norm_text(F.col("behavior"))).alias("does"))
+    wordings = live.groupBy("user_id", "on", "does").agg(F.min("polarity").alias("low"), F.max("polarity").alias("high"))
+    found = wordings.groupBy("user_id", "on").agg((F.min("does") != F.max("does")).alias("several"), F.bool_or((F.col("low") == -F.col("high")) & (F.col("low") != 0)).alias("both"))
+    return live.join(found.filter("several or both").select("user_id", "on"), ["user_id", "on"], "left_semi").select("id")
+
+
 def typed_conflicts(proposals: DataFrame, records: DataFrame) -> DataFrame:
     """[J11] Records of the same kind, scope and applicability with other content; episodes are exempt."""
     side = lambda df, s: df.select("kind", "scope_kind", "scope_key", X.norm_text(F.col("applicability")).alias("on"), F.col("id").alias(f"id_{s}"), X.norm_text(F.col("content")).alias(f"content_{s}"))
@@ -120,6 +132,25 @@ def route(batches: DataFrame) -> DataFrame:
     )
 
 
+def analyzed(proposals: DataFrame, observations: DataFrame, existing: DataFrame) -> DataFrame:
+    """[D1, D7] Candidates after a run: proposals checked, batches routed, what is clean merged with ``existing`` by candidate key.
+
+    A batch with a reference that no observation answers, or with a proposal
+    that is wrong, goes to quarantine whole.
+    """
+    from tracewell.operators.evidence import merged
+
+    lost = resolved_refs(proposals, observations).filter("state != 'resolved'").select("proposal_id").distinct().withColumn("lost", F.lit(True))
+    checked = R.proposal_errors(proposals).join(lost, "proposal_id", "left")
+    wrong = (F.size("errors") > 0) | F.coalesce("lost", F.lit(False))
+    batches = checked.groupBy("batch_id").agg(F.count_if(wrong).alias("errors"), F.lit(0).alias("key_conflicts"), F.count("*").alias("proposals"), F.lit(0).alias("typed"))
+    clean = route(batches).filter(F.col("route").isin("legacy", "typed")).select("batch_id")
+    staged = proposals.join(clean, "batch_id", "left_semi").groupBy(F.col("candidate_key").alias("id")).agg(
+        F.max("confidence_bp").alias("confidence_bp"), F.max("observed_at").alias("last_confirmed"), F.collect_set(F.col("batch_id").cast("string")).alias("refs"), F.lit("collecting").alias("review_status")
+    )
+    return merged(existing, staged)
+
+
 def quarantined(outputs: DataFrame, longest: int = 20000) -> DataFrame:
     """[D8] Rejected output, redacted, bounded, identified by its content."""
     safe = F.substring(X.redact(F.col("output")), 1, longest)
@@ -148,12 +179,16 @@ def suppressed(habits: DataFrame, proposals: DataFrame, least_bp: int) -> DataFr
 
 
 def status_moves(habits: DataFrame, requests: DataFrame) -> DataFrame:
-    """[D9, D13, D22, R13] Requested moves that are allowed and whose checksum still is the row's."""
+    """[D9, D13, D22, R13] Requested moves that are allowed and whose checksum still is the row's.
+
+    Only candidates are rejected, only active rows disabled, only disabled
+    ones enabled; active and disabled rows can be archived.
+    """
     allowed = (
-        ((F.col("action") == "reject") & F.col("status").isin("candidate"))
-        | ((F.col("action") == "disable") & F.col("status").isin("active"))
-        | ((F.col("action") == "enable") & F.col("status").isin("disabled", "dormant"))
-        | ((F.col("action") == "archive") & F.col("status").isin("candidate", "active", "disabled", "dormant"))
+        ((F.col("action") == "reject") & (F.col("status") == "candidate"))
+        | ((F.col("action") == "disable") & (F.col("status") == "active"))
+        | ((F.col("action") == "enable") & (F.col("status") == "disabled"))
+        | ((F.col("action") == "archive") & F.col("status").isin("active", "disabled"))
     )
     to = R.first_match("archived", (F.col("action") == "disable", "disabled"), (F.col("action") == "enable", "active"))
     joined = habits.join(requests.withColumnRenamed("checksum", "expected"), "id")

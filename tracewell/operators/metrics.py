@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ def action_counts(audits: DataFrame) -> DataFrame:
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """[A8, A22] Rows of each table."""
+    """[A8] Rows of each table."""
     out = None
     for name, df in tables.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -33,6 +33,11 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def line_count(text: Column) -> Column:
+    """[A22] Lines that are not blank."""
+    return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("bigint")
+
+
 def review_summary(habits: DataFrame) -> DataFrame:
     """[A9]"""
     status = lambda s: F.count_if(F.col("status") == s)
@@ -56,16 +61,20 @@ def evictions(rows: DataFrame, cap: int, rank: str = "rank", key: str = "user_id
     return seen.filter(F.col("nth") <= F.col("n") - cap + 1).drop("n", "nth")
 
 
-def nearest_rank(samples: DataFrame, key: str, value: str, q: float = 0.95) -> DataFrame:
+def nearest_rank(samples: DataFrame, key: str, value: str, q: float = 0.95, bands: int = 256) -> DataFrame:
     """[A14] The value at rank ``ceil(n * q)``, not interpolated.
 
-    Values are counted before they are ranked, so equal ones move as one row.
+    Approximate quantiles cut each key's values into bands; the counts of
+    bands tell which band holds the rank, and only its values are ordered.
     """
-    counted = samples.groupBy(key, value).agg(F.count("*").alias("c"))
-    run = F.sum("c").over(W.partitionBy(key).orderBy(value))
-    total = counted.groupBy(key).agg(F.sum("c").alias("n"))
-    ranked = counted.withColumn("upto", run).join(total, key)
-    return ranked.filter(F.col("upto") >= F.greatest(F.ceil(F.col("n") * q), F.lit(1))).groupBy(key).agg(F.min(value).alias("p95"), F.first("n").alias("n"))
+    cuts = samples.groupBy(key).agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 10_000).alias("cuts"), F.count(value).alias("n"))
+    counted = samples.groupBy(key, value).agg(F.count("*").alias("c")).join(cuts, key).withColumn("band", F.size(F.filter("cuts", lambda x: x < F.col(value))))
+    by = W.partitionBy(key).orderBy("band")
+    sums = counted.groupBy(key, "band", "n").agg(F.sum("c").alias("in_band")).withColumn("upto", F.sum("in_band").over(by))
+    rank = F.greatest(F.ceil(F.col("n") * q), F.lit(1))
+    holds = sums.filter((F.col("upto") >= rank) & (F.col("upto") - F.col("in_band") < rank)).select(key, "band", "n", (F.col("upto") - F.col("in_band")).alias("before"))
+    ranked = counted.drop("n", "cuts").join(holds, [key, "band"]).withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy(key).orderBy(value)))
+    return ranked.filter(F.col("upto") >= rank).groupBy(key).agg(F.min(value).alias("p95"), F.first("n").alias("n"))
 
 
 def emitted(attempts: DataFrame, key: str = "event", order: str = "severity") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,10 +70,16 @@ def aliased(ranked: DataFrame, order: list[Column], prefix: str = "c", batch: st
     return ranked.withColumn("alias", F.concat(F.lit(prefix), F.row_number().over(w.orderBy(*order))))
 
 
-def packed(rows: DataFrame, by: str, order: list[Column], length: Column, budget: int) -> DataFrame:
-    """[W3] The leading rows of each group whose summed lengths stay within ``budget``; the first overflow ends it."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(length).over(w)).filter(F.col("used") <= budget)
+def packed(rows: DataFrame, by: str, order: list[Column], length: Column, budget: int, parts: int = 64) -> DataFrame:
+    """[W3] The leading rows of each group whose summed lengths (none negative) stay within ``budget``; the first overflow ends it.
+
+    A group is summed in ``parts`` first, dealt by a hash of the order: what
+    comes after the first overflow of a part comes after the group's.
+    """
+    upto = lambda *keys: F.sum("_len").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    dealt = rows.withColumns({"_len": length, "_part": F.pmod(F.xxhash64(*order), F.lit(parts))})
+    few = dealt.withColumn("_used", upto(by, "_part")).filter(F.col("_used") - F.col("_len") <= budget)
+    return few.withColumn("used", upto(by)).filter(F.col("used") <= budget).drop("_len", "_part", "_used")
 
 
 def context_text(turns: DataFrame, key: str = "conv_id", bytes_most: int = 120) -> DataFrame:
@@ -87,16 +95,48 @@ def revalidated(chosen: DataFrame, current: DataFrame, keys: list[str]) -> DataF
     return chosen.join(F.broadcast(stale), F.lit(True), "left_anti")
 
 
-def selection(cands: DataFrame, query: DataFrame, judge, law_hash: str, policy: R.Policy, min_confidence_bp: int, staleness_max: float, most: int = 3) -> DataFrame:
-    """[D24, J14] From active candidates to those a judge picks, checked against the same snapshot.
+def selection(cands: DataFrame, requests: DataFrame, judge: Callable[[DataFrame], DataFrame], law_hash: str, policy: R.Policy, min_confidence_bp: int, staleness_max: float, most: int = 3, first: int = 100) -> DataFrame:
+    """[D24, D30, J14] For every request, from its user's active candidates to those a judge picks.
 
-    ``judge(aliased)`` returns ``batch_id, alias, applicable, confidence_bp, reason``.
+    ``requests(batch_id, user_id, query_vector)``; ``judge(asked)`` returns
+    ``batch_id, alias, applicable, confidence_bp, reason``.  The choice of a
+    request of which one row has changed in the meantime falls whole.
     """
-    fresh = eligible_top(cands.filter(R.law_fresh(law_hash)), min_confidence_bp, staleness_max)
-    asked = aliased(top_k(scored(fresh, query), policy.floor, policy.top_k), [F.desc("similarity_bp"), F.desc("confidence_bp"), F.col("id")]).withColumn("batch_id", F.lit(0))
+    surest = W.partitionBy("user_id").orderBy(F.desc("confidence_bp"), "id")
+    fresh = cands.filter(R.law_fresh(law_hash) & R.eligible(min_confidence_bp, staleness_max)).withColumn("_nth", F.row_number().over(surest)).filter(F.col("_nth") <= first).drop("_nth")
+    met = requests.join(fresh, "user_id").withColumn("similarity_bp", X.basis_points(X.cosine(F.col("vector"), F.col("query_vector")))).drop("query_vector", "vector")
+    nearest = W.partitionBy("batch_id").orderBy(F.desc("similarity_bp"), F.desc("confidence_bp"), "id")
+    asked = met.filter(F.col("similarity_bp") >= policy.floor).withColumn("_nth", F.row_number().over(nearest)).filter(F.col("_nth") <= policy.top_k)
+    asked = asked.withColumn("alias", F.concat(F.lit("c"), "_nth")).drop("_nth")
     picked = R.judged(asked, judge(asked), most, min_confidence_bp)
-    chosen = asked.join(picked.select("alias", F.col("confidence_bp").alias("judged_bp")), "alias")
-    return revalidated(chosen, cands.filter(R.law_fresh(law_hash)).select("id", "checksum"), ["id", "checksum"])
+    chosen = asked.join(picked.select("batch_id", "alias", F.col("confidence_bp").alias("judged_bp")), ["batch_id", "alias"])
+    stale = chosen.join(cands.filter(R.law_fresh(law_hash)).select("id", "checksum"), ["id", "checksum"], "left_anti")
+    return chosen.join(stale.select("batch_id").distinct(), "batch_id", "left_anti")
+
+
+def due(expected: DataFrame, cache: DataFrame, keys: list[str], batch: int = 64) -> DataFrame:
+    """[D23, D27, D28] Vectors that are missing or stale, numbered in batches of each user for the model."""
+    rows = cached(expected, cache, keys).filter("state != 'valid'")
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy(*keys))
+    return rows.withColumn("batch", F.floor((nth - 1) / batch).cast("int")).drop("cached_vector")
+
+
+def pooled(vectors: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """[A21] The unit vector of each key's mean vector; zero means have none.
+
+    Elements are averaged by place, so a hot key is summed in parts.
+    """
+    means = vectors.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    whole = means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))
+    return whole.select(key, X.unit(F.col("mean")).alias("vector"))
+
+
+def host_query(updates: DataFrame, key: str = "conv_id", each: int = 400) -> DataFrame:
+    """[X42] The newest user and the newest assistant text, head and tail of each; without either, the last text."""
+    newest = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    seen = updates.filter("text is not null").groupBy(key).agg(newest("user").alias("u"), newest("assistant").alias("a"), F.max_by("text", "turn").alias("last"))
+    said = F.concat_ws("\n", X.head_tail(F.col("u"), each), X.head_tail(F.col("a"), each))
+    return seen.select(key, F.coalesce(F.nullif(said, F.lit("")), X.head_tail(F.col("last"), each)).alias("query"))
 
 
 def hit_log(rows: DataFrame) -> DataFrame:

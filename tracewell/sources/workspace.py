@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_text(spark: SparkSession, path: str, most: int = 256 * 1024) -> DataFrame:
     """[S33] Whole files as rows, refused (null) above the bound."""
     files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return files.select("path", F.when(F.octet_length("value") <= most, F.col("value")).alias("text"))
+    return files.select("path", bounded_text(F.col("value"), most).alias("text"))
+
+
+def bounded_text(text: Column, most: int) -> Column:
+    """[S33] A text of at most so many bytes, else null."""
+    return F.when(F.octet_length(text) <= most, text)
+
+
+def read_fixture(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """[S38] Recorded model output, a JSON object or array of objects a file."""
+    return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def grep(pages: DataFrame, pattern: str, text: str = "text", key: str = "path", context: int = 0, ignore_case: bool = False, literal: bool = False) -> DataFrame:

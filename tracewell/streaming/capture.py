@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PAIR = "conv_id bigint, turn bigint, user_text string, assistant_text string"
-PAIR_STATE = "turn bigint, user_text string, answer string, dropping boolean"
+PAIR_STATE = "seen bigint, turn bigint, user_text string, answer string, dropping boolean"
 
 
 def paired(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -37,27 +37,52 @@ def paired(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return out.filter(~open_ & ~F.coalesce("dropped", F.lit(False))).select(key, "turn", "user_text", "assistant_text")
 
 
-def pair_machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """[R3] One conversation's turns in order: the next user turn or a ``settle`` row gives the pending pair out."""
-    turn, user, answer, dropping = state.get if state.exists else (None, None, None, False)
+def pair_machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, silent_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """[R3] One conversation's turns in order: the next user turn or a ``settle`` row gives the pending pair out.
+
+    A turn at or below the last one seen comes too late and is dropped.  A
+    conversation that is silent for ``silent_ms`` settles and is forgotten.
+    """
+    seen, turn, user, answer, dropping = state.get if state.exists else (-(1 << 62), None, None, None, False)
     out = []
-    rows = pd.concat(list(batches)).sort_values("turn")
-    for t, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-        if role in ("user", "settle"):
-            waiting = user is not None
-            if waiting and answer and not dropping:
-                out.append((key[0], turn, user, answer))
-            dropping = role == "user" and waiting and not answer
-            turn, user, answer = (int(t), text, None) if role == "user" else (None, None, None)
-        elif role == "assistant" and user is not None and (text or "").strip():
-            answer = text
-    state.update((turn, user, answer, dropping))
+
+    def settle() -> None:
+        if user is not None and answer and not dropping:
+            out.append((key[0], turn, user, answer))
+
+    if state.hasTimedOut:
+        settle()
+        state.remove()
+    else:
+        rows = pd.concat(list(batches)).sort_values("turn")
+        for t, role, text in zip(rows["turn"], rows["role"], rows["text"]):
+            if t <= seen:
+                continue
+            seen = int(t)
+            if role in ("user", "settle"):
+                settle()
+                dropping = role == "user" and user is not None and not answer
+                turn, user, answer = (int(t), text, None) if role == "user" else (None, None, None)
+            elif role == "assistant" and user is not None and (text or "").strip():
+                answer = text
+        state.update((seen, turn, user, answer, dropping))
+        if silent_ms:
+            state.setTimeoutDuration(silent_ms)
     yield pd.DataFrame(out, columns=["conv_id", "turn", "user_text", "assistant_text"])
 
 
-def pair_stream(turns: DataFrame) -> DataFrame:
-    """[R3] ``paired`` over a stream of ``conv_id, turn, role, text``; state is one pending pair a conversation."""
-    return turns.groupBy("conv_id").applyInPandasWithState(pair_machine, PAIR, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
+def pair_stream(turns: DataFrame, silent_ms: int | None = None) -> DataFrame:
+    """[R3] ``paired`` over a stream of ``conv_id, turn, role, text``; state is one pending pair a conversation.
+
+    A stream that runs on should give ``silent_ms``, or state is kept for ever;
+    one that ends with what is there cannot, as Spark waits for timeouts.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silent_ms else GroupStateTimeout.NoTimeout
+
+    def machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from pair_machine(key, batches, state, silent_ms)
+
+    return turns.groupBy("conv_id").applyInPandasWithState(machine, PAIR, PAIR_STATE, "append", timeout)
 
 
 def settled(turns: DataFrame) -> DataFrame:
