@@ -11,6 +11,7 @@ from tracewell.operators import dedupe, lifecycle, metrics, retrieval
 from tracewell.operators import evidence as ev
 from tracewell.plans import fixtures as fx
 from tracewell.sources import log, workspace
+from tracewell.sources.tables import shared_dir
 from tracewell.streaming import capture
 
 QUERIES: dict = {}
@@ -88,16 +89,17 @@ def context_union_topk(spark, sf_dir):
 @query(
     f"""with {fx.HABITS_SQL}, q as (select condition, behavior from habits where id = 2),
     s as (select h.id, greatest({_cos("h.condition", "q.condition")}, {_cos("h.behavior", "q.behavior")}) as similarity_bp from habits h, q where h.status = 'active'),
-    u as (select id, 0 as tier, cast(10000 as bigint) as similarity_bp from habits where status = 'active' and confidence_bp >= 9900 union all select id, 1, similarity_bp from s where similarity_bp >= 1500)
+    u as (select id, 0 as tier, cast(10000 as bigint) as similarity_bp from habits where status = 'active' and confidence_bp >= 9900 and label <> 0 union all select id, 1, similarity_bp from s where similarity_bp >= 1500)
     select id, min(tier) as tier, max(similarity_bp) as similarity_bp from u group by id order by 2, 3 desc, 1 limit 8"""
 )
 def typed_retrieval_tiered(spark, sf_dir):
-    """F4, T4, T5, X16"""
+    """Activated are the surest of the asking user's own scope"""
     h = fx.habits(spark, sf_dir).filter("status = 'active'")
     q = fx.habits(spark, sf_dir).filter("id = 2").select(F.col("condition").alias("qc"), F.col("behavior").alias("qb"))
     best = X.field_max(X.basis_points(X.cosine(F.col("condition"), F.col("qc"))), X.basis_points(X.cosine(F.col("behavior"), F.col("qb"))))
     similar = h.crossJoin(F.broadcast(q.limit(1))).withColumn("similarity_bp", best)
-    return retrieval.tiered(h.filter("confidence_bp >= 9900"), similar)
+    scoped = h.withColumns({"kind": F.when(F.col("label") == 0, "episode").otherwise("habit"), "scope_kind": F.lit("user"), "scope_key": F.lit(None).cast("string"), "approved": F.lit(True)})
+    return retrieval.tiered(scoped.filter(R.in_scope(("habit",), "user", None, 9900)), similar)
 
 
 @query(
@@ -118,7 +120,7 @@ def embedding_cache_states(spark, sf_dir):
     select source, doc_id, used from r where used <= 6000"""
 )
 def context_pack_budget(spark, sf_dir):
-    """W3"""
+    """Over sources, of which there are few"""
     d = fx.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("bigint").alias("len"))
     return retrieval.packed(d, "source", [F.col("doc_id")], F.col("len"), 6000).select("source", "doc_id", "used")
 
@@ -164,10 +166,10 @@ def duplicate_pairs_scored(spark, sf_dir):
     return _near(spark, sf_dir).select("user_id", "id_a", "id_b", "similarity_bp", "class")
 
 
-@query(f"with {fx.HABITS_SQL}, {_PAIRS} select user_id, id_a, id_b, similarity_bp, class, case when created_at_a < created_at_b then id_a when created_at_b < created_at_a then id_b else least(id_a, id_b) end as canonical_id from near")
+@query(f"with {fx.HABITS_SQL}, {_PAIRS} select user_id, id_a, id_b, sha256(least(cast(id_a as varchar), cast(id_b as varchar)) || chr(0) || greatest(cast(id_a as varchar), cast(id_b as varchar))) as pair_key_sha256, similarity_bp, class, case when created_at_a < created_at_b then id_a when created_at_b < created_at_a then id_b else least(id_a, id_b) end as canonical_id from near")
 def duplicate_canonical(spark, sf_dir):
     """T7, D18, X10"""
-    return dedupe.relations(_near(spark, sf_dir), "m1").select("user_id", "id_a", "id_b", "similarity_bp", "class", "canonical_id")
+    return dedupe.relations(_near(spark, sf_dir), "m1").select("user_id", "id_a", "id_b", X.checksum(F.col("pair_key")).alias("pair_key_sha256"), "similarity_bp", "class", "canonical_id")
 
 
 @query(f"with {fx.HABITS_SQL}, {_PAIRS} select id_a, id_b, similarity_bp from near where not ((id_a + id_b) % 3 = 0 and id_a % 2 = 0)")
@@ -204,7 +206,7 @@ def threshold_reconcile(spark, sf_dir):
 
 @query(f"with {fx.HABITS_SQL}, {_PAIRS}, e as (select id_a as id from near union all select id_b from near) select id, count(*) as pending from e group by id")
 def pending_relation_counts(spark, sf_dir):
-    """A23, U9, D19"""
+    """A23, U9"""
     return dedupe.pending_counts(dedupe.relations(_near(spark, sf_dir), "m1"))
 
 
@@ -226,10 +228,10 @@ def near_duplicate_texts(spark, sf_dir):
     return dedupe.overlapping(_classes(spark, sf_dir)[0]).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query(f"with {_TOKENS_SQL} select class_a as anchor, count(*) as n_near, min(class_b) as first_near, max(class_b) as last_near from near group by 1")
+@query(f"with {_TOKENS_SQL} select class_a as anchor, count(*) as n_near, string_agg(cast(class_b as varchar), ',' order by class_b) as near_ids from near group by 1")
 def near_duplicate_groups(spark, sf_dir):
-    """Anchors, not closed transitively"""
-    return dedupe.anchor_groups(dedupe.overlapping(_classes(spark, sf_dir)[0]))
+    """Anchors, not closed transitively"""
+    return dedupe.anchor_groups(dedupe.overlapping(_classes(spark, sf_dir)[0])).withColumn("near_ids", F.array_join("near_ids", ","))
 
 
 @query(f"with {_TOKENS_SQL} select k.id, c.class from keyed k join cls c using (key)")
@@ -254,9 +256,10 @@ def redacted_text(spark, sf_dir):
     return d.select("doc_id", X.checksum(F.col("t")).alias("redacted_sha256"), F.length("t").cast("bigint").alias("n_chars"))
 
 
+# Key heads, addresses, numbers, tokens of three parts, bearers and home paths count in any case; tokens of known issuers as they are written.
 _SENSITIVE_SQL = " or ".join(
-    [f"regexp_matches(t, {fx.quoted(p)})" for p in (X.PEM_HEAD, X.EMAIL, X.PHONE.removesuffix(r"\b"), X.TOKEN, X.JWT, X.BEARER, X.CREDENTIAL_URL, X.HOME_PATH)]
-    + [f"regexp_matches(regexp_replace(t, {fx.quoted(X.REDACTED_ASSIGNMENT)}, '{X.REDACTED}', 'g'), {fx.quoted(X.ASSIGNMENT)})"]
+    [f"regexp_matches(t, {fx.quoted(p)}, 'i')" for p in (X.PEM_HEAD, X.EMAIL, X.PHONE.removesuffix(r"\b"), X.JWT, X.BEARER, X.CREDENTIAL_URL, X.HOME_PATH)]
+    + [f"regexp_matches(t, {fx.quoted(X.TOKEN)})", f"regexp_matches(regexp_replace(t, {fx.quoted(X.REDACTED_ASSIGNMENT)}, '{X.REDACTED}', 'g'), {fx.quoted(X.ASSIGNMENT)})"]
 )
 
 
@@ -338,17 +341,7 @@ def _pair_columns(p: DataFrame) -> DataFrame:
 def stream_capture_pairs(spark, sf_dir):
     """The state machine over a file stream; same pairs as ``capture_pairs``"""
     stream = capture.pair_stream(capture.settled(capture.stream_of(spark, sf_dir, "conversations")))
-    return _pair_columns(capture.run_available(stream, _folder(spark)))
-
-
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracewell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    return _pair_columns(capture.run_available(stream, shared_dir(spark)))
 
 
 @query(
@@ -540,7 +533,7 @@ def audit_group_counts(spark, sf_dir):
 
 @query("select 'events' as name, count(*) as n from events union all select 'embeddings', count(*) from embeddings union all select 'conversations', count(*) from conversations")
 def table_counts(spark, sf_dir):
-    """A8, A22"""
+    """A8"""
     return metrics.table_counts({t: fx.table(spark, sf_dir, t) for t in ("events", "embeddings", "conversations")})
 
 
@@ -563,7 +556,7 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     select id, case when review_status like 'approved_pending_%' then substr(review_status, 18) end as waiting_reason, coalesce(review_status not in ('collecting_evidence','approved_pending_eligibility','approved_pending_conflict','approved_pending_law_blocked','duplicate_resolution'), true) as visible from s"""
 )
 def review_filters(spark, sf_dir):
-    """F14, F15, U2"""
+    """F14, F15"""
     return _reviewed(spark, sf_dir).select("id", R.waiting_reason().alias("waiting_reason"), R.review_visible().alias("visible"))
 
 
@@ -585,7 +578,7 @@ def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bool_or(queue_overflowed) as overflowed, coalesce(string_agg(distinct safe_code, ',' order by safe_code), '') as codes from receipts group by 1"""
 )
 def receipt_summary(spark, sf_dir):
-    """A13, S27, F26"""
+    """A13, F26"""
     return metrics.receipts(_receipts(spark, sf_dir))
 
 
@@ -603,7 +596,7 @@ def latency_p95(spark, sf_dir):
 
 @query("with r as (select user_id, event_type, event_id, value, row_number() over (partition by user_id, event_type order by value desc, event_id) as nth from events) select user_id, event_type, event_id, value from r where nth = 1")
 def emission_dedupe(spark, sf_dir):
-    """T13, R9"""
+    """T13"""
     e = fx.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.struct("user_id", "event_type").alias("event"), F.col("event_id").alias("pos"))
     return metrics.emitted(e, "event", "value").select("user_id", "event_type", "event_id", "value")
 
@@ -669,19 +662,25 @@ def source_ref_missing(spark, sf_dir):
     return lifecycle.missing_refs(refs, obs, ["seq", "gen"]).select("l_orderkey", "l_linenumber")
 
 
-@query(
-    f"""with {fx.HABITS_SQL}, {fx.EVIDENCE_SQL}, {_PAIRS}, rep as (select habit_id as id, count(*) >= 3 and count(distinct cast(observed_at as date)) >= 2 as repeated from evidence group by 1), dup as (select id_a as id from near union select id_b from near),
-    g as (select h.id, coalesce(r.repeated, false) as repeated, h.id % 11 <> 0 as law_ok, h.id % 13 <> 0 as conflict_free, d.id is null as duplicate_free from habits h left join rep r using (id) left join dup d using (id) where h.status = 'candidate')
+_GATED = f"""with {fx.HABITS_SQL}, {fx.EVIDENCE_SQL}, {_PAIRS}, {_CONFLICTS},
+    rep as (select habit_id as id, count(*) >= 3 and count(distinct cast(observed_at as date)) >= 2 as repeated from evidence group by 1), dup as (select id_a as id from near union select id_b from near),
+    against as (select distinct cond, pol from (select c.cond, c.polarity as pol, c.does, c.id from c) x where exists (select 1 from c y where y.cond = x.cond and (y.does <> x.does or y.polarity = -x.pol) and y.id <> x.id)),
+    wording as (select h.id, len({_LAW.replace("regexp_matches(t,", "regexp_matches(h.cond || ' ' || h.does,")}) = 0 as law_ok, a.cond is null as conflict_free from h left join against a on a.cond = h.cond and a.pol = h.polarity),
+    g as (select b.id, coalesce(r.repeated, false) as repeated, coalesce(w.law_ok, true) as law_ok, coalesce(w.conflict_free, true) as conflict_free, d.id is null as duplicate_free from habits b left join rep r using (id) left join dup d using (id) left join wording w using (id) where b.status = 'candidate')
     select id, case when not duplicate_free then 'duplicate_resolution' when not repeated then 'approved_pending_eligibility' when not law_ok then 'approved_pending_law_blocked' when not conflict_free then 'approved_pending_conflict' else 'accepted_active' end as review_status,
       case when duplicate_free and repeated and law_ok and conflict_free then 'active' else 'candidate' end as status from g"""
-)
+
+
+@query(_GATED)
 def activation_decision(spark, sf_dir):
-    """D11, D12, D16, A3"""
+    """Candidates with the wording of the document of their number, by evidence, law (F5), conflicts (J9) and relations"""
     h = fx.habits(spark, sf_dir).filter("status = 'candidate'").select("id")
     rep = ev.repetition(fx.evidence(spark, sf_dir)).select(F.col("habit_id").alias("id"), F.col("eligible").alias("repeated"))
     dup = dedupe.pending_counts(dedupe.relations(_near(spark, sf_dir), "m1"))
-    gates = h.join(rep, "id", "left").join(dup, "id", "left").select(
-        "id", F.coalesce("repeated", F.lit(False)).alias("repeated"), (F.col("id") % 11 != 0).alias("law_ok"), (F.col("id") % 13 != 0).alias("conflict_free"), F.col("pending").isNull().alias("duplicate_free")
+    worded = _wordings(spark, sf_dir)
+    law = worded.select("id", (F.size(R.law_reasons(F.col("condition"), F.col("behavior"))) == 0).alias("law_ok"))
+    gates = h.join(rep, "id", "left").join(dup, "id", "left").join(law, "id", "left").join(lifecycle.conflicted(worded).withColumn("against", F.lit(True)), "id", "left").select(
+        "id", F.coalesce("repeated", F.lit(False)).alias("repeated"), F.coalesce("law_ok", F.lit(True)).alias("law_ok"), F.col("against").isNull().alias("conflict_free"), F.col("pending").isNull().alias("duplicate_free")
     )
     return lifecycle.activation(gates).select("id", "review_status", "status")
 
@@ -723,7 +722,7 @@ def duplicate_resolution(spark, sf_dir):
 
 @query(
     f"""with {fx.HABITS_SQL}, r as (select id, status, case id % 4 when 0 then 'reject' when 1 then 'disable' when 2 then 'enable' else 'archive' end as action, id % 9 = 0 as stale from habits),
-    m as (select *, case when stale then 'stale' when (action = 'reject' and status = 'candidate') or (action = 'disable' and status = 'active') or (action = 'enable' and status = 'disabled') or (action = 'archive' and status in ('candidate', 'active', 'disabled')) then 'moved' else 'not_allowed' end as outcome from r)
+    m as (select *, case when stale then 'stale' when (action = 'reject' and status = 'candidate') or (action = 'disable' and status = 'active') or (action = 'enable' and status = 'disabled') or (action = 'archive' and status in ('active', 'disabled')) then 'moved' else 'not_allowed' end as outcome from r)
     select id, action, outcome, case when outcome <> 'moved' then status when action = 'disable' then 'disabled' when action = 'enable' then 'active' else 'archived' end as after from m"""
 )
 def status_moves(spark, sf_dir):
@@ -734,7 +733,7 @@ def status_moves(spark, sf_dir):
     return lifecycle.status_moves(h, asked).select("id", "action", "outcome", "after")
 
 
-@query()
+@query("""select event_id, sha256('{"id":' || event_id || ',"props":{"k":' || json_extract_string(props, '$.k') || '},"type":"' || event_type || '"}') as checksum from events""")
 def canonical_json_hash(spark, sf_dir):
     """X5, X6"""
     e = fx.table(spark, sf_dir, "events")

@@ -149,7 +149,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: ``norm_text`` in DuckDB's words.
 def norm_sql(c: str) -> str:
-    return rf"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
+    return f"lower(trim(regexp_replace({c}, '{X.SPACE}+', ' ', 'g')))"
 
 
 def quoted(pattern: str) -> str:

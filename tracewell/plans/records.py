@@ -10,40 +10,43 @@ from tracewell.functions import rules as R
 from tracewell.operators import dedupe, evidence, lifecycle, metrics, retrieval
 from tracewell.plans import fixtures as fx
 from tracewell.plans.catalogue import _PAIRS, _near, query
+from tracewell.sources import log
 from tracewell.streaming import capture
 
 # --- scans ------------------------------------------------------------------
 
 
-@query(f"with {fx.HABITS_SQL} select id, user_id, status, created_at from habits where user_id = 1 and status in ('active', 'candidate') and polarity in (1)")
+@query(f"with {fx.HABITS_SQL} select id, user_id, status, created_at from habits where polarity = 1 and status in ('active', 'candidate') and id % 7 < 5")
 def scan_by_status(spark, sf_dir):
-    """S12, S13, S14"""
-    wanted = (F.col("user_id") == 1) & F.col("status").isin("active", "candidate") & F.col("polarity").isin(1)
-    return fx.habits(spark, sf_dir).filter(wanted).select("id", "user_id", "status", "created_at").orderBy("created_at", "id")
+    """Of all users; positive habits are of kind ``habit``, the others of kind ``evidence``"""
+    h = fx.habits(spark, sf_dir).withColumn("record_kind", F.when(F.col("polarity") == 1, "habit").otherwise("evidence"))
+    found = log.rows_of(h.filter("id % 7 < 5"), kinds=["habit"], statuses=["active", "candidate"])
+    return found.select("id", "user_id", "status", "created_at").orderBy("created_at", "id")
 
 
-@query("select o_orderkey from orders where o_orderkey % 17 <> 0")
+@query("select o_orderkey from orders where o_orderkey % 17 <> 0 and o_orderstatus <> 'F'")
 def row_integrity(spark, sf_dir):
-    """Rows whose stored checksum was made of another total are found and left out"""
-    o = fx.table(spark, sf_dir, "orders")
-    parts = [F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_totalprice")]
-    planted = F.when(F.col("o_orderkey") % 17 == 0, "0").otherwise(parts[2])
-    stored = o.withColumn("stored", X.event_fingerprint(*parts[:2], planted))
-    return stored.filter(R.intact(F.col("stored"), *parts)).select("o_orderkey")
+    """Active rows; those whose stored checksum was made of another total are found and left out"""
+    o = fx.table(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "archived").otherwise("active"))
+    parts = ["o_orderkey", "o_custkey", "o_totalprice"]
+    planted = F.when(F.col("o_orderkey") % 17 == 0, "0").otherwise(F.col("o_totalprice").cast("string"))
+    stored = o.withColumn("checksum", X.event_fingerprint(F.col("o_orderkey"), F.col("o_custkey"), planted))
+    return log.active_rows(stored, parts, strict=False).select("o_orderkey")
 
 
 @query(
     """with r as (select o_orderkey as id, case when o_orderstatus = 'F' then 'disabled' else 'active' end as status, o_orderdate as valid_from, case when o_orderkey % 3 > 0 then o_orderdate + interval 400 day end as expires_at from orders)
-    select id from r where status = 'active' and valid_from <= timestamp '1997-01-01' and (expires_at is null or expires_at > timestamp '1997-01-01')"""
+    select id from r where status = 'active' and valid_from <= timestamp '1997-01-01' and (expires_at is null or expires_at > timestamp '1997-01-01') and id % 4 = 1"""
 )
 def valid_records(spark, sf_dir):
-    """F3, S17, S18"""
+    """Records of one exact scope, of four that there are"""
     o = fx.table(spark, sf_dir, "orders")
+    i = F.col("o_orderkey")
     r = o.select(
-        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "disabled").otherwise("active").alias("status"), F.col("o_orderdate").alias("valid_from"),
-        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate") + F.expr("interval 400 days")).alias("expires_at"),
+        i.alias("id"), F.when(F.col("o_orderstatus") == "F", "disabled").otherwise("active").alias("status"), F.col("o_orderdate").alias("valid_from"), F.lit("workspace").alias("scope_kind"), F.concat(F.lit("w"), i % 4).alias("scope_key"),
+        F.when(i % 3 > 0, F.col("o_orderdate") + F.expr("interval 400 days")).alias("expires_at"),
     )
-    return r.filter(R.valid_at(F.lit("1997-01-01").cast("timestamp_ntz"))).select("id")
+    return log.usable_records(r, F.lit("1997-01-01").cast("timestamp_ntz"), "workspace", "w1").select("id")
 
 
 @query("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as nth from events) where nth = 1")
@@ -196,12 +199,12 @@ def newest_first_context(spark, sf_dir):
 
 @query(
     r"""select conv_id, turn, case when turn % 5 = 4 then 'source_not_allowlisted' when conv_id % 7 = 0 then 'streaming_input_denied' when conv_id % 11 = 0 then 'images_denied' when conv_id % 13 = 0 then 'missing_capture_key'
-      when regexp_full_match(coalesce(text, ''), '\s*') then 'empty_text_denied' when length(text) > 300 then 'input_too_large' else 'allow' end as reason from conversations"""
+      when regexp_full_match(coalesce(text, ''), '\s*') then 'empty_text_denied' when length(text) > 16384 then 'input_too_large' else 'allow' end as reason from conversations"""
 )
 def capture_origin_reasons(spark, sf_dir):
     """F9"""
     conv, turn = F.col("conv_id"), F.col("turn")
-    reason = R.capture_origin(F.when(turn % 5 != 4, "interactive"), conv % 7 == 0, F.when(conv % 11 == 0, 1), F.when(conv % 13 != 0, "key"), F.col("text"), longest=300)
+    reason = R.capture_origin(F.when(turn % 5 != 4, "interactive"), conv % 7 == 0, F.when(conv % 11 == 0, 1), F.when(conv % 13 != 0, "key"), F.col("text"))
     return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"))
 
 
@@ -247,30 +250,22 @@ def safe_names(spark, sf_dir):
     return named.select("event_id", X.user_id(F.col("name")).alias("user_name"), X.provider_model(F.col("name"))["provider"].alias("provider"), X.provider_model(F.col("name"))["model_id"].alias("model_id"))
 
 
-@query("select event_id, event_id % 5 <> 0 as known from events")
-def key_difference(spark, sf_dir):
-    """Every fifth object has a key that is not allowed"""
-    planted = F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", r"\}$", ', "z": 1}')).otherwise(F.col("props"))
-    extra = F.array_except(F.json_object_keys(planted), F.array(F.lit("k")))
-    return fx.table(spark, sf_dir, "events").select("event_id", (F.size(extra) == 0).alias("known"))
-
-
 # --- validation and routing -------------------------------------------------
 
 
 @query(
     """with m as (select conv_id as run_id, coalesce(string_agg(text, chr(10) order by turn) filter (where turn % 5 <> 1), '') as t, arg_max(turn % 7 = 5, turn) as failed from conversations where role = 'assistant' group by 1)
-    select run_id, case when length(t) <= 400 then t else '[truncated]' || chr(10) || right(t, 388) end as text from m where not failed"""
+    select run_id, case when length(t) <= 65536 then t else '[truncated]' || chr(10) || right(t, 65524) end as text from m where not failed"""
 )
 def run_texts(spark, sf_dir):
     """F10, X25"""
     c = fx.table(spark, sf_dir, "conversations")
     m = c.select(F.col("conv_id").alias("run_id"), "role", "text", F.col("turn").alias("pos"), F.when(F.col("turn") % 7 == 5, "error").otherwise("stop").alias("stop_reason"), (F.col("turn") % 5 != 1).alias("display"))
-    return R.successful_runs(m, longest=400)
+    return R.successful_runs(m)
 
 
 @query(
-    """select event_id, concat_ws(',', case when event_type = 'view' then 'kind' end, case when event_type = 'error' and event_id % 2 = 0 or event_type = 'purchase' and event_id % 5 = 0 then 'origin' end, case when strlen(props) > 8 then 'size' end) as errors
+    """select event_id, concat_ws(',', case when event_type = 'view' then 'kind' end, case when event_type = 'error' and event_id % 2 = 0 or event_type = 'purchase' and event_id % 5 = 0 then 'origin' end, case when strlen(props) > 65536 then 'size' end) as errors
     from (select * from events)"""
 )
 def payload_errors(spark, sf_dir):
@@ -279,7 +274,7 @@ def payload_errors(spark, sf_dir):
     kind = F.when(e == "error", "advisor_finding_v1").when(e != "view", "conversation_pair_v1")
     origin = F.when((e == "error") & (i % 2 == 0) | (e == "purchase") & (i % 5 == 0), "elsewhere").when(e == "error", "advisor").otherwise("local_interactive")
     rows = fx.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), origin.alias("origin"), F.col("props").alias("payload"))
-    return rows.select("event_id", F.array_join(R.payload_errors(8), ",").alias("errors"))
+    return rows.select("event_id", F.array_join(R.payload_errors(), ",").alias("errors"))
 
 
 @query(
@@ -299,35 +294,35 @@ def proposal_errors(spark, sf_dir):
 
 
 @query(
-    """with b as (select user_id, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_id % 97 = 0) as key_conflicts, count(*) filter (where event_type = 'purchase') as proposals, count(*) filter (where event_id % 4 = 0) as typed from events where event_id % 17 = 0 group by 1)
-    select user_id, case when errors > 2 then 'quarantine' when key_conflicts > 0 then 'pending_review' when proposals = 0 then 'coverage_only' when typed > 0 then 'typed' else 'legacy' end as route from b"""
+    """with b as (select user_id, cast(ts as date) as day, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_id % 97 = 0) as key_conflicts, count(*) filter (where event_type = 'purchase') as proposals, count(*) filter (where event_id % 4 = 0) as typed from events group by 1, 2)
+    select user_id, day, case when errors > 2 then 'quarantine' when key_conflicts > 0 then 'pending_review' when proposals = 0 then 'coverage_only' when typed > 0 then 'typed' else 'legacy' end as route from b"""
 )
 def batch_routes(spark, sf_dir):
-    """D6, D10"""
+    """The events of a user and day are a batch"""
     i, kind = F.col("event_id"), F.col("event_type")
-    b = fx.table(spark, sf_dir, "events").filter(i % 17 == 0).groupBy("user_id").agg(
+    b = fx.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.greatest(F.count_if(kind == "error") - 2, F.lit(0)).alias("errors"), F.count_if(i % 97 == 0).alias("key_conflicts"), F.count_if(kind == "purchase").alias("proposals"), F.count_if(i % 4 == 0).alias("typed")
     )
-    return lifecycle.route(b).select("user_id", "route")
+    return lifecycle.route(b).select("user_id", "day", "route")
 
 
 @query(
-    f"""with d as (select distinct lang as user_id, substr({fx.redact_sql("text")}, 1, 500) as output from documents where text is not null and doc_id % 3 = 0)
-    select user_id, output, 'quarantine-' || substr(sha256(user_id || '|' || output), 1, 40) as id from d"""
+    f"""with d as (select distinct lang as user_id, substr({fx.redact_sql("text")}, 1, 20000) as output from documents where text is not null)
+    select user_id, length(output) as n_chars, sha256(output) as output_sha256, 'quarantine-' || substr(sha256(user_id || '|' || output), 1, 40) as id from d"""
 )
 def quarantine_rows(spark, sf_dir):
-    """D8, X7"""
-    d = fx.table(spark, sf_dir, "documents").filter("text is not null and doc_id % 3 = 0")
+    """Every document"""
+    d = fx.table(spark, sf_dir, "documents").filter("text is not null")
     rows = d.select(F.col("lang").alias("user_id"), F.col("text").alias("output"), F.lit("invalid_json").alias("reason"))
-    return lifecycle.quarantined(rows, 500).select("user_id", "output", "id")
+    return lifecycle.quarantined(rows).select("user_id", F.length("output").cast("bigint").alias("n_chars"), F.sha2("output", 256).alias("output_sha256"), "id")
 
 
 @query(
     f"""with t as (select conv_id, turn, {fx.redact_sql("text")} as s from conversations where role <> 'system' and text is not null),
-    c as (select conv_id, turn, case when length(s) <= 80 then s else substr(s, 1, 80) || '…' end as text from t)
+    c as (select conv_id, turn, case when length(s) <= 4000 then s else substr(s, 1, 4000) || '…' end as text from t)
     select conv_id, turn, text, sha256(conv_id || chr(31) || turn || chr(31) || text) as fingerprint from c"""
 )
 def turn_deltas(spark, sf_dir):
     """System rows stand for the advisor's"""
     c = fx.table(spark, sf_dir, "conversations").filter("text is not null").withColumn("advisor", F.col("role") == "system")
-    return capture.turn_deltas(c, 80).select("conv_id", "turn", "text", "fingerprint")
+    return capture.turn_deltas(c).select("conv_id", "turn", "text", "fingerprint")
