@@ -310,6 +310,22 @@ def test_base_scores(documents, corpus):
         assert all(x[4] < 0 for x in got.values())
 
 
+def test_scores_of_whole_documents(documents, corpus):
+    """Piece counts of the training documents by a plain loop, then each word's recursion for one text, word by word."""
+    path = P.path("piece_bpe_32k.model")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    got = rows(lm_scoring.score(documents, ~held, path), "doc_id", "score")
+    train = [t for d, t in corpus if zlib.crc32(str(d).encode()) % 10]
+    sp, pieces = lm_scoring.vocabulary(path), Counter()
+    for t in train:
+        for w in lm_scoring.tokens(t):
+            pieces.update(sp.encode(w.decode()))
+    lattice = lm_scoring.Lattice(path, pieces, 0, len(train))
+    for d, t in corpus:
+        want = lattice.end + sum(lattice.forward("▁" + w.decode()) for w in lm_scoring.tokens(t))
+        assert got[d][0] == pytest.approx(want / np.log(10)), d
+
+
 def test_forward_recursion_sums_all_segmentations():
     lattice = lm_scoring.Lattice(P.path("piece_bpe_32k.model"), {i: i % 7 for i in range(3, 32000)}, 0, 5)
 

@@ -37,7 +37,38 @@ def test_run(spark):
     assert C.run(spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("crowded", [128, 2])
+def test_stages_of_odd_tables(spark, empty, odd):
+    """Empty tables, null ids and texts, repeated rows, columns that the table does not have."""
+    from pyspark.sql import functions as F
+
+    for name, stage in C.STAGES[:-1]:
+        assert stage(spark, empty, SF).count() == 0, name
+        got = stage(spark, odd.withColumns({"fp": F.lit("x"), "kept": F.lit(1), "n": F.lit(2)}), SF)
+        assert got.columns == C.COLUMNS and {r.doc_id for r in got.collect()} <= {None, 1, 2, 3}, name
+    assert C.STAGES[-1][1](spark, empty, SF).count() == 0
+    assert C.STAGES[-1][1](spark, odd.withColumn("ids", F.lit(0)), SF).filter("start = 0").count() == 8
+    near = [(r.doc_id, r.text) for r in C.near_dedup(spark, odd, SF).collect()]
+    assert sum(d is None for d, _ in near) == 2  # rows without an id all stay
+
+
+def test_very_long_texts(spark):
+    """Half a million characters in one document, beside a near copy and a short one, through every stage."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdklmnprst" for b in "aeiou" for c in "lmnrst"]
+    long = " ".join(rng.choice(words) + (rng.choice([".", ",", ""]) if i % 9 == 0 else "") for i in range(120_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long[:-30], "en", "s", len(long) - 30), (3, long[1000:3000], "en", "s", 2000)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    near = C.near_dedup(spark, docs, SF)
+    assert sorted(r.doc_id for r in near.collect()) == [1, 3]
+    cut = {r.doc_id: r for r in C.passages(spark, near, SF).collect()}
+    assert cut[1].text == long and cut[3].text == "" and cut[3].n_chars == 0
+    assert C.rules(spark, docs, SF).count() <= 3 and C.classify(spark, docs, SF).count() <= 3
+    pieces = C.pack(spark, docs, SF).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(pieces) == 3 and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
+
+
+@pytest.mark.parametrize("crowded", [8, 2])
 def test_near_dedup_finds_all_pairs_of_similar_texts(monkeypatch, spark, crowded):
     """Against brute force over all pairs: a recall of 1, and nothing below 0.8 linked."""
     monkeypatch.setattr(similar, "CROWDED", crowded)

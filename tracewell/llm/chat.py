@@ -90,8 +90,9 @@ def format_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ``ids`` are little-endian unsigned 32-bit; ``mask`` has a byte an id, 1
     under the loss (assistant content).  A null role or text is empty; other
-    columns are ignored; no shuffle.  Concatenated by turn, the rows of a
-    conversation are its token sequence and its mask.
+    columns are ignored; no shuffle.  A role ends at its first line feed: what
+    follows one is read back as the text's beginning.  Concatenated by turn,
+    the rows of a conversation are its token sequence and its mask.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
