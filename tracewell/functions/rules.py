@@ -101,9 +101,9 @@ def first_match(otherwise: str | None, *pairs: tuple[Column, str]) -> Column:
 
 
 def law_reasons(condition: Column, behavior: Column) -> Column:
-    """[F5]"""
+    """The rules that the joint wording breaks; it is normalised once."""
     text = X.norm_text(F.concat_ws(" ", condition, behavior))
-    return reasons(*((text.rlike(p), p) for p in LAW_RULES))
+    return F.transform(F.array(text), lambda t: reasons(*((t.rlike(p), p) for p in LAW_RULES)))[0]
 
 
 def opposed(a: Column, b: Column) -> Column:
