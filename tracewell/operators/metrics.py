@@ -61,7 +61,7 @@ def evictions(rows: DataFrame, cap: int, rank: str = "rank", key: str = "user_id
     return seen.filter(F.col("nth") <= F.col("n") - cap + 1).drop("n", "nth")
 
 
-def nearest_rank(samples: DataFrame, key: str, value: str, q: float = 0.95, bands: int = 256) -> DataFrame:
+def nearest_rank(samples: DataFrame, key: str, value: str, q: float = 0.95, bands: int = 32) -> DataFrame:
     """[A14] The value at rank ``ceil(n * q)``, not interpolated.
 
     Approximate quantiles cut each key's values into bands; the counts of
