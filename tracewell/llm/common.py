@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources.tables import materialize, shared_dir  # noqa: F401  the operators have them from here
+
 #: Rows of an Arrow batch, which Spark and Python both hold whole; documents can be long.
 BATCH = 1_000
 
@@ -19,34 +19,6 @@ BATCH = 1_000
 WORD_SEP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent and all runs on this machine (tests), a fresh
-    local folder is made and set as the checkpoint directory; a cluster
-    without the setting is an error.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tracewell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage with files that outlive any executor.
-    """
-    path = os.path.join(shared_dir(df.sparkSession), f"tracewell-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Removes what ``materialize`` wrote, once nothing that is still to run reads it."""
     for t in tables:
