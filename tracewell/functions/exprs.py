@@ -239,10 +239,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """[X13] Cosine similarity; null where lengths differ, a norm is zero or a value is not finite."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0) & (norms < float("inf")), dot(a, b) / norms)
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """[X13] Cosine similarity; null where lengths differ, a norm is zero or a value is not finite.
+
+    Norms that are known already spare two of three products a pair.
+    """
+    norms = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    fits = lambda n: (F.size(a) == F.size(b)) & (n > 0) & (n < float("inf"))
+    return F.transform(F.array(norms), lambda n: F.when(fits(n), dot(a, b) / n))[0]
 
 
 def basis_points(similarity: Column) -> Column:

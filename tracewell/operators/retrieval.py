@@ -27,7 +27,9 @@ def preparation(cands: DataFrame, min_confidence_bp: int, staleness_max: float,
 
 def scored(cands: DataFrame, query: DataFrame, vector: str = "vector") -> DataFrame:
     """[J3] ``cands`` with ``similarity_bp`` to the one vector of ``query(query_vector)``."""
-    return cands.crossJoin(F.broadcast(query.limit(1))).withColumn("similarity_bp", X.basis_points(X.cosine(F.col(vector), F.col("query_vector"))))
+    one = query.limit(1).withColumn("query_norm", X.norm(F.col("query_vector")))
+    similarity = X.cosine(F.col(vector), F.col("query_vector"), norm_b=F.col("query_norm"))
+    return cands.crossJoin(F.broadcast(one)).withColumn("similarity_bp", X.basis_points(similarity)).drop("query_norm")
 
 
 def top_k(ranked: DataFrame, floor: int = 1500, k: int = 12) -> DataFrame:
