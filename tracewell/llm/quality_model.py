@@ -30,7 +30,7 @@ SAMPLE = 16_000
 MIN_DOCUMENTS = 10
 STEPS, RATE, L2 = 120, 0.1, 3e-4
 #: Words whose features a Python task remembers.
-CACHE = 100_000
+CACHE = 300_000
 GRADES = 3
 
 _cache: dict[bytes, tuple[int, ...]] = {}
