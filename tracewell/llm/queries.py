@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, fingerprint, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, tokens
+from tracewell.llm import best_fit, centroids, chat, fingerprint, infill, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, tokens
 from tracewell.llm.common import table
 
 
@@ -70,13 +70,25 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.place(best_fit.digests(best_fit.cut(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_lm_scoring, op7_byte_bpe, op8_chat, op9_fingerprint, op10_quality_model, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_lm_scoring, op7_byte_bpe, op8_chat, op9_fingerprint, op10_quality_model, op11_centroids, op12_infill, op13_best_fit, pipeline)}
 
 #: What op8_chat must return: a text counts with one more character for each control-like opening it has.
 OP8_SQL = r"""with turns as (
@@ -90,5 +102,49 @@ select conv_id, count(*) as n_turns,
   cast(sum(length('<|im_start|>' || regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) as bigint) as formatted_chars
 from turns group by conv_id"""
 
+#: What op12_infill must return.
+OP12_SQL = r"""with units as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (
+  select doc_id, text, u, len(u) as n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(h, i, 8) as bigint)) as d from units),
+placed as (
+  select doc_id, text, u, n, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as z,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 90 then 'plain'
+      when d[4] % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+parts as (
+  select doc_id, text, n, form, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:z], '') as m, array_to_string(u[z + 1:], '') as s from placed)
+select doc_id, cast(n as bigint) as n, form,
+  case when form != 'plain' then cast(length(p) as bigint) end as prefix_chars,
+  case when form != 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts"""
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """What op11_centroids must return: every vector against every centroid, in each round."""
+    ctes = ["""x as (
+  select vec_id, list_transform(embedding, lambda e: cast(floor(64 * cast(e as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64)"""]
+    ctes.append(f"""c0 as (
+  select cast(row_number() over (order by h, v) - 1 as integer) as cluster, v as c
+  from (select v, sha256('1:' || cast(vec_id as varchar)) as h from x order by h, v limit {k}))""")
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} as (
+  select vec_id, v, arg_min(cluster, (d, cluster)) as cluster, min(d) as distance from (
+    select row, vec_id, v, cluster, cast(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d
+    from (select row_number() over () as row, vec_id, v from x), c{r}) group by row, vec_id, v)""")
+        if r < rounds:
+            ctes.append(f"""s{r} as (
+  select cluster, i, cast(sum(e) as bigint) as t, count(*) as n from (select cluster, unnest(v) as e, generate_subscripts(v, 1) as i from a{r}) group by cluster, i)""")
+            ctes.append(f"""c{r + 1} as (
+  select c{r}.cluster, coalesce(m.c, c{r}.c) as c from c{r} left join (
+    select cluster, list((t - ((t % n) + n) % n) // n order by i) as c from s{r} group by cluster) m using (cluster))""")
+    return "with " + ", ".join(ctes) + f"""
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+  cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (cluster)"""
+
+
 #: DuckDB SQL where a whole-table oracle is cheap and exact; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL, "op11_centroids": _op11_sql(), "op12_infill": OP12_SQL}
