@@ -139,6 +139,12 @@ def test_suffix_dedup_of_a_row_repeated_over_whole_batches(spark):
     assert got == brute.suffix(sorted(set(rows)))
 
 
+def test_runs_grow_to_whole_characters():
+    data = "aé😀éb".encode()
+    assert suffix_dedup.outward([[2, 5]], data) == [[1, 7]] and suffix_dedup.outward([[0, 1], [9, 10]], data) == [[0, 1], [9, 10]]
+    assert suffix_dedup.outward([[1, 4], [5, 6]], data) == [[1, 7]] and suffix_dedup.outward([], data) == []
+
+
 def test_suffix_dedup_of_odd_tables(empty, odd):
     assert suffix_dedup.dedup(empty).count() == 0
     got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(odd).collect()]
@@ -469,6 +475,19 @@ def test_fingerprints_of_odd_tables(empty, odd):
 # --- 10 ---
 
 
+def test_shapes_take_whole_words_and_the_cache_is_bounded_by_bytes(monkeypatch):
+    head = b"aB1!" * 8
+    assert quality_model.shape(head + b"x") != quality_model.shape(head + b"7") and quality_model.shape(b"a" * 99) == b"a"
+    words = [b"%d-word" % i for i in range(2000)]
+    want = [quality_model.word_features(w) for w in words]
+    quality_model.forget()
+    monkeypatch.setattr(quality_model, "CACHE", 20_000)
+    assert [quality_model.word_features(w) for w in words] == want and [quality_model.word_features(w) for w in words] == want
+    assert len(quality_model._cache) < 200 and quality_model._held <= 20_000 + 300
+    quality_model.forget()
+    assert not quality_model._cache and not quality_model._held
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     import random

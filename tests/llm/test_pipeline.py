@@ -68,6 +68,17 @@ def test_very_long_texts(spark):
     assert len(pieces) == 3 and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
 
 
+def test_passages_cut_no_character(spark):
+    """Repeats that begin or end within a character, and a replacement character that was there before."""
+    rng = random.Random(4)
+    passage = "".join(chr(rng.randrange(97, 123)) for _ in range(150))
+    texts = [f"first À{passage}À end", f"second Ā{passage}Á tail \ufffd", f"third Ā{passage}Ā😀", passage, f"😀{passage}", f"😁{passage}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in C.passages(spark, docs, SF).collect()}
+    assert [got[i].text for i in range(6)] == [texts[0], "second  tail \ufffd", "thirĀ😀", "", "", "😁"]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 @pytest.mark.parametrize("crowded", [8, 2])
 def test_near_dedup_finds_all_pairs_of_similar_texts(monkeypatch, spark, crowded):
     """Against brute force over all pairs: a recall of 1, and nothing below 0.8 linked."""

@@ -29,12 +29,12 @@ SAMPLE = 16_000
 #: Buckets that fewer sampled documents have stay at weight zero.
 MIN_DOCUMENTS = 10
 STEPS, RATE, L2 = 120, 0.1, 3e-4
-#: Words whose features a Python task remembers.
-CACHE = 300_000
+#: Bytes that the words whose features a Python task remembers may take, and what an entry has besides its word.
+CACHE, ENTRY = 32 << 20, 240
 GRADES = 3
 
 _cache: dict[bytes, tuple[int, ...]] = {}
-
+_held = 0  # bytes in the cache
 
 #: Bytes by class: letters (all of UTF-8's further bytes among them), digits, and signs as they are.
 _CLASSES = bytes(97 if 97 <= b < 123 or b > 127 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
@@ -43,8 +43,8 @@ _fold = re.compile(rb"(.)\1+").sub
 
 
 def shape(word: bytes) -> bytes:
-    """The word's classes of characters, runs folded: ``Aa``, ``A!``, ``a*``, ``0`` ..."""
-    return _fold(rb"\1", word[:32].translate(_CLASSES))
+    """The whole word's classes of characters, runs folded: ``Aa``, ``A!``, ``a*``, ``0`` ..."""
+    return _fold(rb"\1", word.translate(_CLASSES))
 
 
 def bucket(data: bytes) -> int:
@@ -52,14 +52,15 @@ def bucket(data: bytes) -> int:
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
+    global _held
     got = _cache.get(word)
     if got is None:
-        if len(_cache) > CACHE:
-            _cache.clear()
         bare = word.strip(_SIGNS).lower() or word
         got = (bucket(b"w" + bare), bucket(b"s" + shape(word)))
-        if len(word) < 64:
-            _cache[word] = got
+        if _held > CACHE:
+            forget()
+        _cache[word] = got
+        _held += ENTRY + len(word)
     return got
 
 
@@ -79,7 +80,9 @@ def features(text: str | None) -> np.ndarray:
 
 
 def forget() -> None:
+    global _held
     _cache.clear()
+    _held = 0
 
 
 @dataclass

@@ -288,8 +288,32 @@ def told_apart_by_spark(open_contexts: DataFrame, length: int) -> DataFrame:
     return met.select("doc", "tag", "begin", (F.col("begin") + length).alias("stop"))
 
 
-def cut(docs: DataFrame, length: int) -> DataFrame:
-    """Merged removed runs and kept bytes of ``docs(key, carried, data, marks, more)``."""
+def merged(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans that overlap or touch as one."""
+    runs: list[list[int]] = []
+    for a, z in sorted(found):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], z)
+        else:
+            runs.append([a, z])
+    return runs
+
+
+def outward(runs: list[list[int]], data: bytes) -> list[list[int]]:
+    """Runs that also take the rest of the UTF-8 characters that they cut."""
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80  # noqa: E731  whether a character goes on at i
+    out = []
+    for a, z in runs:
+        while a and inside(a):
+            a -= 1
+        while inside(z):
+            z += 1
+        out.append((a, z))
+    return merged(out)
+
+
+def cut(docs: DataFrame, length: int, whole: bool = False) -> DataFrame:
+    """Merged removed runs and kept bytes of ``docs(key, carried, data, marks, more)``; ``whole`` removes whole characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,12 +322,9 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
                 p, back, n = unpack(np.array([m["place"] for m in marks or () if not m["open"]], np.int64))
                 found = [*zip((p - back).tolist(), (p - back + n - 1 + length).tolist())]
                 found += [(m["begin"], m["stop"]) for m in more or ()]
-                runs: list[list[int]] = []
-                for a, z in sorted(found):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], z)
-                    else:
-                        runs.append([a, z])
+                runs = merged(found)
+                if whole:
+                    runs = outward(runs, data)
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2])) if runs else data)
                 removed.append(sum(z - a for a, z in runs))
@@ -328,7 +349,7 @@ def tagged(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...])
     return source.join(shared, "doc", "left").select("doc", tag.alias("tag"), "data", "carried")
 
 
-def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept, carried`` a row: whole texts less repeated strings.
 
     A byte goes if a string of ``length`` bytes (64 to 127) that covers it also
@@ -336,7 +357,9 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     null text is empty; a null id counts as the smallest; texts that share an
     id come in the order of a hash, and equal rows leave each other alone.
     Other columns are ignored but for those of ``carry``, which come back in
-    the struct ``carried``.  ``spans`` are the maximal removed runs.
+    the struct ``carried``.  ``spans`` are the maximal removed runs; with
+    ``whole`` they take in characters that they would cut, so that what is
+    kept of valid UTF-8 is valid.
     """
     key = ["doc", "tag"]
     source = tagged(docs, id_col, text_col, carry)
@@ -346,7 +369,7 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     many = found.groupBy("name").count().filter(F.col("count") > CROWDED).select("name")
     spans = told_apart(found.join(many, "name", "left_anti"), length).union(told_apart_by_spark(found.join(many, "name", "left_semi"), length))
     more = spans.groupBy(*key).agg(F.collect_list(F.struct("begin", "stop")).alias("more"))
-    done = cut(placed.join(more, key, "left").select(F.col("doc").alias("key"), "carried", "data", "marks", "more"), length)
+    done = cut(placed.join(more, key, "left").select(F.col("doc").alias("key"), "carried", "data", "marks", "more"), length, whole)
     return done.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", "carried")
 
 
