@@ -106,14 +106,22 @@ def corrections(proposals: DataFrame) -> DataFrame:
     return proposals.select(*rest, F.inline(both))
 
 
-def normalised_output(raw: DataFrame, active: DataFrame, most: int = 50, habits_only: bool = True, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """[D5, D29] The first proposals of a batch, with stage and whether an explicit correction applies."""
+def normalised_output(raw: DataFrame, habits: DataFrame, most: int = 50, habits_only: bool = True, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """[D5] The first proposals of a batch, with stage and whether an explicit correction applies.
+
+    A correction is explicit if it is sure enough, has a source that is no
+    advisor's (``sources``: the origins of its references), and what it
+    corrects (condition, behavior, affirmed) is an active habit.
+    ``habits(user_id, condition, behavior, polarity, status)``.
+    """
     typed = F.col("kind").isin(*kinds) if kinds else F.lit(False)
     kept = raw.withColumn("nth", F.row_number().over(W.partitionBy("batch_id").orderBy("pos"))).filter(F.col("nth") <= most)
     kept = kept.filter(~typed) if habits_only else kept
-    known = active.select("user_id", X.norm_text(F.col("condition")).alias("on")).distinct().withColumn("is_active", F.lit(True))
-    seen = kept.withColumn("on", X.norm_text(F.col("condition"))).join(known, ["user_id", "on"], "left")
-    explicit = (F.col("kind") == "correction") & (F.col("confidence_bp") >= 8500) & F.coalesce("is_active", F.lit(False))
+    on = X.identity("context", F.col("condition"), F.col("behavior"))
+    known = habits.filter("polarity = 1 and status = 'active'").select("user_id", on.alias("on")).distinct().withColumn("is_active", F.lit(True))
+    seen = kept.withColumn("on", on).join(known, ["user_id", "on"], "left")
+    own = F.exists("sources", lambda s: ~s.eqNullSafe(F.lit("advisor_finding")))
+    explicit = (F.col("kind") == "correction") & (F.col("confidence_bp") >= 8500) & own & F.coalesce("is_active", F.lit(False))
     stage = F.when(explicit | F.col("repeated"), "reviewable").otherwise("collecting")
     return seen.withColumns({"explicit_correction": explicit, "evidence_stage": stage}).drop("on", "nth", "is_active")
 

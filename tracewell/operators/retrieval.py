@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
+from tracewell.functions import free_json
 from tracewell.functions import rules as R
 
 
@@ -133,12 +134,29 @@ def pooled(vectors: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     return whole.select(key, X.unit(F.col("mean")).alias("vector"))
 
 
-def host_query(updates: DataFrame, key: str = "conv_id", each: int = 400) -> DataFrame:
-    """[X42] The newest user and the newest assistant text, head and tail of each; without either, the last text."""
-    newest = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    seen = updates.filter("text is not null").groupBy(key).agg(newest("user").alias("u"), newest("assistant").alias("a"), F.max_by("text", "turn").alias("last"))
-    said = F.concat_ws("\n", X.head_tail(F.col("u"), each), X.head_tail(F.col("a"), each))
-    return seen.select(key, F.coalesce(F.nullif(said, F.lit("")), X.head_tail(F.col("last"), each)).alias("query"))
+# The longest query, and of each role's line in it.
+QUERY_CHARS, ROLE_CHARS = 24_000, 11_999
+
+
+def host_query(updates: DataFrame, key: str = "conv_id") -> DataFrame:
+    """[X42] The newest user's and the newest assistant's text, each redacted, trimmed and cut to its ends; without either, a bounded reading of the last row.
+
+    ``updates(key, turn, role, text)``; a role whose newest row has no text has no line.
+    """
+    newest = lambda role: F.max_by("text", F.when(F.col("role") == role, F.col("turn")))
+    last = F.max_by(F.to_json(F.struct("role", F.col("text").alias("content"))), "turn")
+    seen = updates.groupBy(key).agg(newest("user").alias("user"), newest("assistant").alias("assistant"), last.alias("last"))
+
+    def line(role: str) -> Column:
+        text = F.regexp_replace(X.redact(F.coalesce(F.col(role), F.lit(""))), f"^{X.SPACE}+|{X.SPACE}+$", "")
+        most = ROLE_CHARS - len(role) - 2
+        half = (most - 3) // 2
+        ends = F.concat(F.substring(text, 1, half), F.lit("..."), F.right(text, F.lit(half)))
+        return F.when(text != "", F.concat(F.lit(f"{role}: "), F.when(F.length(text) <= most, text).otherwise(ends)))
+
+    said = seen.select(key, F.concat_ws("\n", line("user"), line("assistant")).alias("said"), "last")
+    query = F.when(F.col("said") != "", F.col("said")).otherwise(free_json.bounded_json(F.when(F.col("said") == "", F.col("last"))))
+    return said.select(key, F.substring(query, 1, QUERY_CHARS).alias("query"))
 
 
 def hit_log(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions import exprs as X
+from tracewell.functions import free_json
 from tracewell.functions import rules as R
 from tracewell.operators import dedupe, lifecycle, metrics, retrieval
 from tracewell.plans import fixtures as fx
@@ -142,18 +143,20 @@ def steering_errors(spark, sf_dir):
 
 
 @query(
-    """with e as (select *, row_number() over (partition by user_id order by event_id) as nth from events), a as (select distinct user_id, event_id % 40 as c from events where event_id % 11 = 0),
-    k as (select e.*, event_type = 'error' and (event_id * 37) % 10001 >= 8500 and a.c is not null as explicit_correction from e left join a on a.user_id = e.user_id and a.c = e.event_id % 40 where nth <= 50 and event_type <> 'view')
+    """with e as (select *, row_number() over (partition by user_id order by event_id) as nth from events),
+    a as (select distinct user_id, event_id % 40 as c, event_id % 3 as b from events where event_id % 5 < 3 and event_id % 2 = 1),
+    k as (select e.*, event_type = 'error' and (event_id * 37) % 10001 >= 8500 and event_id % 6 > 0 and a.c is not null as explicit_correction from e left join a on a.user_id = e.user_id and a.c = e.event_id % 40 and a.b = e.event_id % 3 where nth <= 50 and event_type <> 'view')
     select event_id, explicit_correction, case when explicit_correction or event_id % 4 = 0 then 'reviewable' else 'collecting' end as evidence_stage from k"""
 )
 def normalised_output(spark, sf_dir):
-    """Errors are corrections, views are typed; every eleventh event's condition is that of an active habit"""
+    """Errors are corrections, views are typed; what an event corrects is a habit of its user, active and affirmed or not"""
     i, kind = F.col("event_id"), F.col("event_type")
     e = fx.table(spark, sf_dir, "events")
-    condition = F.concat(F.lit("When "), i % 40)
-    raw = e.select(i, F.col("user_id").alias("batch_id"), "user_id", i.alias("pos"), F.when(kind == "error", "correction").when(kind == "view", "episode").otherwise("habit").alias("kind"), condition.alias("condition"), ((i * 37) % 10001).alias("confidence_bp"), (i % 4 == 0).alias("repeated"))
-    active = e.filter(i % 11 == 0).select("user_id", F.upper(condition).alias("condition"))
-    return lifecycle.normalised_output(raw, active, kinds=("episode",)).select("event_id", "explicit_correction", "evidence_stage")
+    condition, behavior = F.concat(F.lit("When  "), i % 40), F.concat(F.lit("do "), i % 3)
+    sources = F.when(i % 6 == 0, F.array(F.lit("advisor_finding"))).when(i % 6 == 1, F.array(F.lit("advisor_finding"), F.lit(None))).otherwise(F.array(F.lit("local_interactive")))
+    raw = e.select(i, F.col("user_id").alias("batch_id"), "user_id", i.alias("pos"), F.when(kind == "error", "correction").when(kind == "view", "episode").otherwise("habit").alias("kind"), condition.alias("condition"), behavior.alias("behavior"), sources.alias("sources"), ((i * 37) % 10001).alias("confidence_bp"), (i % 4 == 0).alias("repeated"))
+    habits = e.select("user_id", F.upper(condition).alias("condition"), behavior.alias("behavior"), F.when(i % 5 < 3, "active").otherwise("disabled").alias("status"), F.when(i % 2 == 1, 1).otherwise(-1).alias("polarity"))
+    return lifecycle.normalised_output(raw, habits, kinds=("episode",)).select("event_id", "explicit_correction", "evidence_stage")
 
 
 @query(f"with {fx.HABITS_SQL} select 'pending_review' as type, event_id as id from events where event_type = 'error' and event_id % 3 > 0 union all select 'candidate', id from habits where status = 'candidate' and id % 6 > 1")
@@ -202,7 +205,7 @@ _SPACED = f"trim(regexp_replace(s, '{X.SPACE}+', ' ', 'g'))"
 @query(
     rf"""with c as (select conv_id, turn, role, text, {fx.redact_sql("text")} as s from conversations where text is not null), f as (select *, s as t from c)
     select conv_id, turn, case when length(text) <= 2000 and not regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') and length({_SPACED}) between 1 and 1000 then sha256({_SPACED}) end as declared_sha256,
-      sha256(nullif(substr({fx.norm_sql("text")}, 1, 5000), '')) as prompt_sha256, sha256(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) as key_sha256,
+      sha256(nullif(substr({fx.norm_sql("text")}, 1, 5000), '')) as prompt_sha256, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) as key_sha256,
       sha256('condition: ' || {fx.norm_sql("role")}) as condition_sha256, sha256({fx.norm_sql("role")} || chr(10) || {fx.norm_sql("text")}) as joint_sha256, length(s) <= 2000 and not ({_SENSITIVE_SQL}) as payload_ok from f"""
 )
 def wording_forms(spark, sf_dir):
@@ -215,46 +218,99 @@ def wording_forms(spark, sf_dir):
 
 
 @query(
-    r"""with e as (select *, '"' || event_type || '"' || props as t from events) select event_id, '[REDACTED]' as token, 'mail [REDACTED]' as note, cast(event_id as varchar) as generation,
-      case event_id % 3 when 0 then props when 1 then props end as part, substr(t, 1, list_max(list_filter(range(0, 13), lambda k: 2 + length(replace(substr(t, 1, k), '"', '\"')) <= 12))) as prefix from e"""
+    r"""with e as (select *, '"' || event_type || '"' || props as t from events) select event_id, case event_id % 3 when 0 then props when 1 then props end as part, substr(t, 1, list_max(list_filter(range(0, 13), lambda k: 2 + length(replace(substr(t, 1, k), '"', '\"')) <= 12))) as prefix from e"""
 )
 def json_forms(spark, sf_dir):
-    """X4, X27, X31"""
+    """X27, X31"""
     i, props = F.col("event_id"), F.col("props")
-    m = X.redact_map(F.create_map(F.lit("Api_Token"), F.col("event_type"), F.lit("note"), F.lit("mail a@b.org"), F.lit("file_generation"), i.cast("string")))
     said = F.when(i % 3 == 0, F.concat(F.lit("so:\n```json\n"), props, F.lit("\n```\nthat"))).when(i % 3 == 1, F.concat(F.lit("it is "), props, F.lit(" then"))).otherwise("no more")
     part = F.nullif(X.json_part(said), F.lit(""))
-    return fx.table(spark, sf_dir, "events").select(i, m["Api_Token"].alias("token"), m["note"].alias("note"), m["file_generation"].alias("generation"), part.alias("part"), X.json_prefix(F.concat(F.lit('"'), "event_type", F.lit('"'), props), 12).alias("prefix"))
+    return fx.table(spark, sf_dir, "events").select(i, part.alias("part"), X.json_prefix(F.concat(F.lit('"'), "event_type", F.lit('"'), props), 12).alias("prefix"))
 
 
 @query(
-    """with c as (select conv_id, turn, text, substr(text, 1, 100) as s from conversations where text is not null)
-    select conv_id, turn, sha256(case turn % 4 when 0 then text when 1 then '[thinking] ' || text when 2 then '[tool] grep' else '[result] ' || text end) as part_sha256, sha256(s || chr(10) || 'end') as visible_sha256,
-      sha256(substr('- When: it ends / Do: ' || text || chr(10) || '- When: it ends / Do: ' || text, 1, 2000)) as guidance_sha256,
-      sha256(substr(trim('u' || turn || ' t' || turn || ' ' || right(chr(10) || chr(10) || s, 200) || ' ' || substr(chr(10) || chr(10) || s, 1, 120)), 1, 512)) as query_sha256 from c where not contains(s, '[tool]')"""
+    f"""with c as (select *, cast(to_json(role) as varchar) as r, cast(to_json({fx.redact_sql("text")}) as varchar) as s, cast(to_json(text) as varchar) as t from conversations)
+    select conv_id, turn, '{{"z":[{{"b":' || coalesce(s, 'null') || ',"access_token":"[REDACTED]"}},' || turn || '],"a":{{"file_generation":' || r || ',"Path":"[REDACTED]","n":' || conv_id || '.5}}}}' as redacted,
+      sha256('{{"a":{{"Path":' || r || ',"file_generation":' || r || ',"n":' || conv_id || '.5}},"z":[{{"access_token":' || turn || ',"b":' || coalesce(t, 'null') || '}},' || turn || ']}}') as checksum from c"""
+)
+def free_json_forms(spark, sf_dir):
+    """Objects in lists in objects"""
+    text, role, turn = F.col("text"), F.col("role"), F.col("turn")
+    inner = F.concat(F.lit('{"b": '), F.coalesce(F.to_json(F.array(text)), F.lit("[null]")), F.lit("}"))
+    b = F.regexp_extract(inner, r"(?s)^\{\"b\": \[(.*)\]\}$", 1)
+    value = F.concat(F.lit('{"z": [{"b": '), b, F.lit(', "access_token": '), turn, F.lit("}, "), turn, F.lit('.0], "a": {"file_generation": "'), role, F.lit('", "Path": "'), role, F.lit('", "n": '), F.col("conv_id"), F.lit(".50}}"))
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", turn, free_json.redact_json(value).alias("redacted"), free_json.checksum_json(value).alias("checksum"))
+
+
+_PARTS_SQL = f"""parts as (
+  select conv_id, turn, text, role, case turn % 5 when 0 then text when 1 then text
+    when 2 then '[tool_call:grep] {{"query":' || cast(to_json({fx.redact_sql("text")}) as varchar) || ',"token":"[REDACTED]","at":[{{"path":"[REDACTED]","line":' || turn || '}}]}}'
+    when 3 then '[tool_result:read file] ' || text else '[tool_error:tool] ' || text end as part from conversations where text is not null)"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks: a text, a thought, a call, a result and an error in turn."""
+    t, turn = F.col("text"), F.col("turn")
+    kind = F.when(turn % 5 == 0, "text").when(turn % 5 == 1, "thinking").when(turn % 5 == 2, "tool_call").otherwise("tool_result")
+    name = F.when(turn % 5 == 2, "grep").when(turn % 5 == 3, "read file")
+    arguments = F.to_json(F.struct(t.alias("query"), F.col("role").alias("token"), F.array(F.struct(F.col("conv_id").alias("path"), turn.alias("line"))).alias("at")))
+    c = fx.table(spark, sf_dir, "conversations").filter(t.isNotNull())
+    return c.select("conv_id", turn, t, X.message_part(kind, t, name, arguments, turn % 5 == 4).alias("part"))
+
+
+@query(
+    f"""with {_PARTS_SQL}, g as (select *, 'Agent Experience approved habit guidance (bounded; not policy/law):' || chr(10) || '- When: it ends' || chr(10) || '  Do: ' || text || chr(10) || '- When: ' || turn || chr(10) || '  Do: say so' as whole from parts), f as (select *, substr(whole, 1, 2000) as t from g)
+    select conv_id, turn, sha256(part) as part_sha256, sha256(case turn % 4 when 0 then text || 'end' when 1 then text when 2 then '' else '' end) as visible_sha256, case when not ({_SENSITIVE_SQL}) then sha256(t) end as guidance_sha256 from f"""
 )
 def message_forms(spark, sf_dir):
-    """X28, X35, X37, X41"""
+    """X35, X37, X41"""
     t, turn = F.col("text"), F.col("turn")
-    s = F.substring(t, 1, 100)
-    kind = F.when(turn % 4 == 0, "text").when(turn % 4 == 1, "thinking").when(turn % 4 == 2, "tool_call").otherwise("tool_result")
     block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    parts = F.array(block("text", s), block("image", F.lit("x")), block("text", F.lit("end")))
-    habit = F.struct(F.lit("it ends").alias("condition"), t.alias("behavior"))
-    delta = F.concat(F.lit("[tool] t"), turn, F.lit("\n[tool] u"), turn, F.lit("\n"), s)
-    forms = {"part": X.message_part(kind, t, F.lit("grep")), "visible": X.visible_text(parts), "guidance": X.guidance(F.array(habit, habit)), "query": X.behavior_query(delta)}
-    c = fx.table(spark, sf_dir, "conversations").filter(t.isNotNull() & ~F.contains(s, F.lit("[tool]")))
-    return c.select("conv_id", "turn", *(X.checksum(f).alias(f"{n}_sha256") for n, f in forms.items()))
+    parts = F.when(turn % 4 == 0, F.array(block("text", t), block("image", F.lit("x")), block("text", F.lit("end"))))
+    habit = lambda condition, behavior: F.struct(condition.alias("condition"), behavior.alias("behavior"))
+    habits = F.array(habit(F.lit("it ends"), t), habit(turn.cast("string"), F.lit("say so")))
+    forms = {"part": F.col("part"), "visible": X.visible_text(parts, F.when(turn % 4 < 3, F.when(turn % 4 > 0, t)), turn % 4 != 2), "guidance": X.guidance(habits)}
+    return _parts(spark, sf_dir).select("conv_id", "turn", *(X.checksum(f).alias(f"{n}_sha256") for n, f in forms.items()))
+
+
+def _spaces(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{X.SPACE}+', ' ', 'g'))"
+
+
+_ENDS = "case when length({0}) <= 1200 then {0} else substr({0}, 1, 600) || ' ' || right({0}, 600) end"
 
 
 @query(
-    """with c as (select conv_id, arg_max(text, turn) filter (where role = 'user') as u, arg_max(text, turn) filter (where role = 'assistant') as a, arg_max(text, turn) as last from conversations where text is not null group by 1),
-    h as (select conv_id, case when length(u) <= 80 then u else substr(u, 1, 40) || ' ' || right(u, 40) end as u, case when length(a) <= 80 then a else substr(a, 1, 40) || ' ' || right(a, 40) end as a, case when length(last) <= 80 then last else substr(last, 1, 40) || ' ' || right(last, 40) end as last from c)
-    select conv_id, coalesce(nullif(concat_ws(chr(10), u, a), ''), last) as query from h"""
+    rf"""with {_PARTS_SQL}, d as (select conv_id, string_agg(part, chr(10) order by turn) as raw from parts group by 1),
+    s as (select conv_id, {fx.redact_sql("case when length(raw) <= 24000 then raw else substr(raw, 1, 12000) || ' ' || right(raw, 12000) end")} as t from d),
+    p as (select conv_id, t, string_split(regexp_replace(t, '(?i)(\[tool_(?:call|result|error):)', chr(1) || '\1', 'g'), chr(1)) as pieces from s where not ({_SENSITIVE_SQL})),
+    n as (select conv_id, t, pieces[1] as before, list_filter(pieces[2:], lambda x: regexp_matches(x, '(?i)^\[tool_(?:call|result|error):[^\]\r\n]{{1,120}}\]')) as spans, list_filter(pieces[2:], lambda x: not regexp_matches(x, '(?i)^\[tool_(?:call|result|error):[^\]\r\n]{{1,120}}\]')) as others from p),
+    u as (select conv_id, generate_subscripts(spans, 1) as nth, unnest(spans) as x from n),
+    w as (select conv_id, nth, max(nth) over (partition by conv_id) as last, regexp_extract(x, '(?i)^\[tool_(call|result|error):', 1) as kind, {_spaces(r"regexp_extract(x, '^\[[^:]*:([^\]]*)\]', 1)")} as name, {_spaces(r"regexp_extract(x, '(?s)^\[[^\]]*\](.*)$', 1)")} as payload from u),
+    l as (select conv_id, string_agg({_spaces("'tool ' || kind || ' ' || name || ' ' || " + _ENDS.format("payload"))}, chr(10) order by nth desc) as told from w where nth > last - 8 group by 1),
+    r as (select conv_id, {_spaces(f"regexp_replace(before || ' ' || array_to_string(others, ' '), {fx.quoted(X.REQUEST_LINE)}, ' ', 'g')")} as reply from n),
+    e as (select conv_id, right(reply, 1200) as tail, substr(reply, 1, 1200) as head from r)
+    select conv_id, nullif(concat_ws(chr(10), told, case when tail <> '' then 'assistant action ' || tail end, case when head <> '' and head <> tail then 'assistant action ' || head end), '') as source from e left join l using (conv_id)"""
+)
+def behavior_queries(spark, sf_dir):
+    """What each conversation did, before the budget of tokens (tests hold that)"""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda p: p["part"]), "\n")
+    turns = _parts(spark, sf_dir).groupBy("conv_id").agg(joined.alias("turn"))
+    return turns.select("conv_id", X.behavior_source(F.col("turn")).alias("source")).filter("source is not null")
+
+
+@query(
+    f"""with c as (select conv_id, max(turn) filter (where role = 'user') as u, max(turn) filter (where role = 'assistant') as a, max(turn) as z from conversations group by 1),
+    t as (select c.conv_id, trim({fx.redact_sql("u.text")}, ' ' || chr(9) || chr(10) || chr(13)) as u, trim({fx.redact_sql("a.text")}, ' ' || chr(9) || chr(10) || chr(13)) as a, z.role, z.text as last
+      from c left join conversations u on u.conv_id = c.conv_id and u.turn = c.u left join conversations a on a.conv_id = c.conv_id and a.turn = c.a join conversations z on z.conv_id = c.conv_id and z.turn = c.z),
+    h as (select *, case when length(u) <= 11993 then u else substr(u, 1, 5995) || '...' || right(u, 5995) end as ub, case when length(a) <= 11988 then a else substr(a, 1, 5992) || '...' || right(a, 5992) end as ab from t)
+    select conv_id, coalesce(nullif(concat_ws(chr(10), case when u <> '' then 'user: ' || ub end, case when a <> '' then 'assistant: ' || ab end), ''),
+      {fx.redact_sql("'{\"role\":\"' || role || '\"' || case when last is null then '' else ',\"content\":' || cast(to_json(right(last, 2000)) as varchar) end || '}'")}) as query from h"""
 )
 def host_queries(spark, sf_dir):
     """X42"""
-    return retrieval.host_query(fx.table(spark, sf_dir, "conversations"), each=80)
+    c = fx.table(spark, sf_dir, "conversations")
+    return retrieval.host_query(c)
 
 
 # --- vectors ------------------------------------------------------------------
