@@ -127,7 +127,7 @@ def normalised_output(raw: DataFrame, habits: DataFrame, most: int = 50, habits_
 
 
 def route(batches: DataFrame) -> DataFrame:
-    """[D6, D10] What happens to each batch of model output."""
+    """[D6] What happens to each batch of model output."""
     return batches.withColumn(
         "route",
         R.first_match(
@@ -140,25 +140,6 @@ def route(batches: DataFrame) -> DataFrame:
     )
 
 
-def analyzed(proposals: DataFrame, observations: DataFrame, existing: DataFrame) -> DataFrame:
-    """[D1, D7] Candidates after a run: proposals checked, batches routed, what is clean merged with ``existing`` by candidate key.
-
-    A batch with a reference that no observation answers, or with a proposal
-    that is wrong, goes to quarantine whole.
-    """
-    from tracewell.operators.evidence import merged
-
-    lost = resolved_refs(proposals, observations).filter("state != 'resolved'").select("proposal_id").distinct().withColumn("lost", F.lit(True))
-    checked = R.proposal_errors(proposals).join(lost, "proposal_id", "left")
-    wrong = (F.size("errors") > 0) | F.coalesce("lost", F.lit(False))
-    batches = checked.groupBy("batch_id").agg(F.count_if(wrong).alias("errors"), F.lit(0).alias("key_conflicts"), F.count("*").alias("proposals"), F.lit(0).alias("typed"))
-    clean = route(batches).filter(F.col("route").isin("legacy", "typed")).select("batch_id")
-    staged = proposals.join(clean, "batch_id", "left_semi").groupBy(F.col("candidate_key").alias("id")).agg(
-        F.max("confidence_bp").alias("confidence_bp"), F.max("observed_at").alias("last_confirmed"), F.collect_set(F.col("batch_id").cast("string")).alias("refs"), F.lit("collecting").alias("review_status")
-    )
-    return merged(existing, staged)
-
-
 def quarantined(outputs: DataFrame, longest: int = 20000) -> DataFrame:
     """[D8] Rejected output, redacted, bounded, identified by its content."""
     safe = F.substring(X.redact(F.col("output")), 1, longest)

@@ -6,12 +6,14 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions import exprs as X
 from tracewell.functions import free_json
 from tracewell.functions import rules as R
+from tracewell.operators import commit as committing
 from tracewell.operators import dedupe, lifecycle, metrics, retrieval
 from tracewell.plans import fixtures as fx
 from tracewell.plans.catalogue import _PAIRS, _SENSITIVE_SQL, _cos, _near, _reviewed, query
@@ -372,23 +374,82 @@ def selections(spark, sf_dir):
 
 # --- analyze --------------------------------------------------------------------
 
+_ID = "'{0}-' || substr(sha256({1}), 1, 40)"
+_WORDS = "'v2' || chr(10) || lower({0}) || chr(10) || lower({1}) || chr(10) || {2}"
+_CANDIDATE = _ID.format("candidate", "u || '|' || sha256(" + _WORDS.format("c", "d", "pol") + ")")
+
 
 @query(
-    """with p as (select l_orderkey as batch_id, l_partkey as id, cast(round(l_extendedprice) as bigint) % 12000 as confidence_bp, l_linenumber, year(o.o_orderdate) is not null as found from lineitem l left join orders o on o.o_orderkey = l.l_orderkey and year(o.o_orderdate) = year(l.l_shipdate)),
-    c as (select *, count(*) over (partition by batch_id, l_linenumber) as same from p), b as (select batch_id, bool_and(found and confidence_bp <= 10000 and same = 1) as clean from c group by 1),
-    n as (select id, max(confidence_bp) as confidence_bp, count(distinct batch_id) as refs from p join b using (batch_id) where clean group by 1), e as (select p_partkey as id, cast(5000 as bigint) as confidence_bp from part where p_partkey % 2 = 0)
-    select coalesce(e.id, n.id) as id, greatest(e.confidence_bp, n.confidence_bp) as confidence_bp, coalesce(n.refs, 0) as refs, case when n.id is null then 'kept' when e.id is null then 'inserted' else 'merged' end as action from e full join n on n.id = e.id"""
+    f"""with n as (select *, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_linenumber, l_returnflag, l_shipdate) as ln from lineitem),
+    l as (select l_orderkey as ok, ln, 'u' || (l_orderkey % 40) as u, 'b' || l_orderkey as b, l_orderkey % 4 = 0 as typed, case when ln = 3 then 'episode' else 'fact' end as tkind, 'k' || (l_partkey % 50) as k, 'When ' || (l_partkey % 50) as c,
+      'do ' || (l_suppkey % 3) as d, 'is ' || (l_suppkey % 3) as content, case when cast(l_quantity as int) % 4 = 0 then -1 else 1 end as pol, cast(l_quantity as int) % 2 = 0 as rev, cast(round(l_extendedprice) as bigint) % 10100 as conf, l_suppkey % 97 = 0 as broken, 'c' || l_suppkey as mode, l_returnflag = 'R' as adv from n),
+    i as (select l.*, o.mode as mode1, o.adv and l.adv as advised, case when l.ok % 8 = 0 then 'workspace' else 'user' end as sk, case when l.ok % 8 = 0 then 'w' else '' end as sc,
+      case when l.typed then sha256('experience' || chr(10) || l.tkind || chr(10) || case when l.ok % 8 = 0 then 'workspace' else 'user' end || chr(10) || case when l.ok % 8 = 0 then 'w' else '' end || chr(10) || lower(l.c) || chr(10) || l.content) else sha256({_WORDS.format("l.c", "l.d", "l.pol")}) end as ident
+      from l join l o on o.ok = l.ok and o.ln = 1 where l.ln <= 3),
+    r as (select *, case when conf > 10000 then ['confidence_bp'] else [] end || case when broken then ['source'] else [] end || case when typed and ok % 12 = 0 and advised then ['authority'] else [] end as errors, min(ident) over (partition by ok, k) <> max(ident) over (partition by ok, k) as clash from i),
+    g as (select *, case when max(len(errors)) over (partition by ok) > 0 then 'quarantine' when bool_or(clash) over (partition by ok) then 'pending_review' when typed then 'typed' else 'legacy' end as route from r),
+    h as (select 'h' || p_partkey as id, 'u' || (p_partkey % 40) as u, 'when ' || (p_partkey % 50) as c, 'do ' || (p_partkey % 3) as d, 1 as pol, p_partkey from part where p_partkey <= 900),
+    e0 as (select case when p_partkey <= 600 then id else {_CANDIDATE} end as id, u, c, d, case when p_partkey <= 600 then 'active' else 'candidate' end as status from h),
+    leg as (select *, {_CANDIDATE} as cid, 'n' || ok || '-' || ln as pid from g where route = 'legacy'),
+    sup as (select leg.pid, e0.id as hid, row_number() over (partition by e0.id order by ok, b, ln) as nth from leg join e0 on e0.u = leg.u and e0.c = lower(leg.c) and e0.d = leg.d and e0.status = 'active' where leg.pol = -1 and rev and not advised and conf >= 8500),
+    hit as (select pid, hid from sup where nth = 1),
+    told as (select leg.*, hit.hid, coalesce(hit.hid, cid) as habit from leg left join hit using (pid)),
+    new as (select cid as id, max(conf) as conf, bool_or(rev) as rev, count(distinct ref) as refs from (select cid, conf, rev, unnest(['1:' || (ok * 100 + ln) || ':' || mode, '1:' || (ok * 100 + 1) || ':' || mode1]) as ref from told where hid is null) group by 1),
+    ty as (select *, {_ID.format("experience", "u || '|' || k || '|' || ident")} as xid from g where route = 'typed'),
+    x as (select xid as id, any_value(u) as u, any_value(tkind) as tkind, any_value(sk) as sk, any_value(lower(c)) as c, any_value(content) as content from ty group by 1),
+    x0 as (select 'x' || s_suppkey as id, 'u' || (s_suppkey % 40) as u, 'when ' || (s_suppkey % 50) as c, 'is ' || (s_suppkey % 3) as content from supplier)
+    select 'habits' as name, e0.id, cast(greatest(5000, coalesce(conf, 0)) as bigint) as n, case when exists (select 1 from hit where hid = e0.id) then 'dormant' else status end || ' collecting ' || coalesce(refs, 0) as state from e0 left join new on new.id = e0.id
+    union all select 'habits', id, conf, 'candidate ' || case when rev then 'candidate' else 'collecting' end || ' ' || refs from new where id not in (select id from e0)
+    union all select 'evidence', habit, count(*), cast(sum(conf) as varchar) from told group by habit
+    union all select 'experiences', x.id, (select count(*) from x0 where x.tkind = 'fact' and x.sk = 'user' and x0.u = x.u and x0.c = x.c and x0.content <> x.content), tkind || ' ' || sk from x
+    union all select 'experiences', id, 0, 'fact user' from x0
+    union all select 'reviews', b, count(*), route || ' ' || array_to_string(list_sort(list_distinct(flatten(list(errors || case when clash then ['candidate_key'] else [] end)))), ',') from g where route in ('quarantine', 'pending_review') group by b, route
+    union all select 'watermarks', u || '|1|' || case route when 'typed' then 'read' else 'commit' end, max(ok * 100 + ln), null from g where route in ('typed', 'legacy') group by u, route
+    union all select 'audits', b, count(*), route || ' ' || count(distinct case when route = 'typed' then xid else habit end) from (select b, route, xid, null as habit from ty union all select b, route, null, habit from told) group by b, route"""
 )
 def analyze_commit(spark, sf_dir):
-    """Lines propose parts; a batch counts if all its references are found and none of its proposals is wrong"""
-    line = fx.table(spark, sf_dir, "lineitem")
-    ref = F.struct(F.year("l_shipdate").alias("file_generation"), F.col("l_orderkey").alias("seq"), F.lit("same").alias("checksum"))
-    proposals = line.select(
-        F.col("l_orderkey").alias("batch_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("proposal_id"), F.col("l_partkey").alias("candidate_key"), F.lit(1).alias("polarity"), (F.round("l_extendedprice").cast("bigint") % 12000).alias("confidence_bp"),
-        F.array(ref).alias("source_refs"), F.lit(1).alias("file_generation"), F.lit("it ends").alias("condition"), F.lit("say so").alias("behavior"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"),
+    """Lines propose habits or records, three an order; what a batch leaves in each table, given twice"""
+    k, order, nth = F.col, F.col("l_orderkey"), F.col("ln")
+    line = fx.table(spark, sf_dir, "lineitem").withColumn("ln", F.row_number().over(W.partitionBy(order).orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_shipdate")))
+    user, mod = F.concat(F.lit("u"), order % 40), lambda t, c, n: F.concat(F.lit(t), k(c) % n)
+    obs = line.select(user.alias("user_id"), F.lit(1).alias("file_generation"), (order * 100 + nth).alias("seq"), F.concat(F.lit("c"), "l_suppkey").alias("checksum"), F.when(k("l_returnflag") == "R", "advisor_finding").otherwise("local_interactive").alias("origin"), k("l_shipdate").cast("timestamp").alias("observed_at"))
+    ref = lambda seq, checksum: F.struct(F.lit(1).alias("file_generation"), seq.alias("seq"), checksum.alias("checksum"))
+    first = line.filter(nth == 1).select(order, F.concat(F.lit("c"), "l_suppkey").alias("first_mode"))
+    own = ref(order * 100 + nth, F.when(k("l_suppkey") % 97 == 0, "other").otherwise(F.concat(F.lit("c"), "l_suppkey")))
+    quantity, typed, scoped = F.floor("l_quantity").cast("int"), order % 4 == 0, order % 8 == 0
+    kind = F.when(~typed, "habit").when(nth == 3, "episode").otherwise("fact")
+    proposals = line.filter(nth <= 3).join(first, "l_orderkey").select(
+        user.alias("user_id"), F.concat(F.lit("b"), order).alias("batch_id"), nth.alias("pos"), F.concat(F.lit("n"), order, F.lit("-"), nth).alias("proposal_id"), kind.alias("kind"), mod("k", "l_partkey", 50).alias("candidate_key"),
+        F.when(~typed, mod("When ", "l_partkey", 50)).alias("condition"), F.when(~typed, mod("do ", "l_suppkey", 3)).alias("behavior"), F.when(~typed, F.when(quantity % 4 == 0, -1).otherwise(1)).alias("polarity"), F.when(quantity % 4 == 0, "old_negative").alias("role"), F.when(quantity % 2 == 0, "reviewable").otherwise("collecting").alias("evidence_stage"),
+        F.when(scoped, "workspace").otherwise("user").alias("scope_kind"), F.when(scoped, "w").alias("scope_key"), F.when(order % 12 == 0, "explicit_user").otherwise("inferred").alias("authority"), mod("When ", "l_partkey", 50).alias("applicability"), mod("is ", "l_suppkey", 3).alias("content"),
+        (F.round("l_extendedprice").cast("bigint") % 10100).alias("confidence_bp"), F.lit(1).alias("file_generation"), F.array(own, ref(order * 100 + 1, F.when((nth == 1) & (k("l_suppkey") % 97 == 0), "other").otherwise(k("first_mode")))).alias("source_refs"), F.timestamp_seconds(order).alias("created_at"),
+    )
+    part, u = k("p_partkey"), F.concat(F.lit("u"), k("p_partkey") % 40)
+    wording = (mod("when ", "p_partkey", 50), mod("do ", "p_partkey", 3))
+    known = part <= 600
+    candidate = X.stable_id("candidate", F.concat_ws("|", u, X.identity("v2", *wording, F.lit("1"))))
+    null = lambda t: F.lit(None).cast(t)
+    habits = fx.table(spark, sf_dir, "part").filter("p_partkey <= 900").select(
+        F.when(known, F.concat(F.lit("h"), part)).otherwise(candidate).alias("id"), u.alias("user_id"), null("string").alias("candidate_key"), wording[0].alias("condition"), wording[1].alias("behavior"), F.lit(1).alias("polarity"), F.lit(5000).alias("confidence_bp"),
+        F.when(known, "active").otherwise("candidate").alias("status"), F.lit("collecting").alias("review_status"), null("timestamp").alias("last_confirmed"), F.array().cast("array<string>").alias("refs"), null("string").alias("superseded_by"),
     )
-    obs = fx.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("file_generation"), F.col("o_orderkey").alias("seq"), F.lit("same").alias("checksum"))
-    none = F.array().cast("array<string>")
-    existing = fx.table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit(5000).cast("bigint").alias("confidence_bp"), F.lit(None).cast("timestamp").alias("last_confirmed"), none.alias("refs"), F.lit("collecting").alias("review_status"))
-    done = lifecycle.analyzed(proposals, obs, existing)
-    return done.select("id", "confidence_bp", F.size("refs").cast("bigint").alias("refs"), "action")
+    sup = F.col("s_suppkey")
+    empty = spark.createDataFrame([], committing.TABLES["experiences"]).columns
+    fields = {"id": F.concat(F.lit("x"), sup), "user_id": F.concat(F.lit("u"), sup % 40), "kind": F.lit("fact"), "scope_kind": F.lit("user"), "applicability": mod("when ", "s_suppkey", 50), "content": mod("is ", "s_suppkey", 3), "status": F.lit("active"), "conflicts_with": F.array().cast("array<string>")}
+    records = fx.table(spark, sf_dir, "supplier").select(*(fields.get(c, F.lit(None)).alias(c) for c in empty))
+    store = committing.ledger(spark, _folder(spark, "commit"))
+    store.commit(0, {"habits": habits, "experiences": records})
+    for _ in range(2):
+        committing.commit(store, 1, proposals, obs, ("fact", "episode"))
+    rows = lambda name, key, n, state: store.table(name).select(F.lit(name).alias("name"), key, n.cast("bigint").alias("n"), state.alias("state"))
+    evidence = store.table("evidence").groupBy(k("habit_id").alias("id")).agg(F.count("*").alias("n"), F.sum("confidence_bp").cast("string").alias("state")).select(F.lit("evidence").alias("name"), "id", "n", "state")
+    made = F.when(k("action") == "committed", F.concat(F.lit("legacy "), F.size("habits"))).otherwise(F.concat(F.lit("typed "), F.size("experiences")))
+    batch = k("batch_id").alias("id")
+    return (
+        rows("habits", k("id"), k("confidence_bp"), F.concat_ws(" ", "status", "review_status", F.size("refs")))
+        .union(evidence)
+        .union(rows("experiences", k("id"), F.size("conflicts_with"), F.concat_ws(" ", "kind", "scope_kind")))
+        .union(rows("reviews", batch, F.lit(0), F.concat_ws(" ", "kind", F.array_join("reasons", ","))).join(proposals.groupBy(batch).agg(F.count("*").alias("of")), "id").select("name", "id", k("of").alias("n"), "state"))
+        .union(rows("watermarks", k("key").alias("id"), k("seq"), F.lit(None).cast("string")))
+        .union(rows("audits", batch, k("proposals"), made))
+    )

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_owners = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Owns the tables that ``materialize`` writes within: they are removed at the end.
+
+    What is returned is written once more, by the function that this gives,
+    and stays; nothing else that reads the removed tables may be used after.
+    """
+    owners = _owners.__dict__.setdefault("stack", [])
+    mine: list[str] = []
+    owners.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        owners.pop()
+        try:
+            return materialize(df)
+        finally:
+            owners.append(mine)
+
+    try:
+        yield keep
+    finally:
+        owners.pop()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in mine:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage is cut by files that outlive executors."""
     path = os.path.join(shared_dir(df.sparkSession), f"tracewell-{uuid.uuid4().hex}")
+    owners = _owners.__dict__.get("stack")
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
