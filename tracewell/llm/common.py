@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.tables import materialize, shared_dir  # noqa: F401  the operators have them from here
 
-#: Rows of an Arrow batch, which Spark and Python both hold whole; documents can be long.
-BATCH = 1_000
+#: Rows and bytes of an Arrow batch, which Spark and Python both hold whole; documents can be long.
+BATCH, BATCH_BYTES = 1_000, 8 << 20
+
+#: Rows of an Arrow batch that Python hands back at most: Spark holds a batch outside its heap.
+RETURNED = 10_000
 
 #: Word and white-space classes of the contracts, as Java regular expressions.
 WORD_SEP = r"[\x20\x09-\x0D]+"
@@ -29,10 +32,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Has the session hand Python at most ``BATCH`` rows at a time, as a setting: it outlives the call."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= BATCH:
-        spark.conf.set(setting, str(BATCH))
+    """Has the session hand Python at most ``BATCH`` rows and about ``BATCH_BYTES`` at a time, as settings: they outlive the call."""
+    for setting, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.{setting}"
+        if not 0 < int(spark.conf.get(setting).removesuffix("b")) <= most:
+            spark.conf.set(setting, str(most))
 
 
 def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -59,7 +63,8 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(regrouped(batches, rows) if rows else batches)
+            for b in run(regrouped(batches, rows) if rows else batches):
+                yield from (b.slice(i, RETURNED) for i in range(0, max(1, b.num_rows), RETURNED))
         finally:
             if forget:
                 forget()
