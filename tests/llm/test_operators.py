@@ -73,6 +73,40 @@ def test_propagation_swaps_places_and_follows_several_hubs(spark):
     assert together(labels) >= together(start)
 
 
+@pytest.mark.parametrize("groups, others, shards", [([20] * 60, 0, 10), ([400, *range(2, 26)] * 2, 0, 8), (list(range(2, 30)), 300, 12)])
+def test_propagation_brings_groups_together_from_an_even_start(spark, groups, others, shards):
+    """Rounds move the rows: the start holds few pairs together, the end at least 95 % of those that quotas let."""
+    rng = np.random.default_rng(4)
+    hub = rng.permutation([g for g, n in enumerate(groups) for _ in range(n)])
+    rows = len(hub) + others
+    quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
+    log = []
+    got = {r.row: r.shard for r in sharding.propagate(sharding.materialize(spark.createDataFrame([(i, int(h)) for i, h in enumerate(hub)], "row bigint, hub bigint")), quotas, log=log).collect()}
+    assert sorted(got) == list(range(len(hub))) and all(n <= q for n, q in zip(np.bincount(list(got.values()), minlength=shards), quotas))
+    most = max(quotas)
+    reachable = sum(n // most * most * (most - 1) + n % most * (n % most - 1) for n in groups)
+    together = sum(n * (n - 1) for n in Counter((h, got[i]) for i, h in enumerate(hub)).values())
+    small = sum(n for n in groups if n <= most)
+    assert log[0][0] < together and sum(granted for _, _, granted in log) >= 0.5 * small and 0.95 * reachable <= together <= reachable and len(log) < 10
+
+
+def test_grants_keep_loads_and_swap_with_idle_rows():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        n = int(rng.integers(2, 7))
+        asked = rng.integers(0, 6, (n, n)) * (rng.random((n, n)) < 0.5)
+        np.fill_diagonal(asked, 0)
+        load = asked.sum(1) + rng.integers(0, 9, n)
+        idle = np.minimum(load - asked.sum(1), rng.integers(0, 5, n))
+        quotas = load + rng.integers(0, 3, n)
+        given = sharding.grants(asked, load, list(quotas), idle)
+        assert (given >= 0).all() and (load + given.sum(0) - given.sum(1) <= quotas).all()
+        assert (np.maximum(given - asked, 0).sum(1) <= idle).all()
+        plain = sharding.grants(asked, load, list(quotas))
+        assert (plain <= asked).all() and (load + plain.sum(0) - plain.sum(1) <= quotas).all()
+    assert sharding.grants(np.array([[0, 4], [0, 0]]), np.array([5, 5]), [5, 5], np.array([0, 3])).tolist() == [[0, 3], [3, 0]]
+
+
 def test_shards_of_odd_tables(empty, odd):
     assert sharding.shard_documents(empty, 4).count() == 0
     got = sharding.shard_documents(odd, 3).collect()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.sources.tables import materialize, shared_dir  # noqa: F401  the operators have them from here
+from tracewell.sources.tables import materialize, scratch, shared_dir  # noqa: F401  the operators have them from here
 
 #: Rows and bytes of an Arrow batch, which Spark and Python both hold whole; documents can be long.
 BATCH, BATCH_BYTES = 1_000, 8 << 20

@@ -1,13 +1,16 @@
 """Balanced label propagation: linked rows move to their neighbours' shards.
 
 Links are given as (row, hub) memberships, so a group of any size is a star and
-no pairs arise.  Rows start in the order of their hubs, dealt out by quota, so
-that a hub lies in neighbouring shards.  In a round hubs count their rows in
-each shard and rank the shards, as many as hold all of its rows; rows elsewhere
-ask to move to one of these.  Requests are granted as far as free places and
-places given up in the same round go, so loads never pass their quota.  Rounds
-end when two in turn bring no more pairs together.  Rows without links fill
-what remains, which evens the shards out exactly.
+no pairs arise.  Rows start evenly spread, whatever their links; only hubs that
+no shard holds are laid out in a run of shards.  In a round each hub that is
+split counts its rows by shard and bids for one shard with room for all of
+them: the one with half of its rows, or one drawn by room.  A shard takes the
+largest bids that its quota holds beside the hubs that lie in it whole, and the
+rows of these hubs ask to move there.  Moves go round cycles of shards, into
+free places, or in exchange for rows whose hubs have no shard yet, so loads
+never pass their quota.  Rounds end when no hub is split or ``IDLE`` in turn
+bring no more pairs together.  Rows without links fill what remains, which
+evens the shards out exactly.
 """
 
 from __future__ import annotations
@@ -17,20 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import let, materialize
+from tracewell.llm.common import let, materialize, scratch
 
 #: Rows that one task numbers.
 CHUNK = 50_000
+#: Rounds in turn that bring no more pairs together, after which propagation ends.
+IDLE = 2
 
 
-def numbered(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """``rows`` with ``nth``, from 0 without gaps in each group of ``by``.
+def numbered(rows: DataFrame, n: int, by: list[str], near: str = "row") -> DataFrame:
+    """``rows`` with ``nth``, from 0 without gaps in each group of ``by``; rows of one ``near`` follow each other.
 
-    Rows are numbered in chunks dealt by a hash of ``row``; a small table of
+    Rows are numbered in chunks dealt by a hash of ``near``; a small table of
     chunk sizes gives each chunk its first number.
     """
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // CHUNK)))).cast("int"))
-    ranked = dealt.withColumn("nth", F.row_number().over(W.partitionBy(*by, "chunk").orderBy("row")).cast("long"))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(near), F.lit(max(1, -(-n // CHUNK)))).cast("int"))
+    ranked = dealt.withColumn("nth", F.row_number().over(W.partitionBy(*by, "chunk").orderBy(*dict.fromkeys((near, "row")))).cast("long"))
     sizes = dealt.groupBy(*by, "chunk").agg(F.count("*").alias("size"))
     before = W.partitionBy(*(by or [F.lit(0)])).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     first = sizes.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
@@ -54,80 +59,171 @@ def pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), index.cast("int") + 1)
 
 
+def among(ends: list[int], at: Column) -> Column:
+    """The number of the first of the ascending ``ends`` beyond ``at``."""
+    return let(at, lambda x: F.size(F.filter(F.array(*(F.lit(int(e)).cast("long") for e in ends)), lambda e: e <= x)))
+
+
 def dealt(links: DataFrame, quotas: list[int]) -> DataFrame:
-    """``row, shard`` of every linked row: rows in the order of their least hubs fill one shard after the other.
+    """``row, shard`` of every linked row before the first round, loads within the quotas.
 
-    Hubs that no shard can hold come first.  Their sizes are summed in chunks
-    dealt by a hash of the hub, as rows are in ``numbered``.
+    Rows of hubs that no shard holds fill one shard after the other, hub by
+    hub; the others are spread over what is left of all shards, in no order.
     """
-    least = materialize(links.groupBy("row").agg(F.min("hub").alias("hub")))
-    n = least.count()
-    hubs = least.groupBy("hub").agg(F.count("*").alias("n"))
-    parts = max(1, -(-n // CHUNK))
-    chunk = F.when(F.col("n") >= max(quotas), -1).otherwise(F.pmod(F.xxhash64("hub"), F.lit(parts)))
-    hubs = materialize(hubs.withColumn("part", chunk.cast("int")))
-    whole = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    first = hubs.groupBy("part").agg(F.sum("n").alias("size")).withColumn("first", F.coalesce(F.sum("size").over(whole), F.lit(0))).drop("size")
-    inner = W.partitionBy("part").orderBy("hub").rowsBetween(W.unboundedPreceding, -1)
-    starts = hubs.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(first, "part").select("hub", (F.col("before") + F.col("first")).alias("start"))
-    ends = F.array(*(F.lit(int(e)).cast("long") for e in np.cumsum(quotas)))
-    placed = numbered(least, n, ["hub"]).join(starts, "hub").withColumn("at", F.col("start") + F.col("nth"))
-    return placed.select("row", let(F.col("at"), lambda x: F.size(F.filter(ends, lambda e: e <= x))).alias("shard"))
-
-
-def grants(asked: np.ndarray, load: np.ndarray, quotas: list[int]) -> np.ndarray:
-    """How many of the ``asked[from, to]`` moves may be made at once so that no load passes its quota (or what it was)."""
-    most, moves = np.maximum(quotas, load), asked.copy()
+    hubs = links.groupBy("hub").agg(F.count("*").alias("n"))
+    large = materialize(hubs.filter(F.col("n") > max(quotas)))  # at most twice the shards for each link of a row
+    bound = links.join(F.broadcast(large), "hub").groupBy("row").agg(F.min("hub").alias("hub"))
+    sizes = large.agg(F.sum("n")).first()[0] or 0
+    lone = W.orderBy("hub").rowsBetween(W.unboundedPreceding, -1)
+    bound = materialize(bound)
+    begin = bound.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.coalesce(F.sum("n").over(lone), F.lit(0)).alias("begin"))
+    laid = numbered(bound, sizes, ["hub"]).join(F.broadcast(begin), "hub").select("row", among(np.cumsum(quotas).tolist(), F.col("begin") + F.col("nth")).alias("shard"))
+    laid = materialize(laid)
+    load = {r.shard: r.n for r in laid.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    free = np.array([q - load.get(s, 0) for s, q in enumerate(quotas)], np.int64)
+    rest = links.select("row").distinct().join(laid.select("row"), "row", "left_anti")
+    n = rest.count()
+    # every shard takes its share of the rows, so that all have room to move in
+    at = (F.col("nth") * int(free.sum()) / max(1, n)).cast("long")
+    return laid.unionByName(numbered(rest, n, []).select("row", among(np.cumsum(free).tolist(), at).alias("shard")))
+
+
+def grants(asked: np.ndarray, load: np.ndarray, quotas: list[int], idle: np.ndarray | None = None) -> np.ndarray:
+    """How many of the ``asked[from, to]`` moves to make at once so that no load passes its quota (or what it was).
+
+    Moves round cycles of shards leave the loads as they are and come first,
+    until no cycle is left; then moves fill free places, and the places that
+    they give up.  Then, if ``idle[shard]`` rows may lie anywhere, they change
+    places with those that still ask; these moves back are in the result too.
+    """
+    left, alive, path = asked.astype(np.int64), np.ones(len(quotas), bool), []
+    np.fill_diagonal(left, 0)
+    while alive.any():
+        path = path or [int(alive.argmax())]
+        u = path[-1]
+        ways = np.where(alive, left[u], 0)
+        v = int(ways.argmax())
+        if not ways[v]:  # no cycle goes through u
+            alive[u] = False
+            path.pop()
+        elif v in path:
+            cycle = path[path.index(v) :]
+            edges = (cycle, [*cycle[1:], v])
+            left[edges] -= left[edges].min()
+            path = path[: path.index(v)]
+        else:
+            path.append(v)
+    free = np.maximum(np.array(quotas) - load, 0)
     while True:
-        came = moves.sum(0)
-        over = load + came - moves.sum(1) - most
-        if (over <= 0).all():
-            return moves
-        for t in np.flatnonzero(over > 0):
-            moves[:, t] = moves[:, t] * (came[t] - over[t]) // came[t]
+        gain = np.minimum(left, free)
+        u, v = np.unravel_index(int(gain.argmax()), gain.shape)
+        if not gain[u, v]:
+            break
+        left[u, v] -= gain[u, v]
+        free[u] += gain[u, v]
+        free[v] -= gain[u, v]
+    moves = asked - left
+    np.fill_diagonal(moves, 0)
+    if idle is not None:
+        idle = idle.copy()
+        for v in range(len(quotas)):
+            for u in np.flatnonzero(left[:, v]):
+                n = min(int(left[u, v]), int(idle[v]))
+                moves[u, v] += n
+                moves[v, u] += n
+                idle[v] -= n
+    return moves
+
 
+def bids(hubs: DataFrame, room: list[int], turn: int, n: int) -> DataFrame:
+    """``hub, to`` of the split hubs that get a shard: ``hubs(hub, of, at)``, ``at`` their rows by shard; ``n`` hubs.
 
-def propagate(links: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
-    """``row, shard`` of every linked row, loads within the quotas; ``rounds`` bounds the rounds, None does not."""
+    ``room`` is what each shard's quota leaves.  In every shard the largest
+    bids are taken as far as it goes; many hubs are dealt into chunks that
+    share it out.
+    """
+    rooms = F.array(*(F.lit(int(r)).cast("long") for r in room))
+    most = F.array_max(F.map_values("at"))
+    major = F.array_min(F.map_keys(F.map_filter("at", lambda k, v: v == most)))
+    half = (most * 2 >= F.col("of")) & (F.element_at(rooms, major + 1) >= F.col("of"))
+    fits = F.transform(rooms, lambda r: F.when(r >= F.col("of"), r).otherwise(F.lit(0).cast("long")))
+    whole = F.aggregate(fits, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def drawn(total: Column) -> Column:
+        at = F.pmod(F.xxhash64("hub", F.lit(turn)), F.greatest(total, F.lit(1)))
+        begin = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("to"), F.lit(0).alias("i"))
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.when((s["to"] < 0) & (s["sum"] + x > at), s["i"]).otherwise(s["to"]).alias("to"), (s["i"] + 1).alias("i"))
+        return F.aggregate(fits, begin, step)["to"]
+
+    bid = hubs.select("hub", "of", F.when(half, major).otherwise(let(whole, drawn)).cast("int").alias("to")).filter("to >= 0")
+    parts = max(1, -(-n // CHUNK))
+    chunk = bid.withColumn("chunk", F.pmod(F.xxhash64("hub"), F.lit(parts)))
+    sums = F.sum("of").over(W.partitionBy("to", "chunk").orderBy(F.desc("of"), "hub").rowsBetween(W.unboundedPreceding, 0))
+    return chunk.withColumn("sum", sums).filter(F.col("sum") * parts <= F.element_at(rooms, F.col("to") + 1)).select("hub", "to")
+
+
+def propagate(links: DataFrame, quotas: list[int], rounds: int | None = None, log: list | None = None) -> DataFrame:
+    """``row, shard`` of every linked row, loads within the quotas; ``rounds`` bounds the rounds, None does not.
+
+    A round writes the hubs' counts, the rows that move or may, and the
+    memberships with their rows' new shards.  ``log`` takes (pairs together,
+    moves asked, moves granted) of each.
+    """
     shards, most = len(quotas), max(1, *quotas)
-    labels = materialize(dealt(links, quotas))
-    best, best_pairs, idle, turn = labels, -1, 0, 0
     memberships = links.count()
+    here = materialize(links.join(dealt(links, quotas), "row"))
+    best, best_pairs, idle_rounds, turn = here, -1, 0, 0
     while True:
-        here = links.join(labels, "row")
-        counts = materialize(here.groupBy("hub", "shard").agg(F.count("*").alias("n")))
-        pairs = counts.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
-        idle = 0 if pairs > best_pairs else idle + 1
+        counts = here.groupBy("hub", "shard").agg(F.count("*").alias("n"))
+        hubs = materialize(counts.groupBy("hub").agg(F.sum("n").alias("of"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("at")))  # at most one entry a shard
+        squares = F.aggregate(F.map_values("at"), F.lit(0).cast("long"), lambda s, x: s + x * (x - 1))
+        split = (F.size("at") > 1) & (F.col("of") <= most)
+        pairs, n = hubs.agg(F.sum(squares), F.count_if(split)).first()
+        pairs = pairs or 0
+        idle_rounds = 0 if pairs > best_pairs else idle_rounds + 1
         if pairs > best_pairs:
-            best, best_pairs = labels, pairs
-        if idle == 2 or turn == rounds:
-            return best
-        load = np.zeros(shards, np.int64)
-        for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect():
+            best, best_pairs = here, pairs
+        if not n or idle_rounds == IDLE or turn == rounds:
+            break
+        # A row is held by its largest hub that lies in one shard, or that no shard holds.
+        open_hubs = hubs.filter(split)
+        held = met(here, hubs.filter(~split).select("hub", "of"), memberships).groupBy("row", "shard").agg(F.max("of").alias("held"))
+        held = materialize(held)
+        load, fixed = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+        for r in here.select("row", "shard").distinct().groupBy("shard").agg(F.count("*").alias("n")).collect():
             load[r.shard] = r.n
-        room = [int(q - x) for q, x in zip(quotas, load)]
-        # In every other round only shards with free places are ranked: the others may be held by rows that stay.
-        ranked = counts if turn % 2 == 0 else counts.withColumn("n", F.when(pick(room, F.col("shard")) > 0, F.col("n")).otherwise(0))
-        hubs = counts.groupBy("hub").agg(F.sum("n").alias("of"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("at")).filter(F.size("at") > 1)
-        ranks = ranked.filter("n > 0").groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False).alias("rank"))
-        homes = F.slice("rank", 1, F.ceil(F.col("of") / most).cast("int"))  # at most one entry a shard
-        hubs = materialize(hubs.join(ranks, "hub").withColumn("homes", homes).select("hub", "of", "at", "homes", F.filter("homes", lambda h: h["n"] < most).alias("open")))
-        now = F.element_at("at", F.col("shard"))
-        stays = F.exists("homes", lambda h: -h["s"] == F.col("shard")) | (F.size("open") == 0)
-        one = F.get("open", F.pmod(F.xxhash64("row", F.lit(turn)), F.greatest(F.size("open"), F.lit(1))).cast("int"))
-        wish = met(here, hubs, memberships).select("row", "shard", now.alias("now"), F.when(stays, F.col("shard")).otherwise(-one["s"]).alias("to"), F.when(stays, now).otherwise(one["n"]).alias("gain"))
-        moves = wish.groupBy("row", "shard").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max("gain").alias("gain"), F.max("now").alias("now"))
-        moves = materialize(moves.filter("to != shard and gain > now - 1").select("row", "shard", F.col("to").cast("int").alias("to")))  # the row itself is no neighbour
-        asked = np.zeros((shards, shards), np.int64)
+        for r in held.groupBy("shard").agg(F.count("*").alias("n")).collect():
+            fixed[r.shard] = r.n
+        taken = materialize(bids(open_hubs, [int(q - f) for q, f in zip(quotas, fixed)], turn, n).join(open_hubs.select("hub", "of"), "hub"))
+        wishes = met(here, open_hubs.select("hub", "of").join(taken.select("hub", "to"), "hub", "left"), memberships)
+        near = F.when(F.col("of") * 1000 > memberships, F.xxhash64("hub", "row")).otherwise(F.xxhash64("hub"))  # the rows of large hubs are dealt out
+        top = F.max_by(F.struct("to", near.alias("near"), "of"), F.when(F.col("to").isNotNull(), F.struct("of", "to")))
+        wish = wishes.groupBy("row", "shard").agg(top.alias("top"), F.first(near).alias("own"))
+        wish = wish.join(held.select("row", "held"), "row", "left").filter(F.coalesce(F.col("top.of") > F.col("held"), F.col("held").isNull()))
+        moves = materialize(wish.select("row", "shard", F.coalesce("top.to", F.lit(-1)).alias("to"), F.coalesce("top.near", "own").alias("near")).filter("to != shard"))
+        asked, loose = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
         for r in moves.groupBy("shard", "to").agg(F.count("*").alias("n")).collect():
-            asked[r.shard, r.to] = r.n
+            if r.to < 0:
+                loose[r.shard] = r.n
+            else:
+                asked[r.shard, r.to] = r.n
+        given = grants(asked, load, quotas, loose)
+        if log is not None:
+            log.append((pairs, int(asked.sum()), int(given.sum())))
         turn += 1
-        given = grants(asked, load, quotas)
-        if given.any():
-            n = int(asked.sum())
-            may = pick([int(x) for x in given.ravel()], F.col("shard") * shards + F.col("to"))
-            granted = numbered(moves, n, ["shard", "to"]).filter(F.col("nth") < may).select("row", "to")
-            labels = materialize(labels.join(granted, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")))
+        if not given.any():
+            continue
+        # In each shard those that ask go as granted, one hub after the other; those that may lie anywhere fill what is asked back.
+        size = int(asked.sum() + loose.sum())
+        back = np.maximum(given - asked, 0)
+        given = np.minimum(given, asked)
+        may = pick([int(x) for x in given.ravel()], F.col("shard") * shards + F.col("to"))
+        granted = numbered(moves.filter("to >= 0"), size, ["shard", "to"], "near").filter(F.col("nth") < may).select("row", "to")
+        ends = F.array(*(F.array(*(F.lit(int(x)).cast("long") for x in np.cumsum(row))) for row in back))
+        place = let(F.struct(F.element_at(ends, F.col("shard") + 1).alias("e"), "nth"), lambda x: F.size(F.filter(x["e"], lambda e: e <= x["nth"])))
+        swapped = numbered(moves.filter("to < 0"), size, ["shard"], "near").withColumn("to", place.cast("int")).filter(F.col("to") < shards).select("row", "to")
+        here = materialize(here.join(granted.unionByName(swapped), "row", "left").select("row", "hub", F.coalesce("to", "shard").alias("shard")))
+    return best.groupBy("row").agg(F.min("shard").alias("shard"))
 
 
 def shard(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
@@ -166,15 +262,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     or repeated; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = materialize(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_col).cast("bigint").alias("doc_id"),
-            (F.octet_length(text).cast("long") + 16).alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("hub"),
+    with scratch(docs.sparkSession) as keep:
+        base = materialize(
+            docs.select(
+                F.monotonically_increasing_id().alias("row"),
+                F.col(id_col).cast("bigint").alias("doc_id"),
+                (F.octet_length(text).cast("long") + 16).alias("size"),
+                F.crc32(text.cast("binary")).alias("text_crc32"),
+                F.xxhash64(text).alias("hub"),
+            )
         )
-    )
-    links = base.select("row", F.struct("hub", "text_crc32", "size").alias("hub"))
-    placed = shard(base.select("row"), links, shards)
-    return base.join(placed, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        links = base.select("row", F.struct("hub", "text_crc32", "size").alias("hub"))
+        placed = shard(base.select("row"), links, shards)
+        return keep(base.join(placed, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
