@@ -2,7 +2,7 @@
 
 Links are given as (row, hub) memberships, so a group of any size is a star and
 no pairs arise.  Rows start evenly spread, whatever their links; only hubs that
-no shard holds are laid out in a run of shards.  In a round each hub that is
+no shard holds fill whole shards, and one more, at once.  In a round each hub that is
 split counts its rows by shard and bids for one shard with room for all of
 them: the one with half of its rows, or one drawn by room.  A shard takes the
 largest bids that its quota holds beside the hubs that lie in it whole, and the
@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import let, materialize, scratch
 
@@ -67,17 +68,36 @@ def among(ends: list[int], at: Column) -> Column:
 def dealt(links: DataFrame, quotas: list[int]) -> DataFrame:
     """``row, shard`` of every linked row before the first round, loads within the quotas.
 
-    Rows of hubs that no shard holds fill one shard after the other, hub by
-    hub; the others are spread over what is left of all shards, in no order.
+    A hub that no shard holds fills whole shards and one more; the other rows
+    are spread over what is left of all shards, in no order.
     """
     hubs = links.groupBy("hub").agg(F.count("*").alias("n"))
-    large = materialize(hubs.filter(F.col("n") > max(quotas)))  # at most twice the shards for each link of a row
-    bound = links.join(F.broadcast(large), "hub").groupBy("row").agg(F.min("hub").alias("hub"))
-    sizes = large.agg(F.sum("n")).first()[0] or 0
-    lone = W.orderBy("hub").rowsBetween(W.unboundedPreceding, -1)
-    bound = materialize(bound)
-    begin = bound.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.coalesce(F.sum("n").over(lone), F.lit(0)).alias("begin"))
-    laid = numbered(bound, sizes, ["hub"]).join(F.broadcast(begin), "hub").select("row", among(np.cumsum(quotas).tolist(), F.col("begin") + F.col("nth")).alias("shard"))
+    large = hubs.filter(F.col("n") > max(quotas)).select("hub")  # fewer than the shards, for each link of a row
+    bound = materialize(links.join(F.broadcast(materialize(large)), "hub").groupBy("row").agg(F.min("hub").alias("hub")))
+    sizes = [(r.hub, r.n) for r in bound.groupBy("hub").agg(F.count("*").alias("n")).orderBy("hub").collect()]
+    free, runs, rest = list(quotas), [], []
+
+    def lay(hub, at: int, n: int, s: int) -> None:
+        runs.append((hub, at, at + n, s))
+        free[s] -= n
+
+    for hub, n in sizes:
+        at = 0
+        for s, q in enumerate(quotas):
+            if 0 < q == free[s] and n - at >= q:
+                lay(hub, at, q, s)
+                at += q
+        rest.append((n - at, hub, at))
+    for n, hub, at in sorted(rest, key=lambda r: -r[0]):
+        while n:
+            s = min(range(len(free)), key=lambda s: (free[s] < n, free[s] if free[s] >= n else -free[s]))
+            part = min(n, free[s])
+            lay(hub, at, part, s)
+            n, at = n - part, at + part
+    schema = T.StructType([bound.schema["hub"], *(T.StructField(c, T.LongType()) for c in ("first", "stop")), T.StructField("shard", T.IntegerType())])
+    placed = F.broadcast(links.sparkSession.createDataFrame(runs, schema).withColumnRenamed("hub", "of"))
+    ranked = numbered(bound, sum(n for _, n in sizes), ["hub"])
+    laid = ranked.join(placed, (F.col("hub") == F.col("of")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("stop"))).select("row", "shard")
     laid = materialize(laid)
     load = {r.shard: r.n for r in laid.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = np.array([q - load.get(s, 0) for s, q in enumerate(quotas)], np.int64)
