@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import let, materialize, scratch
+from tracewell.llm.common import let, materialize, met, scratch
 
 #: Rows that one task numbers.
 CHUNK = 50_000
@@ -43,19 +43,6 @@ def numbered(rows: DataFrame, n: int, by: list[str], near: str = "row") -> DataF
     return ranked.join(first, [*by, "chunk"]).withColumn("nth", F.col("nth") - 1 + F.col("first")).drop("chunk", "first")
 
 
-def met(members: DataFrame, hubs: DataFrame, n: int) -> DataFrame:
-    """``members(hub, ...)`` with their hub's row of ``hubs(hub, of, ...)``; ``of`` is the hub's size, ``n`` the number of memberships.
-
-    Of hubs with over a thousandth of all memberships there are less than a
-    thousand: they go to every task and their members stay where they are.
-    The others meet at the hub.
-    """
-    large = hubs.filter(F.col("of") * 1000 > n)
-    names = F.broadcast(large.select("hub"))
-    rest = members.join(names, "hub", "left_anti").join(hubs.filter(F.col("of") * 1000 <= n), "hub")
-    return members.join(F.broadcast(large), "hub").unionByName(rest)
-
-
 def pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), index.cast("int") + 1)
 

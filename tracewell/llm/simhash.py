@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import discard, map_batches, materialize
+from tracewell.llm.common import discard, map_batches, materialize, met, scratch
 
 BITS, SEGMENTS, DISTANCE = 64, 16, 3
 #: A key that more distinct fingerprints share is cut into four finer keys, as often as needed.
@@ -160,18 +160,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str
     no other.  Equal fingerprints are one node, so a group of copies of any
     size is as cheap as one document.  Columns besides the two are ignored.
     """
-    rows = materialize(fingerprints(docs, width, seed, id_col, text_col))
-    of = grouped(rows, links)
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession) as keep:
+        rows = materialize(fingerprints(docs, width, seed, id_col, text_col))
+        found = placed(rows, grouped(rows, links))
+        return keep(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def grouped(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``fp, component_id`` of every ``fp`` of ``rows``: the smallest ``doc_id`` that ``link`` reaches."""
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    """``fp, of, component_id`` of every ``fp`` of ``rows``: how many rows have it, and the smallest ``doc_id`` that ``link`` reaches."""
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("of")))
     roots = components(link(prints.select("fp")))
-    placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return placed.join(lowest, "root").select("fp", "component_id")
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(lowest, "root").select("fp", "of", "component_id")
+
+
+def placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows(fp, ...)`` with their ``component_id``; the rows of a large group of copies stay where they are."""
+    groups = materialize(groups.withColumnRenamed("fp", "hub"))
+    return met(rows.withColumnRenamed("fp", "hub"), groups, rows.count()).withColumnRenamed("hub", "fp")
 
 
 def keep_one(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
