@@ -226,6 +226,17 @@ def test_bound_of_a_share():
     assert 0.83 < quality_rules.lower_bound(90, 10) < 0.9 > quality_rules.lower_bound(900, 100) > 0.88
 
 
+def test_rules_change_what_is_kept_beyond_the_base_rule(spark):
+    """Whole tables: rules are learned on what the base rule keeps, and are precise on documents that learned nothing."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality_rules.materialize(quality_rules.statistics(docs))
+    rules = quality_rules.learn(quality_rules.labelled(stats, labels))
+    precision, recall = quality_rules.precision_and_recall(rules, quality_rules.labelled(stats, labels, held_out=True))
+    assert rules and precision >= 0.9 and recall >= 0.9
+    assert quality_rules.judged(stats, rules).filter("not base_failed and not kept").count() > 20
+    assert quality_rules.precision_and_recall([], quality_rules.labelled(stats, labels.limit(0), held_out=True)) == (None, None)
+
+
 def test_rules_of_odd_tables(spark, empty, odd, documents, corpus):
     none = spark.createDataFrame([], LABELS)
     assert quality_rules.judge(empty, none).count() == 0

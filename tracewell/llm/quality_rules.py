@@ -1,9 +1,10 @@
 """Learned decision lists over document statistics.
 
-Sequential covering on labelled documents: a rule, a conjunction of thresholds,
-grows on two thirds of the rows while its precision on bad documents rises,
-loses conditions from its end while that helps on the other third, and is kept
-if it is precise there; the rows that it covers are set aside and the next rule
+Sequential covering on the labelled documents that pass the base rule: a rule,
+a conjunction of thresholds, grows on most of the rows while its precision on
+bad documents rises, loses conditions from its end while that helps on the
+others, and is kept if it is precise there; a fifth of the rows does neither
+and is left to judge the list by; the rows that it covers are set aside and the next rule
 is grown.  A rule that is not precise enough ends nothing: no later rule
 begins with a threshold on the same side of its first feature.  All counts are
 grouped Spark aggregates over all labelled rows; the list becomes one ordered
@@ -211,11 +212,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return judged(stats, learn(labelled(stats, labels, id_col)))
 
 
-def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The labelled rows of ``stats``, as ``learn`` takes them."""
+def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", held_out: bool = False) -> DataFrame:
+    """The labelled rows of ``stats`` that pass the base rule, as ``learn`` takes them.
+
+    Of five parts by a hash of the id three grow rules and one prunes them; the
+    fifth (``held_out``) does neither, so that rules can be judged on it.
+    """
     graded = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg((F.min("quality") == 0).alias("bad"))
-    met = stats.join(graded, F.col(id_col) == F.col("labelled"))
-    return met.select("bad", (F.pmod(F.xxhash64("labelled"), F.lit(3)) > 0).alias("grow"), *FEATURES)
+    met = stats.filter(~base_failed()).join(graded, F.col(id_col) == F.col("labelled"))
+    part = F.pmod(F.xxhash64("labelled"), F.lit(5))
+    return met.filter(part == 0 if held_out else part > 0).select("bad", (part > 1).alias("grow"), *FEATURES)
+
+
+def precision_and_recall(rules: list[list[Condition]], rows: DataFrame) -> tuple[float | None, float | None]:
+    """Of the rows that a rule rejects the share of bad ones, and the share of the bad ones that one rejects; None of none."""
+    hit = verdict(rules) > 0
+    r = rows.agg(F.count_if(hit & F.col("bad")).alias("right"), F.count_if(hit).alias("hit"), F.count_if("bad").alias("bad")).first()
+    return r.right / r.hit if r.hit else None, r.right / r.bad if r.bad else None
 
 
 def judged(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
