@@ -19,7 +19,7 @@ from tracewell.plans import fixtures as fx
 from tracewell.plans.catalogue import _PAIRS, _SENSITIVE_SQL, _cos, _near, _reviewed, query
 from tracewell.sources import log, workspace
 from tracewell.sources.tables import shared_dir
-from tracewell.streaming import capture
+from tracewell.streaming import capture, folds
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -40,16 +40,28 @@ def typed_rows(spark, sf_dir):
 
 
 @query(
-    """with e as (select user_id, event_id, cast(event_id // 2 % 300 as varchar) as id, case when event_id % 3 = 0 then event_type || cast(ts as date) end as fingerprint from events),
-    tail as (select * from (select *, row_number() over (partition by user_id order by event_id desc) as back from e where event_id % 2 = 0) where back <= 512)
-    select distinct user_id, id from e where event_id % 2 = 1 and not exists (select 1 from tail t where t.user_id = e.user_id and t.id = e.id) and not exists (select 1 from tail t where t.user_id = e.user_id and t.fingerprint = e.fingerprint)"""
+    """with e as (select user_id, event_id, event_id % 5 = 0 as plain, cast(event_id // 100 % 12 as varchar) as id, case when event_id // 100 % 12 % 3 > 0 then event_id // 100 % 12 % 3 end as f from events)
+    select user_id, event_id, case when plain then 'appended' when row_number() over (partition by user_id, coalesce('f' || f, 'i' || id) order by event_id) > 1 then 'duplicate' else 'appended' end as outcome from e"""
 )
 def unique_appends(spark, sf_dir):
-    """Odd events are new, even ones are in the log"""
+    """Four of five events are to be in their user's log once; a fingerprint stands for several ids, some have none"""
     i = F.col("event_id")
-    day = F.when(i % 3 == 0, F.concat("event_type", F.to_date("ts").cast("string")))
-    e = fx.table(spark, sf_dir, "events").select("user_id", i.alias("seq"), (F.floor(i / 2) % 300).cast("string").alias("id"), day.alias("fingerprint"))
-    return log.fresh(e.filter("seq % 2 = 1"), e.filter("seq % 2 = 0")).select("user_id", "id")
+    name = F.floor(i / 100) % 12
+    e = fx.table(spark, sf_dir, "events").select("user_id", i, name.cast("string").alias("id"), F.when(name % 3 > 0, (name % 3).cast("string")).alias("fingerprint"), (i % 5 != 0).alias("once"))
+    return folds.fold(e, folds.UniqueAppend, "user_id", "event_id")
+
+
+@query(
+    """with e as (select user_id, event_id, event_id // 100 % 40 as event, event_id % 3 > 0 as valid, event_id % 3 = 2 as two from events), v as (select *, row_number() over (partition by user_id, event order by event_id) as nth from e where valid)
+    select user_id, event_id, 'h1' as alias, case when two then 'blocker' else 'concern' end as severity from v where nth = 1"""
+)
+def emissions(spark, sf_dir):
+    """An event lets out one attempt, the most severe; a third of the updates name no habit that is known"""
+    i = F.col("event_id")
+    attempt = lambda alias, severity: F.struct(F.lit(alias).alias("alias"), F.lit(severity).alias("severity"))
+    tries = F.when(i % 3 == 0, F.array(attempt("h7", "blocker"))).when(i % 3 == 1, F.array(attempt("h1", "concern"), attempt("h7", "blocker"))).otherwise(F.array(attempt("h1", "concern"), attempt("h1", "blocker")))
+    e = fx.table(spark, sf_dir, "events").select("user_id", i, (F.floor(i / 100) % 40).cast("string").alias("event"), tries.alias("attempts"), F.array(F.lit("h1"), F.lit("h2")).alias("aliases"))
+    return folds.fold(e, folds.Emission, "user_id", "event_id")
 
 
 @query(

@@ -40,14 +40,6 @@ def chained(rows: DataFrame, key: list[str], order: list[str], content: list[str
     return out.withColumn("prev_pair_ref", before).drop("_seq", "_sum")
 
 
-def fresh(rows: DataFrame, log: DataFrame, newest: int = 512) -> DataFrame:
-    """[S2, S40] Rows whose id and fingerprint the newest records of their user's log do not have."""
-    w = W.partitionBy("user_id").orderBy(F.desc("seq"))
-    tail = log.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= newest)
-    rest = rows.join(tail.select("user_id", "id"), ["user_id", "id"], "left_anti")
-    return rest.join(tail.filter("fingerprint is not null").select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti").dropDuplicates(["user_id", "id"])
-
-
 def chain_errors(log: DataFrame, key: list[str]) -> DataFrame:
     """[S4, W1] Records that do not follow the one before them."""
     w = W.partitionBy(*key).orderBy("seq")
