@@ -124,11 +124,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def utf8_prefix(c: Column, n: int) -> Column:
     """[X23] The longest prefix of whole characters within ``n`` bytes, trimmed at its end."""
-    head = F.substring(c, 1, n)
-    sizes = F.sequence(F.greatest(F.lit(0), F.lit(n // 4)), F.length(head))
-    fits = F.filter(sizes, lambda k: F.octet_length(F.substring(head, F.lit(1), k)) <= n)
-    cut = F.when(F.octet_length(head) <= n, head).otherwise(F.substring(head, F.lit(1), F.coalesce(F.array_max(fits), F.lit(0))))
-    return F.regexp_replace(cut, r"\s+$", "")
+    head = F.substring(c.cast("binary"), 1, n)
+    # a character has at most four bytes, so one of these cuts leaves none open
+    whole = lambda h: F.coalesce(*(F.try_validate_utf8(F.substring(h, F.lit(1), F.octet_length(h) - k).cast("string")) for k in range(4)))
+    return F.regexp_replace(F.when(F.octet_length(c) <= n, c).otherwise(let(head, whole)), r"\s+$", "")
 
 
 def head_tail(c: Column, n: int) -> Column:
@@ -236,10 +235,11 @@ def xml_escape(c: Column) -> Column:
 
 
 def json_prefix(c: Column, n: int) -> Column:
-    """[X31] The longest prefix whose JSON string is at most ``n`` characters."""
+    """[X31] The longest prefix whose JSON string is at most ``n`` characters, by halving steps: longer prefixes have longer strings."""
     quoted = lambda k: F.length(F.to_json(F.array(F.substring(c, F.lit(1), k)))) - 2
-    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(c), F.lit(n))), lambda k: quoted(k) <= n)
-    return F.substring(c, F.lit(1), F.array_max(fits))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
+    longest = F.aggregate(steps, F.lit(0), lambda k, s: F.when((k + s <= F.length(c)) & (quoted(k + s) <= n), k + s).otherwise(k))
+    return F.substring(c, F.lit(1), longest)
 
 
 def declared_wording(c: Column, longest: int = 2000) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
 from tracewell.functions import rules as R
+from tracewell.sources.tables import materialize
 
 
 def resolved_refs(proposals: DataFrame, observations: DataFrame) -> DataFrame:
@@ -196,6 +197,45 @@ def duplicate_plan(relations: DataFrame) -> DataFrame:
     return relations.withColumns({"survivor": F.when(~keeps, survivor), "loser": F.when(~keeps, loser), "loser_status": fate, "merge_refs": F.col("action") == "merge"})
 
 
+def last_survivors(plan: DataFrame) -> DataFrame:
+    """[D14, A20] ``loser, survivor`` of decided pairs with chains followed to their end (a into b, b into c: a into c), and ``refused`` where they run in a circle.
+
+    ``plan(loser, survivor)``; of several decisions over one loser that for
+    the smallest survivor counts.  Pointers jump to where their targets point,
+    so a chain of n takes log n rounds, each a join; a circle's never leave it.
+    """
+    first = materialize(plan.filter("loser is not null and survivor is not null").groupBy("loser").agg(F.min("survivor").alias("survivor")))
+    pointers, n = first, first.count()
+    for _ in range(max(1, n.bit_length())):
+        to = pointers.select(F.col("loser").alias("survivor"), F.col("survivor").alias("next"))
+        jumped = pointers.join(to, "survivor", "left")
+        pointers, before = materialize(jumped.select("loser", F.coalesce("next", "survivor").alias("survivor"))), pointers
+        if not pointers.join(before, ["loser", "survivor"], "left_anti").head(1):
+            break
+    inside = first.select(F.col("loser").alias("survivor"), F.lit(True).alias("refused"))
+    return pointers.join(inside, "survivor", "left").select("loser", F.when(F.col("refused").isNull(), F.col("survivor")).alias("survivor"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+def merged_chains(habits: DataFrame, evidence: DataFrame, plan: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """[D14, A20] ``habits(id, status, refs, ...)`` and ``evidence(habit_id, ...)`` after the merges of ``plan(loser, survivor)``.
+
+    Losers are archived and name their last survivor, which takes over their
+    evidence and, in order and up to ``most``, their references.  Habits of a
+    refused circle stay as they are, and so do losers whose survivor is missing.
+    """
+    ends = last_survivors(plan).filter("not refused").select(F.col("loser").alias("id"), "survivor")
+    ends = materialize(ends.join(habits.select(F.col("id").alias("survivor")), "survivor", "left_semi"))
+    known = habits.join(ends, "id", "left")
+    # Only the first references can stay, and each task already leaves the others out: a survivor may have any number of losers.
+    ref = known.filter("survivor is not null").select(F.col("survivor").alias("id"), F.explode("refs").alias("ref")).distinct()
+    nth = F.row_number().over(W.partitionBy("id").orderBy("ref"))
+    given = ref.withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("id").agg(F.collect_list("ref").alias("given"))
+    refs = F.when(F.col("given").isNull(), F.col("refs")).otherwise(F.slice(F.array_sort(F.array_distinct(F.concat("refs", "given"))), 1, most))
+    after = known.join(given, "id", "left").withColumns({"refs": refs, "status": F.when(F.col("survivor").isNull(), F.col("status")).otherwise("archived")})
+    moved = evidence.join(ends.withColumnRenamed("id", "habit_id"), "habit_id", "left").withColumn("habit_id", F.coalesce("survivor", "habit_id"))
+    return after.select(*habits.columns, F.col("survivor").alias("superseded_by")), moved.select(*evidence.columns)
+
+
 def law_recheck(habits: DataFrame) -> DataFrame:
     """[D15] Active habits whose wording the law forbids are suppressed."""
     found = R.law_reasons(F.col("condition"), F.col("behavior"))

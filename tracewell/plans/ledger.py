@@ -192,6 +192,28 @@ def candidate_marks(spark, sf_dir):
     return dedupe.restored(candidates, dedupe.relations(_near(spark, sf_dir), "m1")).select("id", "review_status")
 
 
+@query(
+    """with recursive p as (select p_partkey as loser, case when p_partkey % 50 = 3 then p_partkey + 1 when p_partkey % 50 = 4 then p_partkey - 1 else p_partkey - 1 - p_partkey % 5 end as survivor from part where p_partkey % 50 not in (0, 1, 2) and p_partkey % 7 > 0),
+    r as (select loser, survivor, 1 as depth from p union all select r.loser, p.survivor, depth + 1 from r join p on p.loser = r.survivor where depth < 60),
+    e as (select loser, arg_max(survivor, depth) as survivor, max(depth) = 60 as refused from r group by 1),
+    k as (select loser, survivor from e where not refused and survivor in (select p_partkey from part)),
+    s as (select coalesce(survivor, l_partkey) as id, count(*) as n from lineitem left join k on loser = l_partkey group by 1)
+    select p_partkey as id, k.survivor as superseded_by, case when k.survivor is null then 'active' else 'archived' end as status, coalesce(n, 0) as evidence, least(64, 1 + case when k.survivor is null then (select count(*) from k as o where o.survivor = p_partkey) else 0 end) as refs
+    from part left join k on k.loser = p_partkey left join s on s.id = p_partkey"""
+)
+def chained_merges(spark, sf_dir):
+    """Parts merge into earlier ones, in chains; lines are their evidence; some run in a circle"""
+    i = F.col("p_partkey")
+    m = i % 50
+    part = fx.table(spark, sf_dir, "part").select(i)
+    survivor = F.when(m == 3, i + 1).when(m == 4, i - 1).otherwise(i - 1 - i % 5)
+    plan = part.filter(~m.isin(0, 1, 2) & (i % 7 > 0)).select(i.alias("loser"), survivor.alias("survivor"))
+    habits = part.select(i.alias("id"), F.lit("active").alias("status"), F.array(i.cast("string")).alias("refs"))
+    after, moved = lifecycle.merged_chains(habits, fx.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("habit_id")), plan)
+    counts = moved.groupBy(F.col("habit_id").alias("id")).agg(F.count("*").alias("n"))
+    return after.join(counts, "id", "left").select("id", "superseded_by", "status", F.coalesce("n", F.lit(0)).alias("evidence"), F.size("refs").cast("bigint").alias("refs"))
+
+
 # --- search and wording -------------------------------------------------------
 
 
