@@ -18,7 +18,7 @@ def test_names_and_columns(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["duplicate_pairs_scored", "near_duplicate_texts", "log_chain", "receipt_summary", "monotone_watermarks", "law_check_reasons", "newest_first_context", "typed_conflicts", "contradiction_suppression", "approved_union", "text_forms", "safe_names", "run_texts", "proposal_errors", "quarantine_rows", "activation_decision", "analyze_commit", "selections", "wording_forms", "json_forms", "log_lines", "context_pack_budget", "canonical_json_hash"])
+@pytest.mark.parametrize("name", ["duplicate_pairs_scored", "near_duplicate_texts", "log_chain", "receipt_summary", "monotone_watermarks", "law_check_reasons", "newest_first_context", "typed_conflicts", "contradiction_suppression", "approved_union", "text_forms", "safe_names", "run_texts", "proposal_errors", "quarantine_rows", "activation_decision", "analyze_commit", "selections", "wording_forms", "json_forms", "log_lines", "context_pack_budget", "canonical_json_hash", "message_forms", "behavior_queries", "host_queries", "free_json_forms", "normalised_output", "unique_appends", "emissions", "chained_merges"])
 def test_against_duckdb(spark, name):
     import duckdb
 
