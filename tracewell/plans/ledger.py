@@ -14,7 +14,7 @@ from tracewell.functions import exprs as X
 from tracewell.functions import free_json
 from tracewell.functions import rules as R
 from tracewell.operators import commit as committing
-from tracewell.operators import dedupe, lifecycle, metrics, retrieval
+from tracewell.operators import dedupe, lifecycle, metrics, retrieval, vectors
 from tracewell.plans import fixtures as fx
 from tracewell.plans.catalogue import _PAIRS, _SENSITIVE_SQL, _cos, _near, _reviewed, query
 from tracewell.sources import log, workspace
@@ -385,6 +385,21 @@ def vectors_due(spark, sf_dir):
     return retrieval.due(want, have, ["id"], 8).select("id", "user_id", "state", "batch")
 
 
+@query(
+    f"""with {fx.HABITS_SQL} select id, case when id % 3 <> 1 and id % 13 > 0 then 'cached' when id % 11 = 0 then 'changed' when id % 17 = 0 then 'dimensions_invalid' else 'written' end as outcome,
+      case when id % 3 <> 1 and id % 13 > 0 then 2 when id % 11 = 0 or id % 17 = 0 then case when id % 3 <> 1 then 2 end else 3 end as dimensions from habits"""
+)
+def vectors_prepared(spark, sf_dir):
+    """Each third habit lacks a vector, each thirteenth has one of another text; some change meanwhile, some vectors are of no use"""
+    i = F.col("id")
+    h = fx.habits(spark, sf_dir).select("id", F.col("user_id").cast("string").alias("user_id"))
+    rows = h.select("id", "user_id", i.cast("string").alias("checksum"), F.concat(F.lit("habit "), i).alias("text"))
+    cache = h.filter("id % 3 != 1").select("id", F.when(i % 13 == 0, "old").otherwise(i.cast("string")).alias("checksum"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vector"))
+    now = rows.withColumn("checksum", F.when(i % 11 == 0, "new").otherwise(F.col("checksum")))
+    after, outcomes = vectors.prepared(rows, lambda: now, cache, lambda texts: [[1.0, 2.0] if int(t[6:]) % 17 == 0 else [1.0, 2.0, 2.0] for t in texts], 3)
+    return outcomes.join(after.select("id", F.size("vector").alias("dimensions")), "id", "left")
+
+
 @query(
     f"""with {fx.HABITS_SQL}, q as (select user_id, behavior from habits where id % 100 = 0),
     f as (select *, row_number() over (partition by user_id order by confidence_bp desc, id) as nth from habits where status = 'active' and law_hash = 'law' and confidence_bp >= 1000 and staleness <= 0.9),
