@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WORD_SEP, let, materialize, words
+from tracewell.llm.common import WORD_SEP, let, materialize, scratch, words
 
 FEATURES = ("n_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "mark_rate", "digit_rate")
 BINS = 32
@@ -239,8 +239,9 @@ def judged(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     known = labels.filter("quality is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    seen = statistics(docs.select(id_col, text_col).join(known, id_col, "left_semi"), id_col, text_col)
-    rules = learn(labelled(seen, labels, id_col))
+    with scratch(docs.sparkSession):  # written down, or the optimiser would write the statistics' expressions into the base rule
+        seen = materialize(statistics(docs.select(id_col, text_col).join(known, id_col, "left_semi"), id_col, text_col))
+        rules = learn(labelled(seen, labels, id_col))
     # Numbering the rows keeps the optimiser from writing the statistics' expressions into each condition of the filter.
     whole = statistics(docs, F.struct(*(F.col(c) for c in docs.columns)), text_col).withColumn("nth", F.monotonically_increasing_id())
     return judged(whole, rules).filter("kept and nth >= 0").select("carried.*")
