@@ -465,7 +465,7 @@ def analyze_commit(spark, sf_dir):
     ref = lambda seq, checksum: F.struct(F.lit(1).alias("file_generation"), seq.alias("seq"), checksum.alias("checksum"))
     first = line.filter(nth == 1).select(order, F.concat(F.lit("c"), "l_suppkey").alias("first_mode"))
     own = ref(order * 100 + nth, F.when(k("l_suppkey") % 97 == 0, "other").otherwise(F.concat(F.lit("c"), "l_suppkey")))
-    quantity, typed, scoped = F.floor("l_quantity").cast("int"), order % 4 == 0, order % 8 == 0
+    quantity, typed, scoped = F.rint("l_quantity").cast("int"), order % 4 == 0, order % 8 == 0
     kind = F.when(~typed, "habit").when(nth == 3, "episode").otherwise("fact")
     proposals = line.filter(nth <= 3).join(first, "l_orderkey").select(
         user.alias("user_id"), F.concat(F.lit("b"), order).alias("batch_id"), nth.alias("pos"), F.concat(F.lit("n"), order, F.lit("-"), nth).alias("proposal_id"), kind.alias("kind"), mod("k", "l_partkey", 50).alias("candidate_key"),
