@@ -254,14 +254,18 @@ def wording_forms(spark, sf_dir):
 
 
 @query(
-    r"""with e as (select *, '"' || event_type || '"' || props as t from events) select event_id, case event_id % 3 when 0 then props when 1 then props end as part, substr(t, 1, list_max(list_filter(range(0, 13), lambda k: 2 + length(replace(substr(t, 1, k), '"', '\"')) <= 12))) as prefix from e"""
+    r"""with e as (select *, '"' || event_type || '"' || props as t from events) select event_id, '[REDACTED]' as token, 'mail [REDACTED]' as note, cast(event_id as varchar) as generation,
+      case event_id % 3 when 0 then props when 1 then props end as part, substr(t, 1, list_max(list_filter(range(0, 13), lambda k: 2 + length(replace(substr(t, 1, k), '"', '\"')) <= 12))) as prefix from e"""
 )
 def json_forms(spark, sf_dir):
-    """X27, X31"""
+    """X4, X27, X31"""
     i, props = F.col("event_id"), F.col("props")
+    value = F.to_json(F.struct(F.col("event_type").alias("Api_Token"), F.lit("mail a@b.org").alias("note"), i.cast("string").alias("file_generation")), {"ignoreNullFields": "false"})
+    redacted = {c: F.get_json_object("redacted", f"$.{k}").alias(c) for c, k in (("token", "Api_Token"), ("note", "note"), ("generation", "file_generation"))}
     said = F.when(i % 3 == 0, F.concat(F.lit("so:\n```json\n"), props, F.lit("\n```\nthat"))).when(i % 3 == 1, F.concat(F.lit("it is "), props, F.lit(" then"))).otherwise("no more")
     part = F.nullif(X.json_part(said), F.lit(""))
-    return fx.table(spark, sf_dir, "events").select(i, part.alias("part"), X.json_prefix(F.concat(F.lit('"'), "event_type", F.lit('"'), props), 12).alias("prefix"))
+    e = fx.table(spark, sf_dir, "events").withColumn("redacted", free_json.redact_json(value))
+    return e.select(i, *redacted.values(), part.alias("part"), X.json_prefix(F.concat(F.lit('"'), "event_type", F.lit('"'), props), 12).alias("prefix"))
 
 
 @query(
