@@ -629,3 +629,9 @@ def test_chat_query_against_its_sql(spark):
     got = queries.op8_chat(spark, "/root/testdata/sf0.001")
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+
+
+def test_bins_are_counted_without_more_rows(spark):
+    """op3 in round 3: a row was made into eight for each count."""
+    rows = spark.createDataFrame([(i % 3 == 0, *([i % 2] * 8)) for i in range(12)], "bad boolean, " + ", ".join(f"bin{i} int" for i in range(8)))
+    assert quality_rules.counted(rows) == {(i, b): (2, 4) for i in range(8) for b in (0, 1)}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +157,13 @@ def pruned(rule: list[Condition], seen: list[tuple[int, int]]) -> tuple[list[Con
     return rule[: k + 1], *seen[k]
 
 
+def counted(rows: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Bad and good rows by (feature, bin); each feature is grouped for itself, so no row is made into several."""
+    sums = (F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
+    by = [rows.groupBy(F.lit(i).alias("pos"), F.col(f"bin{i}").alias("bin")).agg(*sums) for i in range(len(FEATURES))]
+    return {(r.pos, r.bin): (r.p, r.n) for r in reduce(DataFrame.union, by).collect()}
+
+
 def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_refused: int = MAX_REFUSED, min_precision: float = MIN_PRECISION, min_bound: float = MIN_BOUND) -> list[list[Condition]]:
     """Rules for bad documents from ``labelled(bad boolean, grow boolean, *FEATURES)``.
 
@@ -168,15 +176,17 @@ def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_refused: int = MA
     rows = materialize(labelled.filter("bad is not null"))
     quantiles = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(quantiles[f] or ())) for f in FEATURES}
-    left = materialize(rows.select("*", F.array(*(binned(f, cuts[f]) for f in FEATURES)).alias("bins")))
+    left = materialize(rows.select("*", *(binned(f, cuts[f]).alias(f"bin{i}") for i, f in enumerate(FEATURES))))
     rules: list[list[Condition]] = []
     barred: set[tuple[str, bool]] = set()
+    all_ = None  # the counts of all rows that are left, which a refused rule does not change
     while len(rules) < max_rules and len(barred) < max_refused:
         rule: list[Condition] = []
         while len(rule) < MAX_CONDITIONS:
-            inside = left.filter(F.col("grow") & conjunction(rule))
-            table = inside.select("bad", F.posexplode("bins")).groupBy("pos", "col").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
-            best = best_condition({(r.pos, r.col): (r.p, r.n) for r in table}, cuts, set() if rule else barred)
+            table = counted(left.filter(F.col("grow") & conjunction(rule))) if rule or all_ is None else all_
+            if not rule:
+                all_ = table
+            best = best_condition(table, cuts, set() if rule else barred)
             if best is None:
                 break
             rule.append(best)
@@ -187,7 +197,7 @@ def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_refused: int = MA
         rule, p, n = pruned(rule, [(sums[f"x{i}_1"], sums[f"x{i}_0"]) for i in range(len(rule))])
         if p >= min_precision * (p + n) and lower_bound(p, n) >= min_bound:
             rules.append(rule)
-            left = left.filter(~conjunction(rule))
+            left, all_ = left.filter(~conjunction(rule)), None
         else:
             barred.add((rule[0].feature, rule[0].above))
     return rules
