@@ -29,7 +29,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word-shingle similarities of 0.8 or more link."""
+    """One document of each group that five-word-shingle similarities of 0.8 or more link: by SimHash fingerprints first, then by shingles what these leave apart."""
     return similar.keep_one(docs, width=5).select(*COLUMNS)
 
 

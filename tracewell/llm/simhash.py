@@ -32,9 +32,13 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
     A-Z are lower-cased; fewer than ``width`` words are one shingle; no word
     (or a null text) gives zero.  A bit is 1 if set in over half the hashes.
     """
+    return fingerprint_of((text or "").encode("utf-8", "replace"), width, seed)
+
+
+def fingerprint_of(text: bytes, width: int, seed: int) -> int:
     import xxhash
 
-    w = (text or "").encode("utf-8", "replace").lower().split()
+    w = text.lower().split()
     if not w:
         return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(width)))) if len(w) >= width else [b" ".join(w)]

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm import simhash
-from tracewell.llm.common import discard, map_batches, materialize, scratch
+from tracewell.llm.common import discard, map_batches, materialize, met, scratch
 
 #: A key with more sets than this compares them with ``PIVOTS`` of them first, then what these leave apart.
 CROWDED, PIVOTS = 8, 3
@@ -80,7 +80,7 @@ def apart(x: str, y: str) -> Column:
     return differ * 9 > F.col(f"{x}.n") + F.col(f"{y}.n")
 
 
-READ = "doc_id bigint, fp bigint, text bigint, n bigint, key bigint, " + ", ".join(f"{p} bigint" for p in PARITIES)
+READ = "doc_id bigint, fp bigint, text bigint, n bigint, print bigint, key bigint, " + ", ".join(f"{p} bigint" for p in PARITIES)
 
 
 def reader(width: int, seed: int):
@@ -95,14 +95,14 @@ def reader(width: int, seed: int):
             h, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
             h, n = h[n > 1], n[n > 1]
             none = pa.nulls(len(h), pa.int64())
-            return pa.record_batch([none, none, none, pa.array(n.astype("<i8")), pa.array(h), *[none] * len(PARITIES)], names)
+            return pa.record_batch([none, none, none, pa.array(n.astype("<i8")), none, pa.array(h), *[none] * len(PARITIES)], names)
 
         for b in batches:
             rows = []
             for t in encoded(b.column(1)):
                 h = shingles(t, width, seed)
                 name = signed_hash(h.tobytes())
-                rows.append((name, signed_hash(t), len(h), *parities(h).tolist()))
+                rows.append((name, signed_hash(t), len(h), simhash.fingerprint_of(t, width, seed), *parities(h).tolist()))
                 if name not in held:
                     held[name] = h
                     size += len(h)
@@ -111,7 +111,7 @@ def reader(width: int, seed: int):
                     held, size = {}, 0
             if rows:
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                yield pa.record_batch([b.column(0), *columns[:3], pa.nulls(len(rows), pa.int64()), *columns[3:]], names)
+                yield pa.record_batch([b.column(0), *columns[:4], pa.nulls(len(rows), pa.int64()), *columns[4:]], names)
         if held:
             yield counted()
 
@@ -125,7 +125,7 @@ class Sets:
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
         self.width, self.seed = width, seed
         seen = materialize(map_batches(self.docs, reader(width, seed), READ))
-        #: A row for each text: hashes that name its set and the text, the set's size and parities.
+        #: A row for each text: hashes that name its set and the text, the set's size, SimHash fingerprint and parities.
         self.names = seen.filter("fp is not null").drop("key")
         self.counts = seen.filter("key is not null").select("key", "n")
 
@@ -212,12 +212,27 @@ class Sets:
         pairs = materialize(near.select("a", "b"))
         held = materialize(self.texts(both(pairs)))
         of = lambda c: held.select(F.col("fp").alias(c), F.col("t").alias(f"of_{c}"))
-        met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
-        out = materialize(map_batches(met, run, "a bigint, b bigint"))
+        whole = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+        out = materialize(map_batches(whole, run, "a bigint, b bigint"))
         discard(found, marks, pairs, held)
         return out
 
 
+def printed(sets: Sets) -> DataFrame:
+    """``a, b``: sets whose SimHash fingerprints reach each other at three bits or fewer, of a similarity of 0.8 or more.
+
+    A component of fingerprints has one of its sets as a hub, and each of the
+    others is compared with it; ``links`` finds what this leaves apart.
+    """
+    named = materialize(sets.names.select("print", "fp").distinct())
+    roots = simhash.components(simhash.links(named.select(F.col("print").alias("fp")).distinct())).withColumnRenamed("node", "print")
+    rooted = materialize(named.join(roots, "print", "left").select("fp", F.coalesce("root", "print").alias("hub")))
+    hubs = rooted.groupBy("hub").agg(F.min("fp").alias("b"), F.count("*").alias("of"))
+    out = sets.alike(met(rooted, hubs, rooted.count()).filter("fp != b").select(F.col("fp").alias("a"), "b"))
+    discard(named, rooted)
+    return out
+
+
 def links(sets: Sets) -> DataFrame:
     """``a, b``: pairs of sets at 0.8 or more, enough of them to connect what all such pairs connect."""
     short = F.col("pos") * 9 <= F.col("n")
@@ -231,16 +246,25 @@ def links(sets: Sets) -> DataFrame:
         order = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fp") != F.col("x.fp")))
         return x.join(y, (F.col("x.key") == F.col("y.key")) & order & overlap & more).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
+    near = printed(sets)
+    known = materialize(simhash.components(near).withColumnRenamed("node", "fp"))
+    root = lambda c: known.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root"))
+
+    def apart_still(pairs: DataFrame) -> DataFrame:
+        """The pairs that the fingerprints have not brought together."""
+        both = pairs.distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return both.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
     some = joined(keyed.filter(F.col("size") <= CROWDED), F.lit(True))
     crowd = keyed.filter(F.col("size") > CROWDED)
     if crowd.isEmpty():
-        out = sets.alike(some)
+        out = near.union(sets.alike(apart_still(some)))
         discard(keyed)
         return out
     ranked = crowd.filter(short).withColumn("nth", F.row_number().over(by.orderBy(F.xxhash64("fp"))))
     pivots = ranked.filter(F.col("nth") <= PIVOTS).select("key", F.col("fp").alias("b"), F.col("n").alias("m"))
     sizes = (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4) & (F.col("fp") != F.col("b"))
-    first = sets.alike(some.union(crowd.join(pivots, "key").filter(sizes).select(F.col("fp").alias("a"), "b")))
+    first = near.union(sets.alike(apart_still(some.union(crowd.join(pivots, "key").filter(sizes).select(F.col("fp").alias("a"), "b")))))
     roots = simhash.components(first).withColumnRenamed("node", "fp")
     rooted = crowd.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_ = materialize(rooted.withColumns({"low": F.min("root").over(by), "high": F.max("root").over(by)}).filter("low != high"))
