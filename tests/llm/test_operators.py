@@ -1,5 +1,6 @@
 """The ten operators' contracts against brute force, and their edge cases."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -635,3 +636,26 @@ def test_bins_are_counted_without_more_rows(spark):
     """op3 in round 3: a row was made into eight for each count."""
     rows = spark.createDataFrame([(i % 3 == 0, *([i % 2] * 8)) for i in range(12)], "bad boolean, " + ", ".join(f"bin{i} int" for i in range(8)))
     assert quality_rules.counted(rows) == {(i, b): (2, 4) for i in range(8) for b in (0, 1)}
+
+
+def test_rules_grow_side_by_side(spark):
+    """op3 in round 3: every condition of every refused rule was a query of eight shuffles, more than the driver's memory held."""
+    rng = random.Random(11)
+    schema = "bad boolean, grow boolean, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES)
+
+    def learned(made, group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = spark.createDataFrame([tuple(r[c] for c in ("bad", "grow", *quality_rules.FEATURES)) for r in made], schema)
+            return quality_rules.learn(rows), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            for name in ("spark.jobGroup.id", "spark.job.description"):
+                spark.sparkContext.setLocalProperty(name, None)
+
+    made = [{f: float(rng.randrange(20)) for f in quality_rules.FEATURES} | {"bad": rng.random() < 0.3, "grow": rng.random() < 0.75} for _ in range(1500)]
+    rules, jobs = learned(made, "refused")
+    assert rules == brute.decision_list(made) == [] and jobs <= 20
+    for r in made:  # two rules hold, after others that hold in the growing part only
+        r["bad"] = r["symbol_rate"] > 17 or (r["mark_rate"] < 2 and r["n_words"] > 9) or (r["grow"] and r["digit_rate"] > 15 and rng.random() < 0.97)
+    rules, jobs = learned(made, "taken")
+    assert rules == brute.decision_list(made) and len(rules) >= 2 and jobs <= 20 * (len(rules) + 1)

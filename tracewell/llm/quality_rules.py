@@ -6,16 +6,16 @@ bad documents rises, loses conditions from its end while that helps on the
 others, and is kept if it is precise there; a fifth of the rows does neither
 and is left to judge the list by; the rows that it covers are set aside and the next rule
 is grown.  A rule that is not precise enough ends nothing: no later rule
-begins with a threshold on the same side of its first feature.  All counts are
-grouped Spark aggregates over all labelled rows; the list becomes one ordered
-conditional expression.
+begins with a threshold on the same side of its first feature.  Rules that
+would follow one another if each were refused grow side by side, so that the
+jobs go by the rules taken.  All counts are grouped Spark aggregates over all
+labelled rows; the list becomes one ordered conditional expression.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from tracewell.llm.common import WORD_SEP, let, materialize, scratch, words
 
 FEATURES = ("n_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "mark_rate", "digit_rate")
 BINS = 32
+#: The columns of the features' bins.
+BINNED = [f"bin{i}" for i in range(len(FEATURES))]
 #: Rules of a list, refused rules before the search ends, conditions of a rule.
 MAX_RULES, MAX_REFUSED, MAX_CONDITIONS = 8, 8, 4
 #: On the pruning rows a rule must have this share of bad documents ...
@@ -157,11 +159,51 @@ def pruned(rule: list[Condition], seen: list[tuple[int, int]]) -> tuple[list[Con
     return rule[: k + 1], *seen[k]
 
 
+def histograms(rows: DataFrame, columns: list[str], within: list[Column]) -> list[dict[tuple[int, int], tuple[int, int]]]:
+    """For each condition of ``within`` the bad and good rows that meet it, by (place in ``columns``, value).
+
+    All are counted in one scan and one shuffle, to which a task gives a row
+    for each value of a column.  The columns have few values and no nulls.
+    """
+    sums = [F.count_if(w & (F.col("bad") == bad)).alias(f"x{j}_{int(bad)}") for j, w in enumerate(within) for bad in (True, False)]
+    out: list[dict[tuple[int, int], tuple[int, int]]] = [{} for _ in within]
+    for r in rows.groupingSets([[c] for c in columns], *columns).agg(*sums).collect():
+        at = next((i, r[c]) for i, c in enumerate(columns) if r[c] is not None)
+        for j, table in enumerate(out):
+            if r[f"x{j}_1"] or r[f"x{j}_0"]:
+                table[at] = (r[f"x{j}_1"], r[f"x{j}_0"])
+    return out
+
+
 def counted(rows: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
-    """Bad and good rows by (feature, bin); each feature is grouped for itself, so no row is made into several."""
-    sums = (F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
-    by = [rows.groupBy(F.lit(i).alias("pos"), F.col(f"bin{i}").alias("bin")).agg(*sums) for i in range(len(FEATURES))]
-    return {(r.pos, r.bin): (r.p, r.n) for r in reduce(DataFrame.union, by).collect()}
+    """Bad and good rows by (feature, bin)."""
+    return histograms(rows, BINNED, [F.lit(True)])[0]
+
+
+def grown(rows: DataFrame, cuts: dict[str, list], barred: set[tuple[str, bool]], most: int) -> list[list[Condition]]:
+    """The rules to try on ``rows``, first ones first: each as it would grow if those before it were refused; at most ``most``.
+
+    A refused rule sets no row aside and only bars the side that it begins
+    with, so the counts of all rows give every first condition.
+    """
+    table, barred, rules = counted(rows), set(barred), []
+    while len(rules) < most and (best := best_condition(table, cuts, barred)):
+        rules.append([best])
+        barred.add((best.feature, best.above))
+    growing = list(rules)
+    while growing:
+        found = [best_condition(t, cuts, set()) for t in histograms(rows, BINNED, [conjunction(r) for r in growing])]
+        for rule, best in zip(growing, found, strict=True):
+            rule += [best] if best else []
+        growing = [rule for rule, best in zip(growing, found, strict=True) if best and len(rule) < MAX_CONDITIONS]
+    return rules
+
+
+def covered(rows: DataFrame, rules: list[list[Condition]]) -> list[list[tuple[int, int]]]:
+    """Bad and good rows that each prefix of each rule covers."""
+    held = {f"deep{j}": sum((F.when(conjunction(rule[: i + 1]), 1).otherwise(0) for i in range(len(rule))), F.lit(0)) for j, rule in enumerate(rules)}
+    [table] = histograms(rows.withColumns(held), list(held), [F.lit(True)])
+    return [[tuple(sum(x[k] for (at, deep), x in table.items() if at == j and deep > i) for k in (0, 1)) for i in range(len(rule))] for j, rule in enumerate(rules)]
 
 
 def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_refused: int = MAX_REFUSED, min_precision: float = MIN_PRECISION, min_bound: float = MIN_BOUND) -> list[list[Condition]]:
@@ -176,30 +218,22 @@ def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_refused: int = MA
     rows = materialize(labelled.filter("bad is not null"))
     quantiles = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(quantiles[f] or ())) for f in FEATURES}
-    left = materialize(rows.select("*", *(binned(f, cuts[f]).alias(f"bin{i}") for i, f in enumerate(FEATURES))))
+    left = materialize(rows.select("*", *(binned(f, cuts[f]).alias(b) for f, b in zip(FEATURES, BINNED, strict=True))))
     rules: list[list[Condition]] = []
     barred: set[tuple[str, bool]] = set()
-    all_ = None  # the counts of all rows that are left, which a refused rule does not change
     while len(rules) < max_rules and len(barred) < max_refused:
-        rule: list[Condition] = []
-        while len(rule) < MAX_CONDITIONS:
-            table = counted(left.filter(F.col("grow") & conjunction(rule))) if rule or all_ is None else all_
-            if not rule:
-                all_ = table
-            best = best_condition(table, cuts, set() if rule else barred)
-            if best is None:
-                break
-            rule.append(best)
-        if not rule:
+        tried = grown(left.filter("grow"), cuts, barred, max_refused - len(barred))
+        if not tried:
             break
-        held = left.filter(~F.col("grow"))
-        sums = held.agg(*(F.count_if(conjunction(rule[: i + 1]) & (F.col("bad") == bad)).alias(f"x{i}_{int(bad)}") for i in range(len(rule)) for bad in (True, False))).first()
-        rule, p, n = pruned(rule, [(sums[f"x{i}_1"], sums[f"x{i}_0"]) for i in range(len(rule))])
-        if p >= min_precision * (p + n) and lower_bound(p, n) >= min_bound:
-            rules.append(rule)
-            left, all_ = left.filter(~conjunction(rule)), None
-        else:
+        for rule, seen in zip(tried, covered(left.filter(~F.col("grow")), tried), strict=True):
+            rule, p, n = pruned(rule, seen)
+            if p >= min_precision * (p + n) and lower_bound(p, n) >= min_bound:
+                rules.append(rule)
+                left = left.filter(~conjunction(rule))
+                break
             barred.add((rule[0].feature, rule[0].above))
+        else:  # none is left to try
+            break
     return rules
 
 
