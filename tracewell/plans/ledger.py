@@ -18,7 +18,7 @@ from tracewell.operators import dedupe, lifecycle, metrics, retrieval, vectors
 from tracewell.plans import fixtures as fx
 from tracewell.plans.catalogue import _PAIRS, _SENSITIVE_SQL, _cos, _near, _reviewed, query
 from tracewell.sources import log, workspace
-from tracewell.sources.tables import shared_dir
+from tracewell.sources.tables import materialize, parts, parts_of, scratch, shared_dir
 from tracewell.streaming import capture, folds
 
 
@@ -463,15 +463,23 @@ _CANDIDATE = _ID.format("candidate", "u || '|' || sha256(" + _WORDS.format("c",
 def analyze_commit(spark, sf_dir):
     """Lines propose habits or records, three an order; what a batch leaves in each table, given twice"""
     k, order, nth = F.col, F.col("l_orderkey"), F.col("ln")
-    line = fx.table(spark, sf_dir, "lineitem").withColumn("ln", F.row_number().over(W.partitionBy(order).orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_shipdate")))
+    lineitem = fx.table(spark, sf_dir, "lineitem")
+    within = W.partitionBy(order).orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_shipdate")
+    used = (order, F.row_number().over(within).alias("ln"), F.concat(F.lit("c"), F.first("l_suppkey").over(within)).alias("first_mode"), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_shipdate")
+    with scratch(spark) as keep:
+        line = materialize(*(p.select(*used) for p in parts(lineitem, ["l_orderkey"], parts_of(lineitem.count() // 3))), compression="zstd")
+        return _analyzed(spark, sf_dir, line, keep)
+
+
+def _analyzed(spark, sf_dir, line, keep):
+    k, order, nth = F.col, F.col("l_orderkey"), F.col("ln")
     user, mod = F.concat(F.lit("u"), order % 40), lambda t, c, n: F.concat(F.lit(t), k(c) % n)
     obs = line.select(user.alias("user_id"), F.lit(1).alias("file_generation"), (order * 100 + nth).alias("seq"), F.concat(F.lit("c"), "l_suppkey").alias("checksum"), F.when(k("l_returnflag") == "R", "advisor_finding").otherwise("local_interactive").alias("origin"), k("l_shipdate").cast("timestamp").alias("observed_at"))
     ref = lambda seq, checksum: F.struct(F.lit(1).alias("file_generation"), seq.alias("seq"), checksum.alias("checksum"))
-    first = line.filter(nth == 1).select(order, F.concat(F.lit("c"), "l_suppkey").alias("first_mode"))
     own = ref(order * 100 + nth, F.when(k("l_suppkey") % 97 == 0, "other").otherwise(F.concat(F.lit("c"), "l_suppkey")))
     quantity, typed, scoped = F.rint("l_quantity").cast("int"), order % 4 == 0, order % 8 == 0
     kind = F.when(~typed, "habit").when(nth == 3, "episode").otherwise("fact")
-    proposals = line.filter(nth <= 3).join(first, "l_orderkey").select(
+    proposals = line.filter(order.isNotNull() & (nth <= 3)).select(
         user.alias("user_id"), F.concat(F.lit("b"), order).alias("batch_id"), nth.alias("pos"), F.concat(F.lit("n"), order, F.lit("-"), nth).alias("proposal_id"), kind.alias("kind"), mod("k", "l_partkey", 50).alias("candidate_key"),
         F.when(~typed, mod("When ", "l_partkey", 50)).alias("condition"), F.when(~typed, mod("do ", "l_suppkey", 3)).alias("behavior"), F.when(~typed, F.when(quantity % 4 == 0, -1).otherwise(1)).alias("polarity"), F.when(quantity % 4 == 0, "old_negative").alias("role"), F.when(quantity % 2 == 0, "reviewable").otherwise("collecting").alias("evidence_stage"),
         F.when(scoped, "workspace").otherwise("user").alias("scope_kind"), F.when(scoped, "w").alias("scope_key"), F.when(order % 12 == 0, "explicit_user").otherwise("inferred").alias("authority"), mod("When ", "l_partkey", 50).alias("applicability"), mod("is ", "l_suppkey", 3).alias("content"),
@@ -498,11 +506,13 @@ def analyze_commit(spark, sf_dir):
     evidence = store.table("evidence").groupBy(k("habit_id").alias("id")).agg(F.count("*").alias("n"), F.sum("confidence_bp").cast("string").alias("state")).select(F.lit("evidence").alias("name"), "id", "n", "state")
     made = F.when(k("action") == "committed", F.concat(F.lit("legacy "), F.size("habits"))).otherwise(F.concat(F.lit("typed "), F.size("experiences")))
     batch = k("batch_id").alias("id")
+    reviews = rows("reviews", batch, F.lit(0), F.concat_ws(" ", "kind", F.array_join("reasons", ","))).drop("n")
+    reviews = keep(reviews.join(proposals.groupBy(batch).agg(F.count("*").alias("n")), "id").select("name", "id", "n", "state"))
     return (
         rows("habits", k("id"), k("confidence_bp"), F.concat_ws(" ", "status", "review_status", F.size("refs")))
         .union(evidence)
         .union(rows("experiences", k("id"), F.size("conflicts_with"), F.concat_ws(" ", "kind", "scope_kind")))
-        .union(rows("reviews", batch, F.lit(0), F.concat_ws(" ", "kind", F.array_join("reasons", ","))).join(proposals.groupBy(batch).agg(F.count("*").alias("of")), "id").select("name", "id", k("of").alias("n"), "state"))
+        .union(reviews)
         .union(rows("watermarks", k("key").alias("id"), k("seq"), F.lit(None).cast("string")))
         .union(rows("audits", batch, k("proposals"), made))
     )

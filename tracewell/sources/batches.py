@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources.tables import TIDY, settings
+
 MANIFESTS = "_batches"
 
 
@@ -47,14 +49,15 @@ class Batches:
         finally:
             stream.close()
 
-    def commit(self, number: int, rows: dict[str, DataFrame]) -> bool:
-        """Writes the batch's rows of each table and its manifest; False if the batch is there already."""
+    def commit(self, number: int, rows: dict[str, DataFrame | list[DataFrame]]) -> bool:
+        """Writes the batch's rows of each table, in one part or several, and its manifest; False if the batch is there already."""
         if self.has(number):
             return False
         written = {}
         for name, df in rows.items():
             written[name] = f"{name}/{number:012d}-{uuid.uuid4().hex}"
-            self._write(df.select(*self._columns(name)), f"{self.path}/{written[name]}")
+            for part in df if isinstance(df, list) else [df]:
+                self._write(part.select(*self._columns(name)), f"{self.path}/{written[name]}")
         draft = self._at(MANIFESTS, f".{uuid.uuid4().hex}")
         out = self._files.create(draft)
         out.write(bytearray(json.dumps(written).encode()))
@@ -65,7 +68,8 @@ class Batches:
         return bool(done)
 
     def _write(self, df: DataFrame, path: str) -> None:
-        df.write.parquet(path)
+        with settings(self.spark, **TIDY):
+            df.write.mode("append").option("compression", "zstd").parquet(path)
 
     def _columns(self, name: str) -> list:
         fields = self.spark.createDataFrame([], self.tables[name]).schema
